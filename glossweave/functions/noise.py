@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
+from ..session import evaluate_once
 from .text import trim_ws
 
 
 def rules(c: Column, letter_run: str = fixed.ASCII_WORD) -> dict[str, Column]:
     """``letter_run`` is opt-in for non-Latin sources, e.g. ``\\p{L}{2}``."""
-    t = trim_ws(c)
+    return _rules(trim_ws(c), letter_run)
+
+
+def _rules(t: Column, letter_run: str) -> dict[str, Column]:
     spaceless = ~F.contains(t, F.lit(" "))
     return {
         "n01_short": F.length(t) < 2,
@@ -31,8 +35,26 @@ def rules(c: Column, letter_run: str = fixed.ASCII_WORD) -> dict[str, Column]:
     }
 
 
+# rules that can only hold for a text without blanks: one look for a blank spares prose six patterns
+_SPACELESS = ("n05_path", "n06_guid", "n07_colour", "n11_screaming", "n12_identifier", "n13_short_lower")
+
+
+def is_noise_trimmed(t: Column, letter_run: str = fixed.ASCII_WORD) -> Column:
+    """For a column that is trimmed already."""
+    r = _rules(t, letter_run)
+    short = reduce(lambda a, b: a | b, [r[n] for n in _SPACELESS])
+    rest = reduce(lambda a, b: a | b, [c for n, c in r.items() if n not in _SPACELESS])
+    return rest | (~F.contains(t, F.lit(" ")) & short)
+
+
 def is_noise(c: Column, letter_run: str = fixed.ASCII_WORD) -> Column:
-    return reduce(lambda a, b: a | b, rules(c, letter_run).values())
+    return is_noise_trimmed(trim_ws(c), letter_run)
+
+
+def drop_noise(df: DataFrame, column: str = "text", letter_run: str = fixed.ASCII_WORD) -> DataFrame:
+    """Trim once, filter on the trimmed text; the column itself keeps its blanks."""
+    out = evaluate_once(df, df.columns, _trimmed=trim_ws(F.col(column)))
+    return out.filter(~is_noise_trimmed(F.col("_trimmed"), letter_run)).drop("_trimmed")
 
 
 def first_rule(c: Column) -> Column:

@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.escapes import unescape_code
-from ..functions.noise import is_noise
+from ..functions.noise import drop_noise
 from ..functions.text import blank, extract_all, one_line, preview
+from ..session import evaluate_once
 from .spans import explode_tokens, with_tokens
 
 # --- fixed values: literal shapes -----------------------------------------------------------
@@ -213,71 +214,83 @@ def _is_hole(p: Column) -> Column:
     return p.rlike(r"^\{[^{}]+\}$")
 
 
+def join_numbered(pieces: Column) -> Column:
+    def numbered(p: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(pieces, F.lit(1), i), _is_hole))
+        return F.when(_is_hole(p), F.concat(F.lit("{"), before.cast("string"), F.lit("}"))).otherwise(p)
+
+    return F.array_join(F.transform(pieces, numbered), "")
+
+
+def hole_expressions(pieces: Column) -> Column:
+    holes = F.transform(F.filter(pieces, _is_hole), lambda h: F.substring(h, F.lit(2), F.length(h) - 2))
+    return F.when(~F.exists(holes, lambda h: h.rlike(r"[,:]")), holes)
+
+
 def format_string(body: Column) -> Column:
     """``Hi {name}, {n} left`` -> ``Hi {0}, {1} left``; doubled braces stay doubled."""
-    pieces = extract_all(body, PIECE)
-    numbered = F.transform(
-        pieces,
-        lambda p, i: F.when(
-            _is_hole(p), F.concat(F.lit("{"), F.size(F.filter(F.slice(pieces, F.lit(1), i), _is_hole)).cast("string"), F.lit("}"))
-        ).otherwise(p),
-    )
-    return F.array_join(numbered, "")
+    return join_numbered(extract_all(body, PIECE))
 
 
 def format_arguments(body: Column) -> Column:
     """Hole expressions, or null when one carries an alignment or format clause (not rewritable)."""
-    holes = F.transform(F.filter(extract_all(body, PIECE), _is_hole), lambda h: F.substring(h, F.lit(2), F.length(h) - 2))
-    return F.when(~F.exists(holes, lambda h: h.rlike(r"[,:]")), holes)
+    return hole_expressions(extract_all(body, PIECE))
 
 
 def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, include_diagnostics: bool = False) -> DataFrame:
     """One row per accepted literal with its exact span in the original text."""
     d = DIALECTS[dialect]
-    masked = df.select(*keep, mask_comments(F.col(content), d).alias("_code"))
-    tokens = explode_tokens(with_tokens(masked, "_code", d.token), keep)
-    ctx = F.substring("before", -LOOK_BACK, LOOK_BACK)
+    masked = evaluate_once(df, keep, _code=mask_comments(F.col(content), d))
+    tokens = explode_tokens(with_tokens(masked, keep, F.col("_code"), d.token), keep)
     t = F.col("token")
+    literals = tokens.filter(t.rlike(d.literal))
+    if d.interpolation:
+        literals = literals.filter(~t.rlike(d.interpolation))
+    if not d.escapes_rewritable:
+        literals = literals.filter(~F.contains(t, F.lit("\\")))
+    cols = literals.columns
+    literals = evaluate_once(literals, cols, ctx=F.substring("before", -LOOK_BACK, LOOK_BACK))
+    found = evaluate_once(literals, [*cols, "ctx"], kind=_kind(d)).filter(F.col("kind").isNotNull())
+    if not include_diagnostics:
+        found = found.filter(F.col("kind") != "Diagnostic")
+    cols = [*found.columns]
+    found = evaluate_once(found, cols, body=literal_body(t))
+    if dialect == "csharp":
+        found = evaluate_once(found, [*cols, "body"], pieces=F.when(t.rlike(r"^\$@?\"|^@\$\""), extract_all(F.col("body"), PIECE)))
+        is_format = F.coalesce(F.exists("pieces", _is_hole), F.lit(False))
+        text = F.when(is_format, join_numbered(F.col("pieces"))).otherwise(F.col("body"))
+        args = F.when(is_format, hole_expressions(F.col("pieces")))
+    else:
+        is_format, text, args = F.lit(False), F.col("body"), F.lit(None).cast("array<string>")
+    reason = F.when(is_format & args.isNull(), F.lit("format clause in interpolation"))
+    for name, pattern in d.blocked.items():
+        reason = reason.when(F.col("ctx").rlike(pattern), F.lit(name))
+    out = evaluate_once(
+        found,
+        keep,
+        phase=F.lit(2),
+        span_start=F.col("span_start"),
+        span_length=F.length(t),
+        line=F.col("line"),
+        text=text,
+        raw=t,
+        kind=F.col("kind"),
+        context=preview(one_line(F.concat(F.substring("before", -70, 70), t, F.substring("after", 1, 70))), 240),
+        member=F.regexp_extract("ctx", r"([A-Za-z_][A-Za-z0-9_.]*)[ \t]*[(:=][^A-Za-z]*$", 1),
+        blocked_reason=reason,
+        is_interpolated=is_format,
+        interpolation_args=args,
+    )
+    return drop_noise(out)
+
+
+def _kind(d: CodeDialect) -> Column:
+    ctx = F.col("ctx")
     rejected = _any(ctx, d.reject) | _any(F.col("after"), d.reject_after)
     kind = F.when(rejected, F.lit(None).cast("string")).when(_any(ctx, d.diagnostic), F.lit("Diagnostic"))
     for name, pattern in d.accept.items():
         kind = kind.when(ctx.rlike(pattern), F.lit(name))
-    if d.default_kind:
-        kind = kind.otherwise(F.lit(d.default_kind))
-    reason = F.lit(None).cast("string")
-    for name, pattern in d.blocked.items():
-        reason = F.when(ctx.rlike(pattern), F.lit(name)).otherwise(reason)
-    found = tokens.filter(t.rlike(d.literal)).withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    body = literal_body(t)
-    if dialect == "csharp":
-        is_format = t.rlike(r"^\$@?\"|^@\$\"") & F.exists(extract_all(body, PIECE), _is_hole)
-        text = F.when(is_format, format_string(body)).otherwise(body)
-        args = F.when(is_format, format_arguments(body))
-        reason = F.when(is_format & args.isNull(), F.lit("format clause in interpolation")).otherwise(reason)
-    else:
-        is_format, text, args = F.lit(False), body, F.lit(None).cast("array<string>")
-        if d.interpolation:
-            found = found.filter(~t.rlike(d.interpolation))
-        if not d.escapes_rewritable:
-            found = found.filter(~F.contains(t, F.lit("\\")))
-    if not include_diagnostics:
-        found = found.filter(F.col("kind") != "Diagnostic")
-    out = found.select(
-        *keep,
-        F.lit(2).alias("phase"),
-        "span_start",
-        F.length(t).alias("span_length"),
-        "line",
-        text.alias("text"),
-        t.alias("raw"),
-        "kind",
-        preview(one_line(F.concat(F.substring("before", -70, 70), t, F.substring("after", 1, 70))), 240).alias("context"),
-        F.regexp_extract(ctx, r"([A-Za-z_][A-Za-z0-9_.]*)[ \t]*[(:=][^A-Za-z]*$", 1).alias("member"),
-        reason.alias("blocked_reason"),
-        is_format.alias("is_interpolated"),
-        args.alias("interpolation_args"),
-    )
-    return out.filter(~is_noise(F.col("text")))
+    return kind.otherwise(F.lit(d.default_kind)) if d.default_kind else kind
 
 
 def file_traits(content: Column) -> Column:

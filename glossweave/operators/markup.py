@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.noise import is_noise
+from ..functions.noise import drop_noise
 from ..functions.text import decode_entities, extract_all, line_breaks, one_line, trim_ws
+from ..session import evaluate_once
 from .spans import explode_tokens, with_tokens
 
 
@@ -57,12 +58,12 @@ def element_name(tag: Column) -> Column:
 
 
 def text_nodes(df: DataFrame, keep: list[str], content: str) -> DataFrame:
-    """(keep..., text) of intact text nodes, position-free: built-in expressions only."""
-    tok = extract_all(F.col(content), fixed.MARKUP_TOKEN)
+    """(keep..., text, element) of intact text nodes, position-free: built-in expressions only."""
+    tokens = evaluate_once(df, keep, tok=extract_all(F.col(content), fixed.MARKUP_TOKEN))
     cells = F.transform("tok", lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("tok", i - 1), F.lit("")).alias("b"), F.coalesce(F.get("tok", i + 1), F.lit("")).alias("a")))
     live = F.filter(cells, lambda s: ~F.startswith(s.t, F.lit("<")) & ~is_dead(s.b) & ~is_dead(s.a))
-    out = df.select(*keep, tok.alias("tok")).select(*keep, F.explode(live).alias("n"))
-    return out.select(*keep, trim_ws(decode_entities(F.col("n.t"))).alias("text"), element_name(F.col("n.b")).alias("element"))
+    named = F.transform(live, lambda s: F.struct(trim_ws(decode_entities(s.t)).alias("text"), element_name(s.b).alias("element")))
+    return tokens.select(*keep, F.inline(named))
 
 
 def _lead(c: Column) -> Column:
@@ -130,9 +131,9 @@ def _attribute_cells(d: MarkupDialect) -> Column:
 def candidates(df: DataFrame, keep: list[str], content: str, dialect: str) -> DataFrame:
     """Attributes (phase 0) and text (phase 1) of every file from one tokenisation, noise dropped."""
     d = DIALECTS[dialect]
-    tokens = explode_tokens(with_tokens(df.select(*keep, content), content, fixed.MARKUP_TOKEN), keep)
+    tokens = explode_tokens(with_tokens(df, keep, F.col(content), fixed.MARKUP_TOKEN), keep)
     cells = F.coalesce(_attribute_cells(d), _text_cells(d)) if d.text_nodes else _attribute_cells(d)
-    out = tokens.select(*keep, F.inline(cells)).filter(~is_noise(F.col("text")))
+    out = drop_noise(tokens.select(*keep, F.inline(cells)))
     return out.withColumn("blocked_reason", F.lit(d.blocked_reason).cast("string"))
 
 

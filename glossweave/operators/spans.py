@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import extract_all, line_breaks
+from ..session import evaluate_once
 
 
 @pandas_udf("array<int>")
@@ -25,11 +26,13 @@ def utf16_extra(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
-def with_tokens(df: DataFrame, content: str, pattern: str) -> DataFrame:
+def with_tokens(df: DataFrame, keep: list[str], content: Column, pattern: str) -> DataFrame:
     """Adds ``tok``, ``tok_start`` (0-based code points) and ``tok_line`` (0-based line breaks before)."""
-    df = df.withColumn("tok", extract_all(F.col(content), pattern))
-    return df.withColumn("tok_start", _sums_before(F.transform("tok", F.length))).withColumn(
-        "tok_line", _sums_before(F.transform("tok", line_breaks))
+    df = evaluate_once(df, keep, tok=extract_all(content, pattern))
+    return df.select(
+        *keep, "tok",
+        _sums_before(F.transform("tok", F.length)).alias("tok_start"),
+        _sums_before(F.transform("tok", line_breaks)).alias("tok_line"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code
-from ..session import table
+from ..session import spread, table
 from . import derive as d
 from .registry import query
 
@@ -17,7 +17,7 @@ STATEMENTS = {
     "swift": [
         ('Text("', '")', "UiCall"), ('let a = "', '"', None), ('button.title = "', '"', "Assignment"),
         ('show(title: "', '")', "NamedArgument"), ('print("', '")', None), ('// Text("', '")', None), ('Image(systemName: "', '")', None),
-        ('NSLocalizedString("', '", comment: "")', None), ('let u = #"', '"#', None),
+        ('NSLocalizedString("', '", comment: "")', None),
     ],
     "objc": [
         ('[b setTitle:@"', '" forState:0];', "UiCall"), ('label.text = @"', '";', "Assignment"), ('NSLog(@"', '");', None),
@@ -60,7 +60,7 @@ def source_files(spark, root, dialect):
         return F.concat(*parts)
 
     content = F.array_join(F.transform(F.split("text", "\n"), statements), "")
-    return table(spark, root, "documents").select("doc_id", content.alias("content"))
+    return spread(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", content.alias("content"))
 
 
 def _code_query(dialect: str):

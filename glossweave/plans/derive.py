@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.keys import base_key
-from ..functions.noise import is_noise
+from ..functions.noise import is_noise_trimmed
 from ..functions.text import short_hash, trim_ws
-from ..session import table
+from ..session import evaluate_once, spread, table
 
 LANGUAGES = ["de", "es", "fr"]
 
@@ -89,7 +89,7 @@ def sql_base_key(c: str) -> str:
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, root, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n"))).select(
         "doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("text")
     )
@@ -104,8 +104,8 @@ LINES = """lines AS (
 
 
 def kept(spark: SparkSession, root: str) -> DataFrame:
-    df = lines(spark, root).withColumn("text", trim_ws(F.col("text")))
-    return df.filter(~is_noise(F.col("text")))
+    df = evaluate_once(lines(spark, root), ["doc_id", "lang", "source", "line"], text=trim_ws(F.col("text")))
+    return df.filter(~is_noise_trimmed(F.col("text")))
 
 
 KEPT = LINES + f""",

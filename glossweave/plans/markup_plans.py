@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import noise, text as tx
 from ..operators import markup
-from ..session import table
+from ..session import evaluate_once, spread, table
 from . import derive as d
 from .registry import query
 from .text_plans import ENTITY_SQL
 
+
+
+def _pages(spark, root):
+    return spread(table(spark, root, "pages").select("page_id", "html"))
+
+
 TOK = f"regexp_extract_all(html, {d.lit(fixed.MARKUP_TOKEN)}, 0)"
 
 
@@ -36,7 +42,7 @@ nodes AS (SELECT *, {d.sql_trim(ENTITY_SQL.format('t'))} AS text, regexp_extract
     THEN regexp_replace(t, '[^\\r\\n]', ' ', 'g') ELSE t END), '') AS m FROM pages) p""")
 def mask_html(spark, root):
     m = tx.mask(F.col("html"), fixed.MARKUP_DEAD)
-    pages = table(spark, root, "pages").select("page_id", "html", m.alias("m"))
+    pages = _pages(spark, root).select("page_id", "html", m.alias("m"))
     return pages.select("page_id", (F.length("m") == F.length("html")).alias("same_length"), F.md5("m").alias("masked_md5"))
 
 
@@ -49,7 +55,7 @@ _BODY = r"(?s)<body[^<>]*>.*</body>"
   FROM (SELECT page_id, html, regexp_extract(html, {d.lit(_BODY)}) AS body FROM pages) x) p""")
 def mask_outside_body(spark, root):
     m = tx.mask_outside(F.col("html"), _BODY)
-    pages = table(spark, root, "pages").select("page_id", "html", m.alias("m"))
+    pages = _pages(spark, root).select("page_id", "html", m.alias("m"))
     return pages.select("page_id", (F.length("m") == F.length("html")).alias("same_length"), F.md5("m").alias("masked_md5"))
 
 
@@ -61,7 +67,8 @@ def intact_spans(spark, root):
     cells = F.transform("tok", lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("tok", i - 1), F.lit("")).alias("b"), F.coalesce(F.get("tok", i + 1), F.lit("")).alias("a")))
     text = F.filter("cells", lambda s: ~F.startswith(s.t, F.lit("<")) & (tx.trim_ws(s.t) != ""))
     ok = F.filter("text", lambda s: ~markup.is_dead(s.b) & ~markup.is_dead(s.a))
-    out = table(spark, root, "pages").select("page_id", tok.alias("tok")).select("page_id", cells.alias("cells")).select("page_id", text.alias("text"))
+    out = evaluate_once(_pages(spark, root), ["page_id"], tok=tok)
+    out = evaluate_once(evaluate_once(out, ["page_id"], cells=cells), ["page_id"], text=text)
     out = out.filter(F.size("text") > 0).select("page_id", F.size(ok).cast("long").alias("intact"), F.size("text").alias("n"))
     return out.select("page_id", "intact", (F.col("n") - F.col("intact")).cast("long").alias("masked"))
 
@@ -69,15 +76,15 @@ def intact_spans(spark, root):
 @query("X9,X8,N1-N13,A2", "WITH " + _nodes() + f"""
 SELECT page_id, text, count(*) AS occurrences FROM nodes WHERE NOT {d.sql_noise('text')} GROUP BY page_id, text""")
 def html_text_nodes(spark, root):
-    nodes = markup.text_nodes(table(spark, root, "pages"), ["page_id"], "html")
-    return nodes.filter(~noise.is_noise(F.col("text"))).groupBy("page_id", "text").agg(F.count("*").alias("occurrences"))
+    nodes = markup.text_nodes(_pages(spark, root), ["page_id"], "html")
+    return nodes.filter(~noise.is_noise_trimmed(F.col("text"))).groupBy("page_id", "text").agg(F.count("*").alias("occurrences"))
 
 
 @query("S1,X1,X9,X8,N1-N13,A2,O2", "WITH " + _nodes() + f"""
 SELECT text, count(*) AS occurrences, count(DISTINCT page_id) AS pages, min(page_id) AS first_page
 FROM nodes WHERE NOT {d.sql_noise('text')} GROUP BY text""")
 def scan_only_summary(spark, root):
-    nodes = markup.text_nodes(table(spark, root, "pages"), ["page_id"], "html").filter(~noise.is_noise(F.col("text")))
+    nodes = markup.text_nodes(_pages(spark, root), ["page_id"], "html").filter(~noise.is_noise_trimmed(F.col("text")))
     per_page = nodes.groupBy("text", "page_id").agg(F.count("*").alias("n"))
     return per_page.groupBy("text").agg(
         F.sum("n").alias("occurrences"), F.count("page_id").alias("pages"), F.min("page_id").alias("first_page"))
@@ -86,7 +93,7 @@ def scan_only_summary(spark, root):
 @query("X5", "WITH " + _nodes() + f"""
 SELECT element, count(*) AS n FROM nodes WHERE text <> '' GROUP BY element""")
 def element_names(spark, root):
-    nodes = markup.text_nodes(table(spark, root, "pages"), ["page_id"], "html")
+    nodes = markup.text_nodes(_pages(spark, root), ["page_id"], "html")
     return nodes.filter(F.col("text") != "").groupBy("element").agg(F.count("*").alias("n"))
 
 
@@ -101,7 +108,7 @@ SELECT page_id, CAST(off + length({_LEAD_SQL}) AS BIGINT) AS span_start, CAST(le
   trim(regexp_replace(regexp_replace(right(b, 60) || t || substr(a, 1, 60), '[\\r\\n]+', ' ', 'g'), ' {{2,}}', ' ', 'g')) AS context
 FROM nodes WHERE {_BODY_SQL} <> '' AND NOT regexp_matches({_BODY_SQL}, '[{{}}]') AND NOT {d.sql_noise(ENTITY_SQL.format(_BODY_SQL))}""")
 def html_candidates(spark, root):
-    c = markup.candidates(table(spark, root, "pages"), ["page_id"], "html", "html")
+    c = markup.candidates(_pages(spark, root), ["page_id"], "html", "html")
     return c.select(
         "page_id", F.col("span_start").cast("long"), F.col("span_length").cast("long"), F.col("line").cast("long"),
         "text", "member", "context")
@@ -157,5 +164,5 @@ for _dialect in WRAPPERS:
 @query("X7", """SELECT page_id, trim(regexp_replace(regexp_replace(substr(html, greatest(1, p - 60), p + 4 + 60 - greatest(1, p - 60)), '[\\r\\n]+', ' ', 'g'), ' {2,}', ' ', 'g')) AS snippet
 FROM (SELECT page_id, html, strpos(html, '<h1>') AS p FROM pages) x WHERE p > 0""")
 def context_snippet(spark, root):
-    pages = table(spark, root, "pages").select("page_id", "html", F.locate("<h1>", "html").alias("p")).filter("p > 0")
+    pages = _pages(spark, root).select("page_id", "html", F.locate("<h1>", "html").alias("p")).filter("p > 0")
     return pages.select("page_id", tx.snippet(F.col("html"), F.col("p"), F.lit(4), 60, 60).alias("snippet"))

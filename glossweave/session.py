@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Only settings that are safe on any cluster; sizes stay with whoever submits the job.
 DEFAULTS = {
@@ -29,6 +29,25 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than cores (few, small files); else no shuffle at all.
+
+    Call it on the pruned columns: text work costs far more than moving a few megabytes once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def evaluate_once(df: DataFrame, keep: list[str], **columns) -> DataFrame:
+    """Computed columns behind a generator, so that later filters read them instead of repeating them.
+
+    The optimizer pushes a filter below a projection by copying the projected expression into every
+    predicate; a thirteen-rule filter over a regex result would run the regex thirteen times.
+    """
+    cell = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(cell)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
