@@ -218,3 +218,54 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
 CORPUS = LINES + ",\ncorpus AS (\n  SELECT 'documents.line' AS origin, text FROM lines\n" + "\n".join(
     f"  UNION ALL SELECT '{t}.{c}', {c} FROM {t}" for t, c in STRING_COLUMNS
 ) + ")"
+
+
+# --- source trees: every document is a file of the project named by its source and language --------
+
+TREE_NAMES = [
+    "App.csproj", "src/Program.cs", "package.json", "src/App.vue", "app/src/main/AndroidManifest.xml", "app/build.gradle",
+    "ios/Runner.xcodeproj/project.pbxproj", "Package.swift", "Sources/Main.swift", "pubspec.yaml", "lib/main.dart",
+    "src/main.js", "node_modules/x/index.js", "obj/Form.designer.cs", "web/index.html", "app/src/main/res/layout/main.xml",
+    "app/src/main/res/values/strings.xml", "l10n.yaml", "ios/Info.plist", "src/App.spec.ts", "web/package.json",
+    "Views/Home.xaml", "core/build.gradle", "core/src/main/java/a/b/View.kt",
+]
+# content of the files whose content is looked at, by language; all others hold the document text
+TREE_CONTENT = [
+    ("package.json", "en", '{"name":"a","dependencies":{"react":"^18.0.0","i18next":"^23.0.0"}}'),
+    ("package.json", "fr", '{"name":"a","dependencies":{"vue":"^3.0.0"},"devDependencies":{"vite":"1"}}'),
+    ("package.json", "de", '{"name":"a","dependencies":{"left-pad":"1"}}'),
+    ("package.json", "es", '{"name":"a"}'),
+    ("pubspec.yaml", "en", "name: a\ndependencies:\n  flutter:\n    sdk: flutter\n  intl: any\nflutter:\n  generate: true\n"),
+    ("pubspec.yaml", "fr", "name: a\ndependencies:\n  flutter:\n    sdk: flutter\n"),
+    ("pubspec.yaml", "de", "name: a\n"),
+    ("app/build.gradle", "en", 'plugins { id "com.android.application" }\nandroid { defaultConfig { resConfigs "en", "de", "es", "fr" } }\n'),
+    ("app/build.gradle", "fr", 'plugins { id "com.android.application" }\nandroid { defaultConfig { resConfigs "en", "fr" } }\n'),
+    ("app/build.gradle", "de", "plugins { id 'java' }\n"),
+    ("App.csproj", "en", "<Project><PropertyGroup><RootNamespace>Acme.Shop</RootNamespace><NeutralLanguage>en</NeutralLanguage></PropertyGroup></Project>"),
+    ("App.csproj", "fr", "<Project><PropertyGroup><RootNamespace>Acme</RootNamespace></PropertyGroup></Project>"),
+    ("Package.swift", "en", 'let package = Package(name: "a", defaultLocalization: "en")'),
+    ("ios/Info.plist", "en", "<plist><dict><key>CFBundleLocalizations</key></dict></plist>"),
+    ("ios/Runner.xcodeproj/project.pbxproj", "fr", "files = ( Localizable.strings )"),
+    ("src/main.js", "en", 'import "./i18n";\n'),
+    ("src/Program.cs", "fr", 'CultureInfo.CurrentUICulture = new CultureInfo("fr");\n'),
+    ("app/src/main/res/layout/main.xml", "en", '<LinearLayout xmlns:android="http://schemas.android.com/apk/res/android"/>'),
+    ("app/src/main/res/values/strings.xml", "en", '<resources xmlns:android="http://schemas.android.com/apk/res/android"/>'),
+]
+
+
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """(project, path, content, doc_id); the place in the name list follows from the document number."""
+    docs = spread(table(spark, root, "documents").select("doc_id", "lang", "source", "text"))
+    names = F.array(*[F.lit(n) for n in TREE_NAMES])
+    path = F.element_at(names, (F.pmod("doc_id", F.lit(len(TREE_NAMES))) + 1).cast("int"))
+    content = F.col("text")
+    for name, lang, body in TREE_CONTENT:
+        content = F.when((F.col("path") == name) & (F.col("lang") == lang), F.lit(body)).otherwise(content)
+    project = F.concat_ws("-", "source", "lang")
+    return docs.withColumn("path", path).select(project.alias("project"), "path", content.alias("content"), "doc_id", "lang")
+
+
+_TREE_CASE = " ".join(f"WHEN path = {lit(n)} AND lang = {lit(g)} THEN {lit(b)}" for n, g, b in TREE_CONTENT)
+TREE = f"""tree AS (
+  SELECT source || '-' || lang AS project, path, CASE {_TREE_CASE} ELSE text END AS content, doc_id, lang
+  FROM (SELECT *, list_extract([{', '.join(lit(n) for n in TREE_NAMES)}], CAST(doc_id % {len(TREE_NAMES)} + 1 AS BIGINT)) AS path FROM documents) t)"""

@@ -193,8 +193,7 @@ _PLAIN = f"""plain AS (
 
 def _key_requests(spark, root):
     first = dedupe.first_occurrence(d.kept(spark, root), "text", ["doc_id", "line"])
-    # scan order in one long: documents hold far fewer than 2^24 lines
-    return first.select("text", keys.base_key(F.col("text")).alias("base"), (F.col("doc_id") * (1 << 24) + F.col("line")).alias("ord"))
+    return first.select("text", keys.base_key(F.col("text")).alias("base"), F.struct("doc_id", "line").alias("ord"))
 
 
 @query("K1,P2,P3", W + d.KEPT + f""", {_PLAIN},
