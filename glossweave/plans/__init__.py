@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_plans", "markup_plans", "code_plans", "flow_plans", "project_plans"]
+MODULES = ["text_plans", "markup_plans", "code_plans", "flow_plans", "project_plans", "bundle_plans"]
 
 
 def load_catalog():

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code
+from ..operators.rewrite import splice
 from ..session import spread, table
 from . import derive as d
 from .registry import query
@@ -111,10 +112,13 @@ def diagnostics_opted_in(spark, root):
     return c.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("X6,R2", None)
+@query("X3,X6,R2", "WITH " + d.LINES + f"""
+SELECT doc_id, count(*) * 3 AS applied, 0 AS skipped, true AS same FROM lines
+WHERE NOT {d.sql_noise('text')} AND NOT {d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS['swift'].interpolation))} GROUP BY doc_id""")
 def code_spans_hold(spark, root):
-    """Every span, read back from the untouched file, is the literal itself."""
+    """Every literal put back where it was found gives the same file: all spans are exact."""
     files = source_files(spark, root, "swift")
     c = code.candidates(files, ["doc_id"], "content", "swift")
-    per_file = c.groupBy("doc_id").agg(F.sum("span_length").alias("chars"), F.sum(F.length("raw")).alias("raw_chars"), F.count("*").alias("n"))
-    return per_file.select("doc_id", "n", (F.col("chars") == F.col("raw_chars")).alias("same"))
+    out = splice(files, ["doc_id"], "content", c.select("doc_id", "span_start", "raw", F.col("raw").alias("replacement")))
+    out = out.withColumnRenamed("content", "new").join(files, "doc_id")
+    return out.select("doc_id", F.col("applied").cast("long"), "skipped", (F.md5("new") == F.md5("content")).alias("same"))
