@@ -27,12 +27,13 @@ class MarkupDialect:
     local_names: bool = False              # compare the part after the namespace prefix
     reject_value: str | None = None        # bindings, resource and theme references
     reject_text: str = r"[{}]"
+    enclosed: bool = False                 # text counts only directly between two tags
     blocked_reason: str | None = None
 
 
 DIALECTS = {
     "html": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, blocked_reason="report only: plain markup"),
-    "jsx": MarkupDialect(tuple(fixed.JSX_COPY_ATTRIBUTES), True),
+    "jsx": MarkupDialect(tuple(fixed.JSX_COPY_ATTRIBUTES), True, reject_text=r"[{}]|=>|[;(][ \t\r\n]*$", enclosed=True),
     "vue": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, ignore_prefixes=(":", "@", "v-")),
     "xaml": MarkupDialect(tuple(fixed.XAML_COPY_ATTRIBUTES), True, reject_value=r"^\{"),
     "razor": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, reject_value="@", reject_text="@"),
@@ -74,6 +75,8 @@ def _text_cells(d: MarkupDialect) -> Column:
     """Zero or one candidate for a text token."""
     body = trim_ws(F.col("token"))
     live = ~F.startswith("token", F.lit("<")) & ~is_dead(F.col("before")) & ~is_dead(F.col("after"))
+    if d.enclosed:
+        live = live & is_tag(F.col("before")) & is_tag(F.col("after"))
     cell = F.struct(
         F.lit(1).alias("phase"),
         (F.col("span_start") + F.length(_lead(F.col("token")))).alias("span_start"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 # fixed values: (dialect, kinds, template, import line); {key}, {name}, {args} are filled in
@@ -57,7 +57,12 @@ def plan(dialect: Column, kind: Column, key: Column, name: Column, args: Column
     return F.when(text.isNotNull(), F.struct(text.alias("replacement"), line.alias("required_import")))
 
 
-@pandas_udf("struct<content string, applied int, skipped int>")
+_SPLICED = T.StructType([
+    T.StructField("content", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("skipped", T.IntegerType()),
+])
+
+
+@pandas_udf(_SPLICED)
 def _splice(content: pd.Series, edits: pd.Series) -> pd.DataFrame:
     out = []
     for text, spans in zip(content, edits):

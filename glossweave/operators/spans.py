@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import extract_all, line_breaks
 from ..session import evaluate_once
 
 
-@pandas_udf("array<int>")
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def _sums_before(lengths: pd.Series) -> pd.Series:
     return lengths.map(lambda a: None if a is None else np.cumsum(np.concatenate(([0], a[:-1])), dtype=np.int32) if len(a) else a)
 

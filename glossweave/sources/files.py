@@ -36,3 +36,29 @@ def scannable(files: DataFrame, stack: str, resource_dir: str | None = None, exc
     if stack == "web":
         out = out.filter(~paths.is_test_file(p))
     return out.filter("is_valid_utf8").filter(~paths.is_generated_content(F.col("text")))
+
+
+def write_back(changed: DataFrame, root: str) -> DataFrame:
+    """changed(path, text, has_bom) into the tree below ``root``: the old bytes are kept beside each file once, the
+    new file replaces the old one in a single step. The tree must be mounted on every executor. Returns the paths."""
+    import os
+    import shutil
+
+    import pandas as pd
+
+    base = root.replace("file:", "")
+
+    def run(frames):
+        for frame in frames:
+            for path, text, bom in zip(frame["path"], frame["text"], frame["has_bom"]):
+                target = os.path.join(base, path)
+                if not os.path.exists(target + ".bak"):
+                    shutil.copyfile(target, target + ".bak")
+                with open(target + ".tmp", "wb") as out:
+                    out.write((b"\xef\xbb\xbf" if bom else b"") + text.encode("utf-8"))
+                os.replace(target + ".tmp", target)
+            yield pd.DataFrame({"path": frame["path"]})
+
+    from ..session import materialise
+
+    return materialise(changed.mapInPandas(run, "path string"), "written")
