@@ -41,18 +41,18 @@ def _skips(takers: DataFrame, reserved: DataFrame) -> DataFrame:
     With reserved numbers n_1 < n_2 < ..., n_i - i free slots lie before n_i, so a pointer p skips every i with
     n_i - i < p: a running count over both lists merged by value.
     """
-    ranks = with_group_rank(reserved, "base", ["number"], "i", "reserved")
+    ranks = with_group_rank(reserved, "base", ["number"], "i", "reserved", written=True)
     marks = ranks.select("base", ((F.col("number") - F.col("i")) * 2 + 1).alias("v"), F.col("i").alias("u"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("mark"))
     asks = takers.select("base", (F.col("pointer") * 2).alias("v"), F.col("pointer").alias("u"), "text", F.lit(0).alias("mark"))
-    merged = running(ranged(marks.unionByName(asks), ["base", "v", "u"], "slots"), "base", "mark", "skips", F.sum)
+    merged = running(ranged(marks.unionByName(asks), ["base", "v", "u"], "slots", written=True), "base", "mark", "skips", F.sum)
     return merged.filter("mark = 0").select("text", "skips")
 
 
 def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """requests(text, base, ord) with unique text and ord; existing(key). Returns (text, base, key)."""
-    bases = requests.select("base").distinct()
-    reserved = existing.select(F.inline(_readings("key"))).join(bases, "base", "left_semi").distinct()
     ranked = with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "pointer", "requests")
+    bases = ranked.select("base").distinct()
+    reserved = materialise(existing.select(F.inline(_readings("key"))).join(bases, "base", "left_semi").distinct(), "reserved")
     placed = materialise(_keyed(ranked.drop("_part", "_row"), reserved), "keys")
     clash = _losers(placed)
     if clash.isEmpty():
@@ -82,7 +82,7 @@ def _losers(placed: DataFrame) -> DataFrame:
 
 
 def _settle(moving: DataFrame, reserved: DataFrame) -> DataFrame:
-    placed = with_global_index(moving.select("text", "base", "ord", "pointer"), ["base", "ord"], "_k", "moving")
+    placed = with_global_index(moving.select("text", "base", "ord", "pointer"), ["base", "ord"], "_k", "moving", written=True)
     while True:
         keyed = materialise(_keyed(placed, reserved), "round")
         losers = materialise(_losers(keyed).select("text", F.lit(1).alias("_lost")), "losers")

@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import materialise
 
 
-def ranged(df: DataFrame, order: list, label: str) -> DataFrame:
+def ranged(df: DataFrame, order: list, label: str, written: bool = False) -> DataFrame:
     """Range-partitioned and sorted by a unique order; ``_part``/``_row`` name each row's place.
 
+    Range partitioning reads its input twice, once to sample: unless the input is a written table (or cheap to
+    derive from one), it is written first.
+
     Written once, so both passes over it (counting, numbering) see the same places even if an executor is
     lost in between. Range partitioning by a unique order keeps partitions even, whatever one key holds.
     """
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    source = df if written else materialise(df, label + "-input")
+    out = source.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out.withColumn("_part", F.spark_partition_id())
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return materialise(out.withColumn("_row", row), label)
 
 
-def with_global_index(df: DataFrame, order: list, name: str = "id", label: str = "index") -> DataFrame:
+def with_global_index(df: DataFrame, order: list, name: str = "id", label: str = "index", written: bool = False) -> DataFrame:
     """Dense 0-based position in ``order``. Adds ``_part`` and ``_row`` as well."""
-    placed = ranged(df, order, label)
+    placed = ranged(df, order, label, written)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row per shuffle partition: its size is bounded by the partition count, not by the data
     offsets = counts.select(
@@ -30,9 +34,9 @@ def with_global_index(df: DataFrame, order: list, name: str = "id", label: str =
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row")).drop("_offset")
 
 
-def with_group_rank(df: DataFrame, group: str, order: list, name: str = "rank", label: str = "rank") -> DataFrame:
+def with_group_rank(df: DataFrame, group: str, order: list, name: str = "rank", label: str = "rank", written: bool = False) -> DataFrame:
     """1-based rank inside ``group``; a group may span many partitions."""
-    indexed = with_global_index(df, [group, *order], "_index", label)
+    indexed = with_global_index(df, [group, *order], "_index", label, written)
     first = indexed.groupBy(group).agg(F.min("_index").alias("_first"))
     return indexed.join(first, group).withColumn(name, F.col("_index") - F.col("_first") + 1).drop("_first", "_index")
 

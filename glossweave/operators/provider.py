@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
-from ..session import materialise, spread
+from ..session import materialise
 
 VERDICT = "user_facing boolean, reason string, proposed_key string"
 ANSWER = "id string, user_facing boolean, reason string, proposed_key string, translation string, note string, error string"
@@ -95,7 +95,8 @@ def ask(requests: DataFrame, call: Callable[[list[dict]], list[dict]], size: int
             names = [c.split()[0] for c in ANSWER.split(", ")]
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    placed = requests.repartition(concurrency, "id") if concurrency else spread(requests)
+    # a fixed number of tasks is the cap on open requests; adaptive execution leaves it alone
+    placed = requests.repartition(concurrency or requests.sparkSession.sparkContext.defaultParallelism, "id")
     return materialise(placed.mapInPandas(run, ANSWER), "answers")
 
 

@@ -12,7 +12,7 @@ from .. import fixed
 from ..functions.keys import base_key
 from ..functions.noise import is_noise_trimmed
 from ..functions.text import short_hash, trim_ws
-from ..session import evaluate_once, spread, table
+from ..session import evaluate_once, materialise, spread, table
 
 LANGUAGES = ["de", "es", "fr"]
 
@@ -88,11 +88,13 @@ def sql_base_key(c: str) -> str:
 # --- lines: every line of every document ----------------------------------------------------
 
 
+def lines_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(*keep, F.posexplode(F.split("text", "\n"))).select(*keep, (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("text"))
+
+
 def lines(spark: SparkSession, root: str) -> DataFrame:
     docs = spread(table(spark, root, "documents").select("doc_id", "lang", "source", "text"))
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n"))).select(
-        "doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("text")
-    )
+    return lines_of(docs, ["doc_id", "lang", "source"])
 
 
 LINES = """lines AS (
@@ -103,9 +105,13 @@ LINES = """lines AS (
 # --- kept: candidate lines (trimmed, noise dropped) -----------------------------------------
 
 
+def keep_copy(df: DataFrame) -> DataFrame:
+    keep = [c for c in df.columns if c != "text"]
+    return evaluate_once(df, keep, text=trim_ws(F.col("text"))).filter(~is_noise_trimmed(F.col("text")))
+
+
 def kept(spark: SparkSession, root: str) -> DataFrame:
-    df = evaluate_once(lines(spark, root), ["doc_id", "lang", "source", "line"], text=trim_ws(F.col("text")))
-    return df.filter(~is_noise_trimmed(F.col("text")))
+    return keep_copy(lines(spark, root))
 
 
 KEPT = LINES + f""",
@@ -118,16 +124,22 @@ kept AS (
 
 
 def units(spark: SparkSession, root: str) -> DataFrame:
-    """Partial aggregation first, so a text repeated in a third of all rows shuffles once per task."""
+    """Partial aggregation first, so a text repeated in a third of all rows shuffles once per task.
+
+    Target, state and approvals all start here: the table is written once instead of scanning the documents per use.
+    """
     labels = table(spark, root, "labels").select("doc_id", "quality", "toxic")
-    marked = kept(spark, root).join(labels, "doc_id", "left")
-    return marked.groupBy("text").agg(
+    # joined before the lines are split off: one row per document on both sides, no key is hot
+    docs = spread(table(spark, root, "documents").select("doc_id", "lang", "text")).join(labels, "doc_id", "left")
+    marked = keep_copy(lines_of(docs, ["doc_id", "lang", "quality", "toxic"]))
+    per_text = marked.groupBy("text").agg(
         F.min("doc_id").alias("first_doc"),
         F.count("*").alias("occurrences"),
         F.max("quality").alias("quality"),
         F.max("toxic").alias("toxic"),
         F.min("lang").alias("src_lang"),
-    ).withColumn("key", F.concat(F.lit("T"), short_hash(F.col("text"), 32)))
+    )
+    return materialise(per_text.withColumn("key", F.concat(F.lit("T"), short_hash(F.col("text"), 32))), "units")
 
 
 UNITS = KEPT + f""",
@@ -146,20 +158,20 @@ def per_language(df: DataFrame) -> DataFrame:
     return df.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in LANGUAGES])))
 
 
-def target(spark: SparkSession, root: str) -> DataFrame:
+def target(u: DataFrame) -> DataFrame:
     """Labelled texts have a target entry: empty for quality 0, edited by hand for toxic 1."""
     value = (
         F.when(F.col("quality") == 0, F.lit(""))
         .when(F.col("toxic") == 1, F.concat(F.lit("<"), F.col("lang"), F.lit("> "), F.col("text")))
         .otherwise(F.concat(F.lit("["), F.col("lang"), F.lit("] "), F.col("text")))
     )
-    df = per_language(units(spark, root).filter(F.col("quality").isNotNull()))
+    df = per_language(u.filter(F.col("quality").isNotNull()))
     return df.filter(F.col("lang") != F.col("src_lang")).select("lang", "key", value.alias("value"))
 
 
-def state(spark: SparkSession, root: str) -> DataFrame:
+def state(u: DataFrame) -> DataFrame:
     """What the tool wrote last: texts seen more than once have since changed in the source."""
-    df = per_language(units(spark, root).filter(F.col("quality") == 1))
+    df = per_language(u.filter(F.col("quality") == 1))
     source = F.when(F.col("occurrences") > 1, F.concat(F.col("text"), F.lit(" (old)"))).otherwise(F.col("text"))
     written = F.concat(F.lit("["), F.col("lang"), F.lit("] "), F.col("text"))
     return df.select(
@@ -169,9 +181,9 @@ def state(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def approved(spark: SparkSession, root: str) -> DataFrame:
+def approved(u: DataFrame) -> DataFrame:
     """Approved wordings: texts from documents labelled good and harmless."""
-    df = per_language(units(spark, root).filter((F.col("quality") == 1) & (F.col("toxic") == 0)))
+    df = per_language(u.filter((F.col("quality") == 1) & (F.col("toxic") == 0)))
     return df.filter(F.col("lang") == F.col("src_lang")).select(
         "lang", F.col("text").alias("source_text"), F.col("text").alias("wording"), F.col("first_doc").alias("ord")
     )

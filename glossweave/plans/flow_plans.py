@@ -9,7 +9,7 @@ from ..functions import keys
 from ..functions.noise import is_noise_trimmed
 from ..functions.text import same_placeholders, short_hash
 from ..operators import classify as cl, dedupe, incremental as inc, keyalloc, ordering, provider as pv
-from ..session import table
+from ..session import materialise, table
 from . import derive as d
 from .registry import query
 
@@ -235,21 +235,17 @@ actions AS (
   FROM decided c LEFT JOIN learned l ON c.lang = l.lang AND c.text = l.source_text)"""
 
 
-def _unit_lang(spark, root):
-    return d.per_language(d.units(spark, root)).select("lang", "key", "text")
-
-
 def _decided(spark, root, forced=False):
-    return inc.decide(_unit_lang(spark, root), d.target(spark, root), d.state(spark, root), forced)
-
+    u = d.units(spark, root)
+    return inc.decide(d.per_language(u).select("lang", "key", "text"), d.target(u), d.state(u), forced)
 
-def _learned(spark, root, decided):
-    return inc.learn(decided, d.approved(spark, root))
 
-
-def _actions(spark, root):
-    decided = _decided(spark, root)
-    return inc.reuse(decided, _learned(spark, root, decided))
+def _run(spark, root):
+    """(units, decided, learned, actions) of one incremental run; decided feeds two branches, so it is written once."""
+    u = d.units(spark, root)
+    decided = materialise(inc.decide(d.per_language(u).select("lang", "key", "text"), d.target(u), d.state(u)), "decided")
+    learned = inc.learn(decided, d.approved(u))
+    return u, decided, learned, inc.reuse(decided, learned)
 
 
 @query("I1,J5,J6,J15,D7,D8", W + _DECIDED + " SELECT lang, key, state, reason FROM decided")
@@ -276,18 +272,18 @@ def stale_keys(spark, root):
 
 @query("J7,I3", W + _DECIDED + " SELECT lang, key, wording FROM actions WHERE action = 'REUSED'")
 def approved_reuse(spark, root):
-    return _actions(spark, root).filter("action = 'REUSED'").select("lang", "key", "wording")
+    return _run(spark, root)[3].filter("action = 'REUSED'").select("lang", "key", "wording")
 
 
 @query("O3,M5", W + _DECIDED + f""" SELECT lang, source_text, rank FROM (
   SELECT lang, source_text, row_number() OVER (PARTITION BY lang ORDER BY length(source_text), ord, source_text) AS rank FROM learned) x WHERE rank <= {fixed.EXAMPLES}""")
 def approved_examples(spark, root):
-    return inc.top_examples(_learned(spark, root, _decided(spark, root))).select("lang", "source_text", F.col("rank").cast("long"))
+    return inc.top_examples(_run(spark, root)[2]).select("lang", "source_text", F.col("rank").cast("long"))
 
 
 @query("I2,I4,D13", W + _DECIDED + " SELECT lang, source_text, wording FROM learned")
 def learned_wordings(spark, root):
-    return _learned(spark, root, _decided(spark, root)).select("lang", "source_text", "wording")
+    return _run(spark, root)[2].select("lang", "source_text", "wording")
 
 
 # --- translation ----------------------------------------------------------------------------------
@@ -303,7 +299,7 @@ def translate_rules(spark, root):
 
 
 def _to_send(spark, root):
-    return _actions(spark, root).filter("action = 'SEND'").select("lang", "key", "text", F.lit("").alias("context"))
+    return _run(spark, root)[3].filter("action = 'SEND'").select("lang", "key", "text", F.lit("").alias("context"))
 
 
 @query("M4", """SELECT conv_id, turn, lang, '[' || lang || '] ' || text AS translation FROM (
@@ -359,19 +355,23 @@ merged AS (
 
 
 def _final(spark, root):
-    actions = _actions(spark, root)
-    sent = actions.filter("action = 'SEND'").select("lang", "key", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("translation"))
-    return inc.final_values(actions, sent)
+    """(units, final values)"""
+    u, _, _, actions = _run(spark, root)
+    sent = F.when(F.col("action") == "SEND", F.concat(F.lit("["), "lang", F.lit("] "), "text"))
+    value = F.coalesce(sent, F.when(F.col("action") == "REUSED", F.col("wording")), "current")
+    return u, actions.select("lang", "key", "text", value.alias("value"), "action")
 
 
 def _merged(spark, root):
-    final = _final(spark, root).filter(inc.filled("value"))
-    return inc.merge(d.target(spark, root), final.select("lang", "key", "value"), ["lang", "key"])
+    u, final = _final(spark, root)
+    return inc.merge(d.target(u), final.filter(inc.filled("value")).select("lang", "key", "value"), ["lang", "key"])
 
 
 @query("J11", W + _FINAL + " SELECT lang, key, value FROM final")
 def final_values(spark, root):
-    return _final(spark, root).select("lang", "key", "value")
+    actions = materialise(_run(spark, root)[3], "actions")
+    sent = actions.filter("action = 'SEND'").select("lang", "key", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("translation"))
+    return inc.final_values(actions, sent).select("lang", "key", "value")
 
 
 @query("A8,W1-W5,D11", W + _FINAL + """
@@ -393,7 +393,8 @@ FROM state s FULL OUTER JOIN (
   SELECT lang, key, {d.sql_hash('text', _SH)} AS source_hash, {d.sql_hash('value', _SH)} AS translation_hash
   FROM final WHERE action IN ('SEND', 'REUSED') AND coalesce(value, '') <> '') n ON s.lang = n.lang AND s.key = n.key""")
 def state_upsert(spark, root):
-    return inc.new_state(_final(spark, root), d.state(spark, root))
+    u, final = _final(spark, root)
+    return inc.new_state(final, d.state(u))
 
 
 @query("A6,D9", W + _DECIDED + """
@@ -402,20 +403,20 @@ SELECT lang, count(*) AS total, count(*) FILTER (action = 'CURRENT') AS already,
   count(*) FILTER (action = 'SEND' AND reason = 'SourceChanged') AS sent_changed, count(*) FILTER (action = 'SEND' AND reason = 'Forced') AS sent_forced
 FROM actions GROUP BY lang""")
 def language_outcomes(spark, root):
-    return inc.outcomes(_actions(spark, root))
+    return inc.outcomes(_run(spark, root)[3])
 
 
 @query("A13,W9", W + _FINAL + """
 SELECT key, max(value) FILTER (lang = 'de') AS de, max(value) FILTER (lang = 'es') AS es, max(value) FILTER (lang = 'fr') AS fr FROM final GROUP BY key""")
 def coverage_pivot(spark, root):
-    return _final(spark, root).groupBy("key").pivot("lang", d.LANGUAGES).agg(F.max("value"))
+    return _final(spark, root)[1].groupBy("key").pivot("lang", d.LANGUAGES).agg(F.max("value"))
 
 
 @query("W9,B4", W + _FINAL + """
 SELECT lang, count(*) AS total, count(*) FILTER (coalesce(value, '') <> '') AS covered, count(*) FILTER (coalesce(value, '') = '') AS missing
 FROM final GROUP BY lang""")
 def coverage(spark, root):
-    return _final(spark, root).groupBy("lang").agg(
+    return _final(spark, root)[1].groupBy("lang").agg(
         F.count("*").alias("total"), F.count_if(inc.filled("value")).alias("covered"), F.count_if(~inc.filled("value")).alias("missing"))
 
 
