@@ -197,12 +197,16 @@ def _any(c: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def literal_body(t: Column) -> Column:
-    """Text between the quotes; adjacent literals are folded into one text."""
+def literal_body(t: Column, verbatim: bool = False) -> Column:
+    """Text between the quotes; adjacent literals are folded into one text.
+
+    ``verbatim``: an ``@`` literal has no escapes but doubled quotes (C#); elsewhere ``@`` is an ordinary prefix.
+    """
     inner = F.regexp_replace(t, r"""^[$@]{0,2}["'`]|["'`]$""", "")
     folded = F.regexp_replace(inner, r"""(?:"[ \t\r\n]+"|'[ \t\r\n]+')""", "")
-    verbatim = F.replace(folded, F.lit('""'), F.lit('"'))
-    return F.when(t.rlike(r"^\$?@"), F.when(t.rlike(r'^@"') & ~F.contains(folded, F.lit('""')), unescape_code(folded)).otherwise(verbatim)).otherwise(unescape_code(folded))
+    if not verbatim:
+        return unescape_code(folded)
+    return F.when(t.rlike(r"^(\$@|@)"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(unescape_code(inner))
 
 
 # --- interpolation to a format string ---------------------------------------------------------
@@ -254,7 +258,7 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     if not include_diagnostics:
         found = found.filter(F.col("kind") != "Diagnostic")
     cols = [*found.columns]
-    found = evaluate_once(found, cols, body=literal_body(t))
+    found = evaluate_once(found, cols, body=literal_body(t, dialect == "csharp"))
     if dialect == "csharp":
         found = evaluate_once(found, [*cols, "body"], pieces=F.when(t.rlike(r"^\$@?\"|^@\$\""), extract_all(F.col("body"), PIECE)))
         is_format = F.coalesce(F.exists("pieces", _is_hole), F.lit(False))
@@ -265,21 +269,22 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     reason = F.when(is_format & args.isNull(), F.lit("format clause in interpolation"))
     for name, pattern in d.blocked.items():
         reason = reason.when(F.col("ctx").rlike(pattern), F.lit(name))
-    out = evaluate_once(
-        found,
-        keep,
-        phase=F.lit(2),
-        span_start=F.col("span_start"),
-        span_length=F.length(t),
-        line=F.col("line"),
-        text=text,
-        raw=t,
-        kind=F.col("kind"),
-        context=preview(one_line(F.concat(F.substring("before", -70, 70), t, F.substring("after", 1, 70))), 240),
-        member=F.regexp_extract("ctx", r"([A-Za-z_][A-Za-z0-9_.]*)[ \t]*[(:=][^A-Za-z]*$", 1),
-        blocked_reason=reason,
-        is_interpolated=is_format,
-        interpolation_args=args,
+    found = evaluate_once(found, found.columns, text=text)
+    # columns that no filter reads stay plain: a query that drops them never computes them
+    out = found.select(
+        *keep,
+        F.lit(2).alias("phase"),
+        "span_start",
+        F.length(t).alias("span_length"),
+        "line",
+        "text",
+        t.alias("raw"),
+        "kind",
+        preview(one_line(F.concat(F.substring("before", -70, 70), t, F.substring("after", 1, 70))), 240).alias("context"),
+        F.regexp_extract("ctx", r"([A-Za-z_][A-Za-z0-9_.]*)[ \t]*[(:=][^A-Za-z]*$", 1).alias("member"),
+        reason.cast("string").alias("blocked_reason"),
+        is_format.alias("is_interpolated"),
+        args.alias("interpolation_args"),
     )
     return drop_noise(out)
 

@@ -85,7 +85,6 @@ def _text_cells(d: MarkupDialect) -> Column:
         decode_entities(body).alias("text"),
         body.alias("raw"),
         F.lit(d.text_kind).alias("kind"),
-        one_line(F.concat(F.substring("before", -60, 60), F.col("token"), F.substring("after", 1, 60))).alias("context"),
         element_name(F.col("before")).alias("member"),
     )
     return F.when(live & (body != "") & ~body.rlike(d.reject_text), F.array(cell))
@@ -124,7 +123,6 @@ def _attribute_cells(d: MarkupDialect) -> Column:
             decode_entities(h.value).alias("text"),
             h.raw.alias("raw"),
             F.lit(d.attribute_kind).alias("kind"),
-            one_line(F.col("token")).alias("context"),
             h.name_.alias("member"),
         )
 
@@ -136,8 +134,10 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str) -> Da
     d = DIALECTS[dialect]
     tokens = explode_tokens(with_tokens(df, keep, F.col(content), fixed.MARKUP_TOKEN), keep)
     cells = F.coalesce(_attribute_cells(d), _text_cells(d)) if d.text_nodes else _attribute_cells(d)
-    out = drop_noise(tokens.select(*keep, F.inline(cells)))
-    return out.withColumn("blocked_reason", F.lit(d.blocked_reason).cast("string"))
+    # the context is read by no filter, so it stays outside the generator and is only computed when asked for
+    around = F.when(F.col("phase") == 0, F.col("token")).otherwise(F.concat(F.substring("before", -60, 60), F.col("token"), F.substring("after", 1, 60)))
+    out = drop_noise(tokens.select(*keep, "before", "token", "after", F.inline(cells)))
+    return out.withColumn("context", one_line(around)).withColumn("blocked_reason", F.lit(d.blocked_reason).cast("string")).drop("before", "token", "after")
 
 
 def copy_bearing_xml(path: Column, content: Column) -> Column:

@@ -38,12 +38,31 @@ class Format:
     parse: Callable[[Column], Column]       # entry text -> struct<key, value>
     render: Callable[[Column, Column, Column], Column]  # key, value, comment -> one line
     closing: str | None = None              # start of what must stay last
+    note: str | None = None                 # a provenance comment on the entry's own line
+    comment: str | None = None              # any comment: entries inside it do not count
+    update: Callable[[Column, Column], Column] | None = None  # entry text with a new value, all else as it was
+
+    @property
+    def pieces(self) -> str:
+        """Entries with their provenance comment, and comments; what is between is carried verbatim."""
+        return f"(?s)[ \\t]*(?:{self.note}[ \\t]*)?{self.entry}|{self.comment}"
 
 
 def _xml_value(c: Column) -> Column:
     return F.replace(esc.unescape_xml(F.replace(F.replace(c, F.lit("&#10;"), F.lit("\n")), F.lit("&#13;"), F.lit("\r"))), F.lit("\u0000"), F.lit(""))
 
 
+_QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
+_XML_NOTE, _XML_COMMENT = r"<!--(?:[^-\n]|-[^-\n])*-->", r"<!--.*?-->"
+_SLASH_NOTE, _SLASH_COMMENT = r"/\*(?:[^*\n]|\*[^/\n])*\*/", r"/\*.*?\*/|//[^\n]*"
+
+
+def _between(segment: Column, before: str, after: str, value: Column, otherwise: Column) -> Column:
+    """Replaces what stands between two patterns, or everything when they are not there."""
+    head, tail = F.regexp_extract(segment, f"(?s)^({before})", 1), F.regexp_extract(segment, f"(?s)({after})$", 1)
+    return F.when((head != "") & (tail != ""), F.concat(head, value, tail)).otherwise(otherwise)
+
+
 def _xml_text(c: Column) -> Column:
     """Line breaks as character references keep an entry on one line."""
     return F.replace(F.replace(esc.escape_xml(c), F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;"))
@@ -54,7 +73,7 @@ def _pair(key: Column, value: Column) -> Column:
 
 
 def _resx_parse(t: Column) -> Column:
-    return _pair(esc.unescape_xml(F.regexp_extract(t, r'name="([^"]*)"', 1)), _xml_value(F.regexp_extract(t, r"(?s)<value>(.*?)</value>", 1)))
+    return _pair(esc.unescape_xml(F.regexp_extract(t, r'<data[ ](?:[^<>]*[ ])?name="([^"]*)"', 1)), _xml_value(F.regexp_extract(t, r"(?s)<value>(.*?)</value>", 1)))
 
 
 def _resx_render(key: Column, value: Column, comment: Column) -> Column:
@@ -63,9 +82,27 @@ def _resx_render(key: Column, value: Column, comment: Column) -> Column:
         F.lit('  <data name="'), esc.escape_xml_attribute(key), F.lit('" xml:space="preserve"><value>'), _xml_text(value), F.lit("</value>"), note, F.lit("</data>"))
 
 
+def _resx_update(segment: Column, value: Column) -> Column:
+    key = _resx_parse(segment)["key"]
+    return _between(segment, r".*?<value>", r"</value>.*", _xml_text(value), _resx_render(key, value, F.lit(None).cast("string")))
+
+
+def _android_update(segment: Column, value: Column) -> Column:
+    key = _android_parse(segment)["key"]
+    out = _between(segment, r".*?<string[ ][^<>]*>", r"</string>.*", _xml_text(esc.escape_android(value)), _android_render(key, value, F.lit(None).cast("string")))
+    need = many_unnumbered_arguments(value) & ~F.contains(segment, F.lit("formatted="))
+    return F.when(need, F.regexp_replace(out, r"(<string[ ][^<>]*)>", '$1 formatted="false">')).otherwise(out)
+
+
+def _apple_update(segment: Column, value: Column) -> Column:
+    key = _apple_parse(segment)["key"]
+    head = rf"[ \t]*(?:{_SLASH_NOTE}[ \t]*)?{_QUOTED}[ \t]*=[ \t]*"
+    return _between(segment, head, r"[ \t]*;", F.concat(F.lit('"'), esc.escape_apple(value), F.lit('"')), _apple_render(key, value, F.lit(None).cast("string")))
+
+
 def _android_parse(t: Column) -> Column:
     body = F.regexp_extract(t, r"(?s)<string[ ][^<>]*>(.*)</string>", 1)
-    return _pair(F.regexp_extract(t, r'name="([^"]*)"', 1), esc.unescape_android(_xml_value(body)))
+    return _pair(F.regexp_extract(t, r'<string[ ](?:[^<>]*[ ])?name="([^"]*)"', 1), esc.unescape_android(_xml_value(body)))
 
 
 def _android_render(key: Column, value: Column, comment: Column) -> Column:
@@ -74,9 +111,6 @@ def _android_render(key: Column, value: Column, comment: Column) -> Column:
     return F.concat(note, F.lit(' <string name="'), esc.escape_xml_attribute(key), F.lit('"'), flag, F.lit(">"), _xml_text(esc.escape_android(value)), F.lit("</string>"))
 
 
-_QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
-
-
 def _apple_parse(t: Column) -> Column:
     # a provenance comment may stand on the same line
     line = F.regexp_replace(t, r"(?s)^[ \t]*/\*.*?\*/", "")
@@ -115,10 +149,10 @@ _RESX_HEAD = "\n".join([
 ])
 
 FORMATS = {
-    "resx": Format("resx", _RESX_HEAD, "</root>", r"(?s)[ \t]*<data[ ][^<>]*>.*?</data>", _resx_parse, _resx_render, "</root>"),
+    "resx": Format("resx", _RESX_HEAD, "</root>", r"<data[ ][^<>]*>.*?</data>", _resx_parse, _resx_render, "</root>", _XML_NOTE, _XML_COMMENT, _resx_update),
     "i18next": Format("i18next", "{", "}", None, _json_parse, _json_render),
-    "android": Format("android", _XML_HEAD + "\n<resources>", "</resources>", r"(?s)[ \t]*<string[ ][^<>]*>.*?</string>", _android_parse, _android_render, "</resources>"),
-    "strings": Format("strings", "", "", r'[ \t]*"[^"\\]*(?:\\.[^"\\]*)*"[ \t]*=[ \t]*"[^"\\]*(?:\\.[^"\\]*)*"[ \t]*;', _apple_parse, _apple_render),
+    "android": Format("android", _XML_HEAD + "\n<resources>", "</resources>", r"<string[ ][^<>]*>.*?</string>", _android_parse, _android_render, "</resources>", _XML_NOTE, _XML_COMMENT, _android_update),
+    "strings": Format("strings", "", "", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t]*=[ \t]*"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t]*;', _apple_parse, _apple_render, None, _SLASH_NOTE, _SLASH_COMMENT, _apple_update),
     "arb": Format("arb", "{", "}", None, _json_parse, _json_render),
 }
 
@@ -161,11 +195,11 @@ def _cells(files: DataFrame, fmt: Format) -> DataFrame:
             F.when(is_text, F.variant_get("value", "$", "string")).alias("value"))
     zipped = evaluate_once(
         files, ["path"],
-        gaps=F.split("text", fmt.entry, -1), entries=F.concat(extract_all(F.col("text"), fmt.entry), F.array(F.lit(None).cast("string"))))
+        gaps=F.split("text", fmt.pieces, -1), entries=F.concat(extract_all(F.col("text"), fmt.pieces), F.array(F.lit(None).cast("string"))))
     pieces = F.flatten(F.transform(F.arrays_zip("gaps", "entries"), lambda z: F.array(z["gaps"], z["entries"])))
     out = zipped.select("path", F.posexplode(pieces).alias("pos", "segment")).filter(F.coalesce("segment", F.lit("")) != "")
     parsed = fmt.parse(F.col("segment"))
-    is_entry = F.col("pos") % 2 == 1
+    is_entry = (F.col("pos") % 2 == 1) & F.col("segment").rlike(f"(?s)^[ \\t]*(?:{fmt.note}[ \\t]*)?{fmt.entry}")
     out = out.select("path", F.col("pos").cast("long"), "segment", F.when(is_entry, parsed).alias("p"))
     return out.select("path", "pos", "segment", "p.key", "p.value")
 
@@ -215,7 +249,7 @@ def merge_lines(files: DataFrame, incoming: DataFrame, fmt: str) -> DataFrame:
     cells = cells.join(first, ["path", "key", "pos"], "left")
     j = cells.join(incoming.select("path", "key", F.col("value").alias("new"), "comment"), ["path", "key"], "left")
     update = F.coalesce("first", F.lit(False)) & F.col("new").isNotNull() & (F.col("new") != F.col("value"))
-    text = F.when(update, f.render(F.col("key"), F.col("new"), F.lit(None).cast("string"))).otherwise(F.col("segment"))
+    text = F.when(update, f.update(F.col("segment"), F.col("new"))).otherwise(F.col("segment"))
     status = F.when(F.col("key").isNull(), F.lit(None)).when(update, "updated").when(F.col("new").isNull(), "kept").otherwise("unchanged")
     kept = j.select("path", F.lit(0).alias("section"), "pos", "key", text.alias("line"), status.alias("status"))
     if f.closing:
