@@ -53,6 +53,7 @@ def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     ranked = with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "pointer", "requests")
     bases = ranked.select("base").distinct()
     reserved = materialise(existing.select(F.inline(_readings("key"))).join(bases, "base", "left_semi").distinct(), "reserved")
+    reserved = None if reserved.isEmpty() else reserved
     placed = materialise(_keyed(ranked.drop("_part", "_row"), reserved), "keys")
     clash = _losers(placed)
     if clash.isEmpty():
@@ -64,15 +65,21 @@ def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     return done.unionByName(_settle(moving, reserved).select("text", "base", "key"))
 
 
-def _keyed(df: DataFrame, reserved: DataFrame) -> DataFrame:
+def _keyed(df: DataFrame, reserved: DataFrame | None) -> DataFrame:
     """Adds the key that each pointer (n-th slot of the base that is not reserved) stands for."""
+    if reserved is None:
+        return _with_key(df.withColumn("skips", F.lit(0).cast("long")))
     touched = reserved.select("base").distinct()
     plain = df.join(touched, "base", "left_anti").withColumn("skips", F.lit(0).cast("long"))
     skipping = df.join(touched, "base", "left_semi")
     skipped = skipping.join(_skips(skipping, reserved), "text").select(*plain.columns)
+    return _with_key(plain.unionByName(skipped))
+
+
+def _with_key(df: DataFrame) -> DataFrame:
     number = F.col("pointer") + F.col("skips")
     suffix = F.when(number == 1, F.lit("")).otherwise(number.cast("string"))
-    return plain.unionByName(skipped).withColumn("key", F.concat("base", suffix)).drop("skips")
+    return df.withColumn("key", F.concat("base", suffix)).drop("skips")
 
 
 def _losers(placed: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def _losers(placed: DataFrame) -> DataFrame:
     return placed.join(first, "key").filter("ord > _first").select("text", "base")
 
 
-def _settle(moving: DataFrame, reserved: DataFrame) -> DataFrame:
+def _settle(moving: DataFrame, reserved: DataFrame | None) -> DataFrame:
     placed = with_global_index(moving.select("text", "base", "ord", "pointer"), ["base", "ord"], "_k", "moving", written=True)
     while True:
         keyed = materialise(_keyed(placed, reserved), "round")

@@ -319,7 +319,7 @@ def rewrite_plan(spark, root):
 
 def _spliced(spark, root):
     pages = spread(table(spark, root, "pages").select("page_id", "html"))
-    found = markup.candidates(pages, ["page_id"], "html", "jsx").filter("kind = 'MarkupText'")
+    found = markup.candidates(pages, ["page_id"], "html", "html").filter("kind = 'MarkupText'")
     p = rewrite.plan(F.lit("jsx"), F.col("kind"), F.concat(F.lit("T"), short_hash(F.col("text"), 16)), F.col("member"))
     edits = found.select("page_id", "span_start", "raw", p["replacement"].alias("replacement"))
     return rewrite.splice(pages, ["page_id"], "html", edits)
