@@ -13,10 +13,10 @@ from .text import trim_ws
 
 def rules(c: Column, letter_run: str = fixed.ASCII_WORD) -> dict[str, Column]:
     """``letter_run`` is opt-in for non-Latin sources, e.g. ``\\p{L}{2}``."""
-    return _rules(trim_ws(c), letter_run)
+    return trimmed_rules(trim_ws(c), letter_run)
 
 
-def _rules(t: Column, letter_run: str) -> dict[str, Column]:
+def trimmed_rules(t: Column, letter_run: str = fixed.ASCII_WORD) -> dict[str, Column]:
     spaceless = ~F.contains(t, F.lit(" "))
     return {
         "n01_short": F.length(t) < 2,
@@ -41,7 +41,7 @@ _SPACELESS = ("n05_path", "n06_guid", "n07_colour", "n11_screaming", "n12_identi
 
 def is_noise_trimmed(t: Column, letter_run: str = fixed.ASCII_WORD) -> Column:
     """For a column that is trimmed already."""
-    r = _rules(t, letter_run)
+    r = trimmed_rules(t, letter_run)
     short = reduce(lambda a, b: a | b, [r[n] for n in _SPACELESS])
     rest = reduce(lambda a, b: a | b, [c for n, c in r.items() if n not in _SPACELESS])
     return rest | (~F.contains(t, F.lit(" ")) & short)
@@ -57,5 +57,6 @@ def drop_noise(df: DataFrame, column: str = "text", letter_run: str = fixed.ASCI
     return out.filter(~is_noise_trimmed(F.col("_trimmed"), letter_run)).drop("_trimmed")
 
 
-def first_rule(c: Column) -> Column:
-    return F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules(c).items()], F.lit("kept"))
+def first_rule(t: Column) -> Column:
+    """Lowest rule that holds for a trimmed text."""
+    return F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in trimmed_rules(t).items()], F.lit("kept"))

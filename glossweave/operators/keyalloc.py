@@ -1,9 +1,14 @@
 """Unique keys: each text in scan order takes its base key, else the smallest free suffix from 2 up.
 
 The rule is sequential. It is also a matching in which every key prefers the earliest text, and such a matching
-is unique, so it can be reached from any side: all texts take the best key left by their own base and the
-reserved keys (a rank and a count), and only where two bases meet on one key does the later text move on.
-Moves repeat until no key has two takers. No stem, however large, is ever gathered in one task.
+is unique, so it can be reached from any side by moves that are forced: a text leaves a key only for an earlier one.
+
+* The k-th text of a base cannot stand before the k-th key of its base.
+* A key that is reserved, or held by an earlier text of another base, is passed over by the text that would reach it.
+* A text never stands before an earlier text of its own base.
+
+Rounds of such moves repeat until no key has two takers. Ranks and counts are running sums over a range-partitioned
+order, so no stem, however large, is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .ordering import ranged, running, with_global_index, with_group_rank
+from .ordering import ranged, running, with_group_rank
 
 
 def stem(c: Column) -> Column:
@@ -35,68 +40,80 @@ def _readings(key: str) -> Column:
     )
 
 
-def _skips(takers: DataFrame, reserved: DataFrame) -> DataFrame:
-    """How many reserved numbers lie before each taker's slot: (text, skips).
-
-    With reserved numbers n_1 < n_2 < ..., n_i - i free slots lie before n_i, so a pointer p skips every i with
-    n_i - i < p: a running count over both lists merged by value.
-    """
-    ranks = with_group_rank(reserved, "base", ["number"], "i", "reserved", written=True)
-    marks = ranks.select("base", ((F.col("number") - F.col("i")) * 2 + 1).alias("v"), F.col("i").alias("u"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("mark"))
-    asks = takers.select("base", (F.col("pointer") * 2).alias("v"), F.col("pointer").alias("u"), "text", F.lit(0).alias("mark"))
-    merged = running(ranged(marks.unionByName(asks), ["base", "v", "u"], "slots", written=True), "base", "mark", "skips", F.sum)
-    return merged.filter("mark = 0").select("text", "skips")
-
-
 def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """requests(text, base, ord) with unique text and ord; existing(key). Returns (text, base, key)."""
-    ranked = with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "pointer", "requests")
+    ranked = materialise(with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "k", "requests"), "ranked")
     bases = ranked.select("base").distinct()
     reserved = materialise(existing.select(F.inline(_readings("key"))).join(bases, "base", "left_semi").distinct(), "reserved")
-    reserved = None if reserved.isEmpty() else reserved
-    placed = materialise(_keyed(ranked.drop("_part", "_row"), reserved), "keys")
-    clash = _losers(placed)
+    start = ranked.withColumn("gap", F.lit(0).cast("long"))
+    if not reserved.isEmpty():
+        start = _pass_over(start, _blockers(reserved, None, start))
+    placed = materialise(_with_key(start), "keys")
+    clash = _losers(placed, reserved)
     if clash.isEmpty():
         return placed.select("text", "base", "key")
-    open_stems = clash.select(stem(F.col("base")).alias("_stem")).distinct()
+    # two bases can only meet inside one stem; every other stem is done
+    open_stems = placed.join(clash, "text", "left_semi").select(stem(F.col("base")).alias("_stem")).distinct()
     with_stem = placed.withColumn("_stem", stem(F.col("base")))
     done = with_stem.join(open_stems, "_stem", "left_anti").select("text", "base", "key")
-    moving = with_stem.join(open_stems, "_stem", "left_semi").drop("_stem")
+    moving = materialise(with_stem.join(open_stems, "_stem", "left_semi").drop("_stem"), "moving")
     return done.unionByName(_settle(moving, reserved).select("text", "base", "key"))
 
 
-def _keyed(df: DataFrame, reserved: DataFrame | None) -> DataFrame:
-    """Adds the key that each pointer (n-th slot of the base that is not reserved) stands for."""
-    if reserved is None:
-        return _with_key(df.withColumn("skips", F.lit(0).cast("long")))
-    touched = reserved.select("base").distinct()
-    plain = df.join(touched, "base", "left_anti").withColumn("skips", F.lit(0).cast("long"))
-    skipping = df.join(touched, "base", "left_semi")
-    skipped = skipping.join(_skips(skipping, reserved), "text").select(*plain.columns)
-    return _with_key(plain.unionByName(skipped))
-
-
 def _with_key(df: DataFrame) -> DataFrame:
-    number = F.col("pointer") + F.col("skips")
-    suffix = F.when(number == 1, F.lit("")).otherwise(number.cast("string"))
-    return df.withColumn("key", F.concat("base", suffix)).drop("skips")
+    number = F.col("k") + F.col("gap")
+    return df.withColumn("number", number).withColumn("key", F.concat("base", F.when(number == 1, F.lit("")).otherwise(number.cast("string"))))
 
 
-def _losers(placed: DataFrame) -> DataFrame:
-    """Texts that share a key with an earlier text."""
+def _losers(placed: DataFrame, reserved: DataFrame) -> DataFrame:
+    """Texts on a reserved key, or on the key of an earlier text."""
     first = placed.groupBy("key").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    return placed.join(first, "key").filter("ord > _first").select("text", "base")
+    later = placed.join(first, "key").filter("ord > _first").select("text")
+    return later.unionByName(placed.join(reserved, ["base", "number"], "left_semi").select("text")).distinct()
+
+
+def _blockers(reserved: DataFrame, held: DataFrame | None, requests: DataFrame) -> DataFrame:
+    """(base, number, fixed, holder): reserved numbers, and numbers held by texts of other bases."""
+    kind = requests.schema["ord"].dataType
+    out = reserved.select("base", "number", F.lit(True).alias("fixed"), F.lit(None).cast(kind).alias("holder"))
+    if held is not None:
+        readings = held.select(F.col("base").alias("_own"), "ord", F.inline(_readings("key")))
+        foreign = readings.filter("base <> _own").join(requests.select("base").distinct(), "base", "left_semi")
+        out = out.unionByName(foreign.select("base", "number", F.lit(False).alias("fixed"), F.col("ord").alias("holder")))
+    return out.groupBy("base", "number").agg(F.bool_or("fixed").alias("fixed"), F.min("holder").alias("holder"))
+
+
+def _pass_over(requests: DataFrame, blockers: DataFrame) -> DataFrame:
+    """Sets ``gap``: how many blocked numbers each text passes over.
+
+    The text that reaches number n is the one of rank n minus the blocked numbers before n, and it passes over n
+    when the holder is earlier. Counting first with the latest text that could reach n counts too many, so the
+    second count, which starts from it, never counts too many: every move it makes is forced.
+    """
+    times = requests.select("base", F.col("k").alias("_slot"), F.col("ord").alias("_t"))
+
+    def at(df: DataFrame, slot: Column) -> DataFrame:
+        return df.withColumn("_slot", slot).join(times, ["base", "_slot"], "left").drop("_slot")
+
+    many = at(blockers, F.col("number")).withColumn("_n", F.when(F.col("fixed") | F.col("_t").isNull() | (F.col("holder") < F.col("_t")), 1).otherwise(0)).drop("_t")
+    counted = running(ranged(many, ["base", "number"], "blockers"), "base", "_n", "_before", F.sum)
+    sure = at(counted, F.col("number") - (F.col("_before") - F.col("_n")))
+    sure = sure.filter(F.col("fixed") | F.coalesce(F.col("holder") < F.col("_t"), F.lit(False))).select("base", "number")
+    # with passed numbers n_1 < n_2 < ..., n_i - i texts stand before n_i: a running count over both lists merged
+    marks = with_group_rank(sure, "base", ["number"], "i", "passed")
+    marks = marks.select("base", ((F.col("number") - F.col("i")) * 2 + 1).alias("v"), F.col("i").alias("u"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("mark"))
+    asks = requests.select("base", (F.col("k") * 2).alias("v"), F.col("k").alias("u"), "text", F.lit(0).alias("mark"))
+    merged = running(ranged(marks.unionByName(asks), ["base", "v", "u"], "merged", written=True), "base", "mark", "_passed", F.sum)
+    passed = merged.filter("mark = 0").select("text", F.col("_passed").alias("_gap"))
+    return requests.join(passed, "text").withColumn("gap", F.greatest("gap", "_gap")).drop("_gap")
 
 
-def _settle(moving: DataFrame, reserved: DataFrame | None) -> DataFrame:
-    placed = with_global_index(moving.select("text", "base", "ord", "pointer"), ["base", "ord"], "_k", "moving", written=True)
+def _settle(keyed: DataFrame, reserved: DataFrame) -> DataFrame:
     while True:
-        keyed = materialise(_keyed(placed, reserved), "round")
-        losers = materialise(_losers(keyed).select("text", F.lit(1).alias("_lost")), "losers")
-        if losers.isEmpty():
+        lost = materialise(_losers(keyed, reserved).withColumn("_lost", F.lit(1)), "losers")
+        if lost.isEmpty():
             return keyed
-        moved = keyed.join(losers, "text", "left")
-        moved = moved.withColumn("_gap", F.col("pointer") + F.coalesce("_lost", F.lit(0)) - F.col("_k"))
-        # a text never stands before an earlier text of its own base
-        placed = running(moved, "base", "_gap", "_lead").withColumn("pointer", F.col("_lead") + F.col("_k"))
-        placed = placed.select("text", "base", "ord", "pointer", "_part", "_row", "_k")
+        moved = keyed.join(lost, "text", "left").withColumn("gap", F.col("gap") + F.coalesce("_lost", F.lit(0))).drop("_lost", "number", "key")
+        moved = _pass_over(moved, _blockers(reserved, keyed, keyed))
+        moved = running(moved, "base", "gap", "_lead").withColumn("gap", F.col("_lead")).drop("_lead")
+        keyed = materialise(_with_key(moved), "round")

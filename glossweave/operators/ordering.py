@@ -35,10 +35,9 @@ def with_global_index(df: DataFrame, order: list, name: str = "id", label: str =
 
 
 def with_group_rank(df: DataFrame, group: str, order: list, name: str = "rank", label: str = "rank", written: bool = False) -> DataFrame:
-    """1-based rank inside ``group``; a group may span many partitions."""
-    indexed = with_global_index(df, [group, *order], "_index", label, written)
-    first = indexed.groupBy(group).agg(F.min("_index").alias("_first"))
-    return indexed.join(first, group).withColumn(name, F.col("_index") - F.col("_first") + 1).drop("_first", "_index")
+    """1-based rank inside ``group``; a group may span many partitions. Adds ``_part`` and ``_row`` as well."""
+    placed = ranged(df, [group, *order], label, written)
+    return running(placed.withColumn("_one", F.lit(1).cast("long")), group, "_one", name, F.sum).drop("_one")
 
 
 def running(placed: DataFrame, group: str, value: str, name: str, how=F.max) -> DataFrame:

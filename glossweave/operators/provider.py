@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
@@ -105,18 +104,3 @@ def all_failed(answers: DataFrame) -> DataFrame:
     return answers.agg(
         F.count("*").alias("total"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.min("error").alias("first_error")
     ).withColumn("abort", (F.col("total") > 0) & (F.col("failed") == F.col("total")))
-
-
-def response_tokens(usage: DataFrame) -> DataFrame:
-    return usage.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-
-
-def parse_verdicts(raw: DataFrame, column: str) -> DataFrame:
-    """Model text to typed verdicts; unreadable payloads give no row."""
-    schema = "array<struct<id:string,user_facing:boolean,reason:string,key:string>>"
-    return raw.select(F.explode(F.from_json(column, schema)).alias("v")).select("v.*").filter("id is not null")
-
-
-def prompt(texts: list[str], examples: list[tuple[str, str]], glossary: list[str], context: str) -> str:
-    """Plain request document; the wording is this library's own."""
-    return json.dumps({"context": context, "glossary": sorted(glossary), "examples": examples, "texts": texts}, ensure_ascii=False)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import escapes, keys, locales, noise, text as tx
-from ..session import table
+from ..session import evaluate_once, table
 from . import derive as d
 from .registry import query
 
@@ -18,19 +18,20 @@ SELECT text, {', '.join(f'coalesce({sql}, false) AS {name}' for name, sql in d.s
        {d.sql_noise('text')} AS is_noise
 FROM (SELECT DISTINCT text FROM corpus WHERE text IS NOT NULL) c""")
 def noise_flags(spark, root):
-    c = F.col("text")
-    distinct = d.corpus(spark, root).filter(c.isNotNull()).select("text").distinct()
-    return distinct.select("text", *[r.alias(n) for n, r in noise.rules(c).items()], noise.is_noise(c).alias("is_noise"))
+    distinct = d.corpus(spark, root).filter("text is not null").select("text").distinct()
+    flags = noise.trimmed_rules(F.col("t"))
+    once = evaluate_once(distinct, ["text"], t=tx.trim_ws(F.col("text"))).select("text", *[r.alias(n) for n, r in flags.items()])
+    return once.withColumn("is_noise", F.expr(" OR ".join(flags)))
 
 
 @query("N1-N13,A1", WITH + d.CORPUS + f"""
 SELECT origin, count(*) AS total, count(*) FILTER (NOT noise) AS kept, count(*) FILTER (noise) AS dropped
 FROM (SELECT origin, {d.sql_noise('text')} AS noise FROM corpus) c GROUP BY origin""")
 def noise_filter(spark, root):
-    flagged = d.corpus(spark, root).select("origin", noise.is_noise(F.col("text")).alias("noise"))
-    return flagged.groupBy("origin").agg(
-        F.count("*").alias("total"), F.count_if(~F.col("noise")).alias("kept"), F.count_if(F.col("noise")).alias("dropped")
-    )
+    # no shuffle of texts: each row is judged where it is read, only one counter per origin moves
+    trimmed = evaluate_once(d.corpus(spark, root), ["origin"], t=tx.trim_ws(F.col("text")))
+    counts = trimmed.groupBy("origin").agg(F.count("*").alias("total"), F.count_if(~noise.is_noise_trimmed(F.col("t"))).alias("kept"))
+    return counts.withColumn("dropped", F.col("total") - F.col("kept"))
 
 
 @query("N1-N13", WITH + d.CORPUS + f"""
@@ -40,7 +41,8 @@ SELECT rule, count(*) AS n, count(DISTINCT text) AS distinct_texts FROM (
 def noise_first_rule(spark, root):
     # one row per text before the distinct count: a hot text collapses inside each task
     per_text = d.corpus(spark, root).groupBy("text").count()
-    return per_text.groupBy(noise.first_rule(F.col("text")).alias("rule")).agg(
+    per_text = evaluate_once(per_text, ["text", "count"], t=tx.trim_ws(F.col("text")))
+    return per_text.groupBy(noise.first_rule(F.col("t")).alias("rule")).agg(
         F.sum("count").alias("n"), F.count("text").alias("distinct_texts")
     )
 

@@ -35,9 +35,16 @@ def test_random_collisions(spark):
 
 
 def test_hot_base(spark):
-    requests = [(f"t{i}", "Hot" if i % 3 else f"Hot{i}", i) for i in range(24)]
+    requests = [(f"t{i}", "Hot" if i % 3 else f"Hot{i}", i) for i in range(90)]
     check(spark, requests, ["Hot5", "Hot10", "Hot"])
 
 
 def test_no_collisions(spark):
     check(spark, [("a", "X", 2), ("b", "Y", 1)], [])
+
+
+def test_interleaved_order_is_random(spark):
+    rng = random.Random(3)
+    names = ["Hot"] * 40 + [f"Hot{i}" for i in range(2, 30)] + ["Hot1", "Hot12", "Hot12"]
+    ords = rng.sample(range(1000), len(names))
+    check(spark, [(f"t{i}", n, ords[i]) for i, n in enumerate(names)], ["Hot7", "Hot122"])
