@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}")
     for name in ("max-files", "batch-size", "concurrency"):
         p.add_argument(f"--{name}", type=int)
-    for name in ("apply", "retranslate", "include-diagnostics"):
+    for name in ("apply", "apply-setup", "retranslate", "include-diagnostics"):
         p.add_argument(f"--{name}", action="store_true", default=None)
     p.add_argument("--no-cache", action="store_true")
     p.add_argument("--json", action="store_true", help="one JSON summary line")

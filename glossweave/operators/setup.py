@@ -126,3 +126,19 @@ def add_yaml_flag(content: Column, section: str, line: str) -> Column:
     into = F.regexp_replace(content, rf"(?m)^{section}:[ ]*$", f"{section}:\n  {line}")
     end = F.concat(F.regexp_replace(content, r"\n*$", ""), F.lit(f"\n{section}:\n  {line}\n"))
     return F.when(has, content).when(content.rlike(rf"(?m)^{section}:[ ]*$"), into).otherwise(end)
+
+
+def built_in_fixes(files: DataFrame, steps: DataFrame) -> DataFrame:
+    """files(path, content) changed by the automatic fix of an open step: (path, content), changed files only."""
+    todo = {r.step for r in steps.filter(~F.col("satisfied") & F.col("automatic")).select("step").collect()}  # a handful of steps
+    c, p = F.col("content"), F.col("path")
+    new = c
+    if "neutral language" in todo:
+        new = F.when(p.rlike(r"\.csproj$"), add_property(new, "NeutralLanguage", "en")).otherwise(new)
+    if "packages" in todo:
+        new = F.when(p == "package.json", add_json_dependency(new, "i18next", "^23.0.0")).otherwise(new)
+    if "generate flag" in todo:
+        new = F.when(p == "pubspec.yaml", add_yaml_flag(new, "flutter", "generate: true")).otherwise(new)
+    if "intl package" in todo:
+        new = F.when(p == "pubspec.yaml", add_yaml_flag(new, "dependencies", "intl: any")).otherwise(new)
+    return files.select("path", c.alias("_old"), new.alias("content")).filter("content <> _old").drop("_old")

@@ -32,6 +32,7 @@ class RunResult:
     outcomes: DataFrame | None = None
     final: DataFrame | None = None
     refused_rewrite: bool = False
+    fixed: list = field(default_factory=list)
     rewritten: dict = field(default_factory=dict)
     merged: dict = field(default_factory=dict)
     asked: int = 0
@@ -79,6 +80,13 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     found = materialise(scan.with_ids(scan.candidates(scannable, o.stack, o.include_diagnostics)), "candidates")
     findings = setup.findings(tree).filter(F.col("stack") == o.stack).drop("project")
     result = RunResult(o, found, findings)
+    if o.apply_setup:
+        fixes = setup.built_in_fixes(tree.select("path", "content"), findings).join(everything.select("path", "has_bom"), "path")
+        result.fixed = sorted(r.path for r in src.write_back(fixes.withColumnRenamed("content", "text"), o.project).collect())
+        if result.fixed:
+            changed = src.walk(spark, o.project).filter(F.col("path").isin(*result.fixed)).select(F.lit(".").alias("project"), "path", F.col("text").alias("content"))
+            tree = materialise(tree.filter(~F.col("path").isin(*result.fixed)).unionByName(changed), "tree")
+            result.findings = findings = setup.findings(tree).filter(F.col("stack") == o.stack).drop("project")
     if o.scan_only:
         result.seconds = time.time() - began
         return result
@@ -152,6 +160,8 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     _save(inc.new_state(final, state), state_path)
     _save(learned.select("lang", "source_text", "wording", "ord"), approved_path)
 
+    _emit(spark, o, corpus)
+
     # rewriting waits for the set-up
     if o.apply:
         gate = setup.gate(findings, ["stack"]).first()
@@ -160,9 +170,36 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
         else:
             result.rewritten = _rewrite(spark, o, everything, found.join(scanned.select("text", "key"), "text"))
     result.seconds = time.time() - began
+    _report(spark, result)
     return result
 
 
+def _emit(spark: SparkSession, o: RunOptions, corpus: DataFrame) -> None:
+    """Runtime glue: the accessor class for .NET, a bootstrap module for the web, nothing for the others."""
+    if o.stack == "dotnet":
+        path = f"{o.resource_dir}/{o.base_name}.Designer.cs"
+        accessor = report.accessor_file(spark, corpus.select("key"), path, "App.Resources", o.base_name)
+        bundles.publish(spark, bundles.write_lines(accessor), o.project).collect()
+    elif o.stack == "web":
+        target = os.path.join(o.project, "src", "i18n.js")
+        if not os.path.exists(target):
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "w", encoding="utf-8") as out:
+                out.write(report.bootstrap(o.source_language, o.base_name))
+
+
+def _report(spark: SparkSession, r: RunResult) -> None:
+    head = {"stack": r.options.stack, "format": r.options.fmt, "languages": ", ".join(r.options.languages), "requests": r.asked, "seconds": round(r.seconds, 1)}
+    head |= {f"bundle {path}": ", ".join(f"{n} {status}" for status, n in sorted(c.items())) for path, c in sorted(r.merged.items())}
+    head |= {f"rewrite {k}": v for k, v in r.rewritten.items()}
+    if r.refused_rewrite:
+        head["rewrite"] = "refused: a blocking set-up step is open"
+    left_out = r.candidates.join(r.verdicts.filter("label <> 'localized'").select("text", F.coalesce("reason", "label").alias("reason")), "text")
+    entries = r.candidates.join(r.final.select("text", "key", "lang", "value"), "text").select("path", "line", "key", "text", "lang", "value")
+    rows = report.lines(spark, head, r.findings, r.outcomes, r.final, entries, left_out.select("path", "line", "text", "reason"), list(r.options.languages))
+    bundles.publish(spark, bundles.write_lines(materialise(rows, "report")), r.options.work).collect()
+
+
 def cl_fingerprint(o: RunOptions, model: pv.Provider):
     from .functions.text import fingerprint
 
@@ -203,9 +240,3 @@ def _rewrite(spark: SparkSession, o: RunOptions, files: DataFrame, entries: Data
     totals["files"] = written.count()
     totals["not_rewritable"] = planned.filter("plan is null").count()
     return totals
-
-
-def report_rows(result: RunResult) -> DataFrame:
-    """Report body: one row per entry, ordered by file (ignoring case) and line when written."""
-    e = result.candidates.join(result.final.select("text", "key", "lang", "value"), "text")
-    return report.entry_rows(e.select("path", "line", "key", "text", "lang", "value"), list(result.options.languages))

@@ -80,7 +80,7 @@ def html_text_nodes(spark, root):
     return nodes.filter(~noise.is_noise_trimmed(F.col("text"))).groupBy("page_id", "text").agg(F.count("*").alias("occurrences"))
 
 
-@query("S1,X1,X9,X8,N1-N13,A2,O2", "WITH " + _nodes() + f"""
+@query("X1,X9,X8,N1-N13,A2", "WITH " + _nodes() + f"""
 SELECT text, count(*) AS occurrences, count(DISTINCT page_id) AS pages, min(page_id) AS first_page
 FROM nodes WHERE NOT {d.sql_noise('text')} GROUP BY text""")
 def scan_only_summary(spark, root):

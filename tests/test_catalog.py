@@ -20,7 +20,7 @@ CROSS_SECTION = [
     "splice_pages", "bundle_roundtrip_arb", "adjacent_merge", "event_cursor",
 ]
 # covered by tests of functions or of the pipeline, or hosts that the README leaves out
-ELSEWHERE = set("S2 S10 S11 U5 W6 W9 W11 W12 M2 M5 M7 I6 E2 E3 H1 G1 G3 G4 R4 P3 D2 D3 D4 D5 D18 D19".split())
+ELSEWHERE = set("S1 S2 S10 S11 U5 W6 W9 W11 W12 M2 M5 M7 I6 E2 E3 H1 G1 G3 G4 R4 P3 D2 D3 D4 D5 D18 D19".split())
 
 
 @pytest.fixture(scope="module")

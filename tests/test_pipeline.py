@@ -78,6 +78,12 @@ def test_runs_of_one_project(spark, tmp_path):
     assert read(spark, root, "Resources/Strings.de.resx", "resx")["OrderSaved"] == "[de] Order saved."
     assert first.asked > 0
 
+    report = open(os.path.join(root, ".glossweave/report.md"), encoding="utf-8").read()
+    assert report.startswith("# Localization run\n") and report.index("## Set-up") < report.index("## Coverage") < report.index("## Entries") < report.index("## Left out")
+    assert "| Orders.cs | 10 | OrderSaved | Order saved. | [de] Order saved. | [fr] Order saved. |" in report
+    accessor = open(os.path.join(root, "Resources/Strings.Designer.cs"), encoding="utf-8").read()
+    assert 'public static string OrderSaved => Get("OrderSaved");' in accessor and accessor.endswith("    }\n}\n")
+
     again = run(spark, options(root))
     assert again.asked == 0
     assert {r.lang: (r.already, r.total) for r in again.outcomes.collect()} == {"de": (2, 2), "fr": (2, 2)}
@@ -130,6 +136,23 @@ def test_failures(spark, tmp_path):
     assert open(os.path.join(root, "Resources/Strings.resx")).read() == "<root><data name="
 
 
+def test_blocked_setup_refuses_then_fixes(spark, tmp_path):
+    root = project(tmp_path, {
+        "package.json": '{"name": "a", "dependencies": {"react": "^18.0.0"}}', "src/main.js": 'import "./i18n";\nalert("Welcome back");\n',
+        "src/App.jsx": 'export const A = () => (\n  <div title="Main page">Hello there</div>\n);\n', "src/App.test.jsx": 'alert("Test text");',
+    })
+    first = run(spark, options(root, apply=True))
+    assert first.refused_rewrite and 'alert("Welcome back")' in open(os.path.join(root, "src/main.js")).read()
+    assert read(spark, root, "src/locales/de/Strings.json", "i18next") == {
+        "MainPage": "[de] Main page", "HelloThere": "[de] Hello there", "WelcomeBack": "[de] Welcome back"}
+    assert os.path.exists(os.path.join(root, "src/i18n.js"))
+    second = run(spark, options(root, apply=True, apply_setup=True))
+    assert second.fixed == ["package.json"] and not second.refused_rewrite
+    assert '"i18next": "^23.0.0", "react"' in open(os.path.join(root, "package.json")).read()
+    app = open(os.path.join(root, "src/App.jsx")).read()
+    assert '<div title={t("MainPage")}>{t("HelloThere")}</div>' in app and app.startswith('import { t } from "./i18n";\n')
+
+
 def test_options():
     o = merge_config({"project": "a", "languages": ["de"], "batch_size": 10}, {"languages": ["DE", "fr"], "batch_size": 20})
     assert o.languages == ("de", "fr") and o.batch_size == 20
