@@ -57,7 +57,8 @@ def _unescape(c: Column, special: dict[str, str]) -> Column:
             out = out.when(t == old, F.lit(new))
         return out.when(t.rlike(r"(?s)^\\.$"), F.substring(t, 2, 1)).otherwise(t)
 
-    return F.array_join(F.transform(tokens, one), "")
+    # most texts hold no escape: they skip the cutting
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(tokens, one), "")).otherwise(c)
 
 
 def unescape_android(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
@@ -35,16 +33,20 @@ def trimmed_rules(t: Column, letter_run: str = fixed.ASCII_WORD) -> dict[str, Co
     }
 
 
-# rules that can only hold for a text without blanks: one look for a blank spares prose six patterns
-_SPACELESS = ("n05_path", "n06_guid", "n07_colour", "n11_screaming", "n12_identifier", "n13_short_lower")
+def _either(*patterns: str) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+# the same rules for filtering: one pattern per question, and prose (which has blanks) is spared the second
+_ANY = _either(fixed.URI_SCHEME, fixed.MEDIA_TYPE, fixed.DATE_PATTERN)
+_SPACELESS = _either(fixed.PATH_LIKE, fixed.GUID, fixed.HEX_COLOUR, fixed.SCREAMING, fixed.IDENTIFIER, fixed.SHORT_LOWER)
 
 
 def is_noise_trimmed(t: Column, letter_run: str = fixed.ASCII_WORD) -> Column:
     """For a column that is trimmed already."""
-    r = trimmed_rules(t, letter_run)
-    short = reduce(lambda a, b: a | b, [r[n] for n in _SPACELESS])
-    rest = reduce(lambda a, b: a | b, [c for n, c in r.items() if n not in _SPACELESS])
-    return rest | (~F.contains(t, F.lit(" ")) & short)
+    sql = t.rlike(fixed.SQL_VERB) & t.rlike(fixed.SQL_CLAUSE)
+    rest = (F.length(t) < 2) | ~t.rlike(letter_run) | ~t.rlike(fixed.LETTER) | t.rlike(_ANY) | sql
+    return rest | (~F.contains(t, F.lit(" ")) & t.rlike(_SPACELESS))
 
 
 def is_noise(c: Column, letter_run: str = fixed.ASCII_WORD) -> Column:

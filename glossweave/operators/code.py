@@ -191,22 +191,20 @@ def mask_comments(c: Column, d: CodeDialect) -> Column:
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(p)
-    return out
+    """One pattern for all, so the context is handed to the matcher once."""
+    return c.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
-def literal_body(t: Column, verbatim: bool = False) -> Column:
-    """Text between the quotes; adjacent literals are folded into one text.
-
-    ``verbatim``: an ``@`` literal has no escapes but doubled quotes (C#); elsewhere ``@`` is an ordinary prefix.
-    """
-    inner = F.regexp_replace(t, r"""^[$@]{0,2}["'`]|["'`]$""", "")
-    folded = F.regexp_replace(inner, r"""(?:"[ \t\r\n]+"|'[ \t\r\n]+')""", "")
-    if not verbatim:
-        return unescape_code(folded)
-    return F.when(t.rlike(r"^(\$@|@)"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(unescape_code(inner))
+def literal_body(t: Column, dialect: str) -> Column:
+    """Text between the quotes. Adjacent Dart literals are folded into one text; a C# ``@`` literal has no escapes
+    but doubled quotes, elsewhere ``@`` is an ordinary prefix."""
+    prefix = F.length(F.regexp_extract(t, r"^[$@]*", 0)) + 1
+    inner = F.substring(t, prefix + 1, F.length(t) - prefix - 1)
+    if dialect == "dart":
+        return unescape_code(F.regexp_replace(inner, r"""(?:"[ \t\r\n]+"|'[ \t\r\n]+')""", ""))
+    if dialect == "csharp":
+        return F.when(t.rlike(r"^(\$@|@)"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(unescape_code(inner))
+    return unescape_code(inner)
 
 
 # --- interpolation to a format string ---------------------------------------------------------
@@ -258,7 +256,7 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     if not include_diagnostics:
         found = found.filter(F.col("kind") != "Diagnostic")
     cols = [*found.columns]
-    found = evaluate_once(found, cols, body=literal_body(t, dialect == "csharp"))
+    found = evaluate_once(found, cols, body=literal_body(t, dialect))
     if dialect == "csharp":
         found = evaluate_once(found, [*cols, "body"], pieces=F.when(t.rlike(r"^\$@?\"|^@\$\""), extract_all(F.col("body"), PIECE)))
         is_format = F.coalesce(F.exists("pieces", _is_hole), F.lit(False))

@@ -218,12 +218,12 @@ STRING_COLUMNS = [
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(origin, text): every string column plus the document lines."""
+    """(origin, text): every string column plus the document lines; each table is scanned once."""
     out = lines(spark, root).select(F.lit("documents.line").alias("origin"), "text")
-    for name, column in STRING_COLUMNS:
-        out = out.unionByName(
-            table(spark, root, name).select(F.lit(f"{name}.{column}").alias("origin"), F.col(column).alias("text"))
-        )
+    for name in dict.fromkeys(t for t, _ in STRING_COLUMNS):
+        columns = [c for t, c in STRING_COLUMNS if t == name]
+        cells = F.array(*[F.struct(F.lit(f"{name}.{c}").alias("origin"), F.col(c).alias("text")) for c in columns])
+        out = out.unionByName(spread(table(spark, root, name).select(*columns)).select(F.inline(cells)))
     return out
 
 
