@@ -251,7 +251,9 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     if not d.escapes_rewritable:
         literals = literals.filter(~F.contains(t, F.lit("\\")))
     cols = literals.columns
-    literals = evaluate_once(literals, cols, ctx=F.substring("before", -LOOK_BACK, LOOK_BACK))
+    # blanked comments and indentation shrink to one blank: the rules look for names, not for widths
+    near = F.regexp_replace(F.substring("before", -LOOK_BACK, LOOK_BACK), r"[ \t]{2,}", " ")
+    literals = evaluate_once(literals, cols, ctx=near)
     found = evaluate_once(literals, [*cols, "ctx"], kind=_kind(d)).filter(F.col("kind").isNotNull())
     if not include_diagnostics:
         found = found.filter(F.col("kind") != "Diagnostic")
