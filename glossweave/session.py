@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -51,10 +52,14 @@ def evaluate_once(df: DataFrame, keep: list[str], **columns) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session without the setting (tests on one machine) gets a local default.
+    Only a session on one machine (master ``local``) gets a local default; on a cluster a missing setting is an error,
+    because files in a folder of one machine are not seen by the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "/tmp/glossweave-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
