@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import mixing
+from glossweave.llm import mixing, tokens
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,11 @@ def query(sql: str | None = None):
 def op7_mix_sources(spark: SparkSession, root: str) -> DataFrame:
     """Sources weighing 1, 2, 3, repeating, share all words; at most three times a source's or document's size."""
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens of every text by the byte-level BPE of 50k entries."""
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
