@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import mixing, tokens
+from glossweave.llm import mixing, tokens, warc
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,11 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(warc.SQL)
+def op3_warc_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """A WARC record for every page, written to archives and read back by the salvage reader."""
+    found = warc.round_trip(spark, table(spark, root, "pages")).filter("problem IS NULL")
+    return found.select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
