@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import mixing, tokens, warc
+from glossweave.llm import mixing, tokens, urls, warc
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,10 @@ def op3_warc_round_trip(spark: SparkSession, root: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, root, "pages")).filter("problem IS NULL")
     return found.select(
         F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+@query(urls.SQL)
+def op2_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    """Verdicts on all page URLs by the five listed entries; what none fits is allowed."""
+    listed = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, root, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
