@@ -106,7 +106,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
 
     no_key = F.array().cast("array<struct<entry:string,host_length:int,path_length:int>>")
     probed = parted.withColumn("asked", F.coalesce(asked, no_key))
-    probed = probed.withColumn("asked", F.transform(F.filter(F.arrays_zip("asked", passes(F.transform("asked", lambda a: F.xxhash64(a["entry"]))).alias("pass")), lambda z: z["pass"]), lambda z: z["asked"]))
+    passes = passes.asNondeterministic()  # keeps the optimizer from copying the call into later expressions
+    probed = probed.withColumn("pass", passes(F.transform("asked", lambda a: F.xxhash64(a["entry"]))))
+    probed = probed.withColumn("asked", F.transform(F.filter(F.arrays_zip("asked", "pass"), lambda z: z["pass"]), lambda z: z["asked"])).drop("pass")
     # the verdict depends on host and path alone, so a URL that a third of all rows hold is one row of each task's partial result
     possible = probed.filter(F.size("asked") > 0)
     fits = possible.select("host", "path", F.inline("asked")).join(entries, ["entry", "host_length", "path_length"])
