@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import mixing, tokens, urls, warc
+from glossweave.llm import density, mixing, tokens, urls, warc
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_url_filter(spark: SparkSession, root: str) -> DataFrame:
     """Verdicts on all page URLs by the five listed entries; what none fits is allowed."""
     listed = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, root, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op6_main_text(spark: SparkSession, root: str) -> DataFrame:
+    """The main text of every page."""
+    return density.extract_text(table(spark, root, "pages"))
