@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import density, mixing, tokens, urls, warc
+from glossweave.llm import density, mixing, suffixes, tokens, urls, warc
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,12 @@ def op2_url_filter(spark: SparkSession, root: str) -> DataFrame:
 def op6_main_text(spark: SparkSession, root: str) -> DataFrame:
     """The main text of every page."""
     return density.extract_text(table(spark, root, "pages"))
+
+
+@query(suffixes.SQL)
+def op1_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Words of every document inside occurrences of 13-word windows of the benchmark items."""
+    found = suffixes.find_matches(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest")
