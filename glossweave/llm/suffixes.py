@@ -134,6 +134,8 @@ def search_shard(ids: np.ndarray, first: np.ndarray, block: Block) -> Found:
     lo, hi = np.searchsorted(keys, block.low, "left"), np.searchsorted(keys, block.high, "right")
     width = hi - lo
     hit = np.flatnonzero(width > 0)
+    if not len(hit):
+        return Found(*[np.zeros(0, np.int64)] * 4)
     # every occurrence with every place of its window in the items
     times = block.first[hit + 1] - block.first[hit]
     pairs = width[hit] * times
