@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import density, mixing, suffixes, tokens, urls, warc
+from glossweave.llm import bytecnn, density, mixing, suffixes, tokens, urls, warc, wordcnn
+from glossweave.llm.learning import id_remainder
 from glossweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,20 @@ def op1_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest")
+
+
+@query()
+def op9_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every text; a fifth of the ids is held out from fitting."""
+    docs, held_out = table(spark, root, "documents"), id_remainder(F.col("doc_id"), 5) == 0
+    model = bytecnn.fit_quality(docs, table(spark, root, "labels"), ~held_out, threshold=0.3)
+    return bytecnn.score(docs, model, threshold=0.3).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of every text; a third of the ids is held out from fitting. flagged: by the threshold of the language."""
+    docs, held_out = table(spark, root, "documents"), id_remainder(F.col("doc_id"), 3) == 1
+    model = wordcnn.fit_toxicity(docs, table(spark, root, "labels"), ~held_out, threshold=0.7)
+    found = wordcnn.score(docs, model, keep=("doc_id", "lang"), language="lang")
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
