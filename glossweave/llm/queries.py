@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import bytecnn, density, mixing, suffixes, tokens, urls, warc, wordcnn
+from glossweave.llm import bytecnn, density, hyperminhash, mixing, suffixes, tokens, urls, warc, wordcnn
 from glossweave.llm.learning import id_remainder
 from glossweave.session import table
 
@@ -84,3 +84,10 @@ def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     model = wordcnn.fit_toxicity(docs, table(spark, root, "labels"), ~held_out, threshold=0.7)
     found = wordcnn.score(docs, model, keep=("doc_id", "lang"), language="lang")
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "flagged")
+
+
+@query(hyperminhash.SQL_PAIRS)
+def op5_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of documents with a Jaccard similarity of 0.85 or more on three-word shingles."""
+    found = hyperminhash.near_duplicates(table(spark, root, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
