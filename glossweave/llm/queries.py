@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import bytecnn, density, hyperminhash, mixing, suffixes, tokens, urls, warc, wordcnn
+from glossweave.llm import bytecnn, density, hyperminhash, mixing, pq, suffixes, tokens, urls, warc, wordcnn
 from glossweave.llm.learning import id_remainder
 from glossweave.session import table
 
@@ -91,3 +91,9 @@ def op5_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Groups of documents with a Jaccard similarity of 0.85 or more on three-word shingles."""
     found = hyperminhash.near_duplicates(table(spark, root, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query(pq.SQL)
+def op8_near_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.93 or more."""
+    return pq.near_vectors(table(spark, root, "embeddings"), cosine=0.93)
