@@ -42,16 +42,25 @@ def map_texts(df: DataFrame, keep: list[str], text: str, result: str, make: Call
     out = df.sparkSession.createDataFrame([], result).schema
     names = [f.name for f in out]
     kept = [c for c in keep if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"))
-    for field in reversed(source.schema.fields[:-1]):
-        out.fields.insert(0, field)
-    schema = type(out)(out.fields)
+    at = kept.index(text) if text in kept else len(kept)
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if text in kept else [F.col(f"`{text}`").alias("__text")]))
+    schema = type(out)(source.schema.fields[:len(kept)] + out.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece in pieces(batch, len(kept)):
-                found = work(piece.column(len(kept)))
+            for piece in pieces(batch, at):
+                found = work(piece.column(at))
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(kept))] + [pa.array(found[n]) if not isinstance(found[n], pa.Array) else found[n] for n in names], names=kept + names)
 
     return source.mapInArrow(run, schema)
+
+
+def with_plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns named by number, and the number of each name: no operator's result clashes with them."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def own_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from glossweave.llm.bytescan import ALNUM, hash_words, scan
-from glossweave.llm.rows import buffers, pieces
+from glossweave.llm.rows import buffers, own_names, pieces, with_plain_names
 
 #: Bytes of benchmark text sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
@@ -242,10 +242,11 @@ def find_matches(
     return out.mapInArrow(finish, done)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with their own columns and nothing else."""
-    found = find_matches(docs, benchmark, keep=tuple(docs.columns), **options)
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that are not contaminated, with their own columns, whatever they are called, and nothing else."""
+    plain, names = with_plain_names(docs)
+    found = find_matches(plain, benchmark, text=names[text], keep=tuple(names.values()), **options)
+    return own_names(found.filter(~F.col("contaminated")), names)
 
 
 #: The same by joining all 13-word windows of documents and items; the longest match is the longest run on one diagonal.
