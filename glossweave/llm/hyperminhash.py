@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +31,22 @@ REGISTER_BITS, MANTISSA = 9, 10
 REGISTERS = 1 << REGISTER_BITS
 EMPTY = 0xFFFF
 #: Classes of one block in verification, and columns of its incidence matrix at a time.
-BLOCK, COLUMNS = 192, 4096
+BLOCK, COLUMNS = 384, 4096
 #: Registers are dealt to bands in a fixed mixed order: neighbours may hold one borrowed value.
 ORDER = np.random.default_rng(2017).permutation(REGISTERS)
 MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 
-def band_rows(percent: int, miss: float = 2e-5) -> int:
-    """The most registers a band, as a power of two, with which a pair at the threshold is missed by all bands at most so often."""
-    t, rows = percent / 100, 1
-    while 2 * rows <= REGISTERS and (1 - t ** (2 * rows)) ** (REGISTERS // (2 * rows)) <= miss:
-        rows *= 2
-    return rows
+def banding(percent: int, miss: float = 1e-5) -> tuple[int, int]:
+    """(registers a band, bands): the longest bands, by powers of two, and the fewest of them, with which a pair at the threshold
+    shares no band at most so often."""
+    t, rows, bands = percent / 100, 1, REGISTERS
+    while True:
+        need = math.ceil(math.log(miss) / math.log1p(-(t ** (2 * rows)))) if t < 1 else 1
+        if 2 * rows * need > REGISTERS:
+            break
+        rows, bands = 2 * rows, need
+    return rows, bands
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +105,8 @@ def densify(sketch: np.ndarray) -> np.ndarray:
     return np.take_along_axis(sketch, np.maximum(near, 0), 1)
 
 
-def band_hashes(sketch: np.ndarray, rows: int) -> np.ndarray:
-    full = np.ascontiguousarray(densify(sketch)[:, ORDER].astype(np.uint64)).reshape(len(sketch), -1, rows)
+def band_hashes(sketch: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    full = np.ascontiguousarray(densify(sketch)[:, ORDER[:rows * bands]].astype(np.uint64)).reshape(len(sketch), bands, rows)
     out = np.zeros(full.shape[:2], np.uint64)
     for j in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + full[:, :, j] + np.uint64(1))
@@ -119,13 +124,13 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, width: int, percent: int, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Columns ``keep`` + n_shingles, set_id (a hash of the set; null for an empty one), bands."""
-    rows = band_rows(percent)
+    rows, bands_of = banding(percent)
 
     def make():
         def work(texts: pa.Array) -> dict:
             hashes, first = shingles(texts, width)
             n, ids = np.diff(first), set_ids(hashes, first)
-            bands = band_hashes(registers(hashes, first), rows)
+            bands = band_hashes(registers(hashes, first), rows, bands_of)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1).view(np.int64)))
             return {"n_shingles": n, "set_id": pa.array(ids, mask=n == 0), "bands": lists}
 
@@ -208,11 +213,11 @@ def _links_in_block(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray],
     return [(int(ids[i]), int(ids[label[i]])) for i in range(m) if label[i] != i]
 
 
-def _verified(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among members (set_id, component, hashes): every pair of blocks of a component is one unit of work."""
-    blocks = members.groupBy("component").agg(F.approx_count_distinct("set_id", 0.02).alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _verified(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the sets of each component: every pair of its blocks is one unit of work."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = sets.join(groups.join(sizes, "component"), "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "hashes")
     dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
@@ -265,7 +270,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     wanted = rows.join(groups, "set_id", "left_semi").groupBy("set_id").agg(F.min("__hash").alias("text_hash"))
     sets = _sets(named, "__text_in", width, materialise(wanted, "wanted"))
-    links = materialise(_verified(sets.join(groups, "set_id"), percent), "near-links")
+    links = materialise(_verified(sets, groups, percent), "near-links")
     linked = components(links).withColumnRenamed("node", "set_id")
 
     least = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("__key").alias("least")).join(linked, "set_id", "left")
