@@ -96,3 +96,8 @@ def same_placeholders(a: Column, b: Column) -> Column:
 
 def many_unnumbered_arguments(c: Column) -> Column:
     return F.size(extract_all(F.replace(c, F.lit("%%"), F.lit("")), fixed.PRINTF_UNNUMBERED)) > 1
+
+
+def re2(pattern: str) -> str:
+    """The same pattern without possessive marks, for engines that never backtrack."""
+    return pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")

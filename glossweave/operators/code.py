@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.escapes import unescape_code
 from ..functions.noise import drop_noise
-from ..functions.text import blank, extract_all, one_line, preview
+from ..functions.text import blank, extract_all, one_line, preview, re2  # noqa: F401
 from ..session import evaluate_once
 from .spans import explode_tokens, with_tokens
 
@@ -29,7 +29,6 @@ VERBATIM = r'\$?@\$?"[^"]*+(?:""[^"]*+)*+"'
 INTERPOLATED = r'\$"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 RAW_HASH = r'#+".*?"#+'
 REST = r"[^\"'`/@$#]++|."
-LOOK_BACK = 600
 
 
 def _calls(names: str) -> str:
@@ -180,11 +179,6 @@ DIALECTS = {
 }
 
 
-def re2(pattern: str) -> str:
-    """The same pattern without possessive marks, for engines that never backtrack."""
-    return pattern.replace("*+", "*").replace("++", "+")
-
-
 def mask_comments(c: Column, d: CodeDialect) -> Column:
     """Token-aware: comment marks inside literals are left alone."""
     return F.array_join(F.transform(extract_all(c, d.token), lambda t: F.when(t.rlike(r"^/[/*]"), blank(t)).otherwise(t)), "")
@@ -252,7 +246,7 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
         literals = literals.filter(~F.contains(t, F.lit("\\")))
     cols = literals.columns
     # blanked comments and indentation shrink to one blank: the rules look for names, not for widths
-    near = F.regexp_replace(F.substring("before", -LOOK_BACK, LOOK_BACK), r"[ \t]{2,}", " ")
+    near = F.regexp_replace("before", r"[ \t]{2,}", " ")
     literals = evaluate_once(literals, cols, ctx=near)
     found = evaluate_once(literals, [*cols, "ctx"], kind=_kind(d)).filter(F.col("kind").isNotNull())
     if not include_diagnostics:

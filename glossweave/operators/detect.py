@@ -79,13 +79,19 @@ def top_manifests(files: DataFrame, names: list[str], per_name: int = 4, per_pro
     return top.withColumn("position", F.row_number().over(v)).filter(F.col("position") <= per_project)
 
 
-def nearest_module(files: DataFrame, modules: DataFrame, levels: int = 12) -> DataFrame:
-    """Each file with its nearest ancestor directory that is a module (null when none within ``levels``)."""
-    parts = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+def nearest_module(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Each file with its nearest ancestor directory that is a module, null when none is.
+
+    Ancestors are looked up once per directory, so a project's root meets its directories, not its files.
+    """
+    folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/", 0), "/$", "")
+    placed = files.select("project", "path", folder.alias("folder"))
+    folders = placed.select("project", "folder").distinct()
+    parts = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
     ups = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(parts), F.lit(levels))),
+        F.sequence(F.lit(0), F.size(parts)),
         lambda n: F.struct(n.alias("up"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "/").alias("dir")),
     )
-    above = files.select("project", "path", F.inline(ups)).join(modules.select("project", "dir").distinct(), ["project", "dir"])
-    near = above.groupBy("project", "path").agg(F.min_by("dir", "up").alias("module"))
-    return files.select("project", "path").join(near, ["project", "path"], "left")
+    above = folders.select("project", "folder", F.inline(ups)).join(modules.select("project", "dir").distinct(), ["project", "dir"])
+    near = above.groupBy("project", "folder").agg(F.min_by("dir", "up").alias("module"))
+    return placed.join(near, ["project", "folder"], "left").select("project", "path", "module")

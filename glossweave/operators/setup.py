@@ -68,9 +68,12 @@ def match_endings(content: Column, text: Column) -> Column:
 def validate(edits: DataFrame, files: DataFrame) -> DataFrame:
     """edits(step, ord, file, kind, anchor, content) against files(path, content): one refusal per edit at most,
     and a step is accepted only when all of its edits are."""
-    f = files.select(F.lower("path").alias("_path"), F.col("content").alias("_content"))
+    same = files.select(F.col("path").alias("file"), F.col("content").alias("_exact")).dropDuplicates(["file"])
+    f = files.groupBy(F.lower("path").alias("_path")).agg(F.min_by("content", "path").alias("_alike"))
     path = F.regexp_replace(F.replace("file", F.lit("\\"), F.lit("/")), r"^\./", "")
-    j = edits.withColumn("file", path).withColumn("_path", F.lower("file")).join(f, "_path", "left")
+    # paths that differ in case alone name one file of the project; with several, the one spelled alike is meant
+    j = edits.withColumn("file", path).join(same, "file", "left").withColumn("_path", F.lower("file")).join(f, "_path", "left")
+    j = j.withColumn("_content", F.coalesce("_exact", "_alike")).drop("_exact", "_alike")
     outside = F.col("file").rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)")
     exists = F.col("_content").isNotNull()
     anchor = match_endings(F.col("_content"), F.col("anchor"))

@@ -18,7 +18,7 @@ def _pages(spark, root):
     return spread(table(spark, root, "pages").select("page_id", "html"))
 
 
-TOK = f"regexp_extract_all(html, {d.lit(fixed.MARKUP_TOKEN)}, 0)"
+TOK = f"regexp_extract_all(html, {d.lit(tx.re2(fixed.MARKUP_TOKEN))}, 0)"
 
 
 def dead(c: str) -> str:

@@ -8,6 +8,7 @@ are added on first insert only, and a malformed file is refused, whatever its fo
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import escapes as esc
 from ..functions.text import extract_all, many_unnumbered_arguments
-from ..session import evaluate_once, scratch_path
+from ..session import evaluate_once, materialise, scratch_path
 
 
 class MalformedBundle(ValueError):
@@ -218,9 +219,10 @@ def duplicates(files: DataFrame, fmt: str) -> DataFrame:
 
 
 def refuse_malformed(files: DataFrame, fmt: str) -> None:
-    bad = files.filter(is_malformed(F.col("text"), fmt)).select("path").limit(5).collect()
-    if bad:
-        raise MalformedBundle(f"{fmt}: cannot read {', '.join(r.path for r in bad)}; nothing was written")
+    bad = materialise(files.filter(is_malformed(F.col("text"), fmt)).select("path"), "malformed")
+    n, first = bad.agg(F.count("*"), F.min("path")).first()
+    if n:
+        raise MalformedBundle(f"{fmt}: cannot read {first}" + (f" and {n - 1} more, all listed in {bad.inputFiles()[0].rpartition('/')[0]}" if n > 1 else "") + "; nothing was written")
 
 
 def read_lines(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
@@ -244,7 +246,8 @@ def merge_lines(files: DataFrame, incoming: DataFrame, fmt: str) -> DataFrame:
     f = get(fmt)
     if f.entry is None:
         return _merge_json(files, incoming, f)
-    cells = _cells(files, f)
+    body, tail = _ending(F.col("text"), f)
+    cells = _cells(files.select("path", body.alias("text")), f)
     first = cells.filter("key is not null").groupBy("path", "key").agg(F.min("pos").alias("pos")).withColumn("first", F.lit(True))
     cells = cells.join(first, ["path", "key", "pos"], "left")
     j = cells.join(incoming.select("path", "key", F.col("value").alias("new"), "comment"), ["path", "key"], "left")
@@ -252,21 +255,27 @@ def merge_lines(files: DataFrame, incoming: DataFrame, fmt: str) -> DataFrame:
     text = F.when(update, f.update(F.col("segment"), F.col("new"))).otherwise(F.col("segment"))
     status = F.when(F.col("key").isNull(), F.lit(None)).when(update, "updated").when(F.col("new").isNull(), "kept").otherwise("unchanged")
     kept = j.select("path", F.lit(0).alias("section"), "pos", "key", text.alias("line"), status.alias("status"))
-    if f.closing:
-        # what comes before the closing tag stays in front of new entries
-        closes = F.col("key").isNull() & F.contains("line", F.lit(f.closing))
-        head = F.split_part(F.col("line"), F.lit(f.closing), F.lit(1))
-        tail = F.concat(F.lit(f.closing), F.split_part(F.col("line"), F.lit(f.closing), F.lit(2)))
-        both = F.array(F.struct(F.lit(0).alias("section"), head.alias("line")), F.struct(F.lit(2).alias("section"), tail.alias("line")))
-        same = F.array(F.struct("section", "line"))
-        kept = kept.select("path", "pos", "key", "status", F.inline(F.when(closes, both).otherwise(same))).select("path", "section", "pos", "key", "line", "status")
+    ends = files.select("path", F.lit(2).alias("section"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("key"), tail.alias("line"), F.lit(None).cast("string").alias("status"))
+    kept = kept.unionByName(ends.filter("line IS NOT NULL"))
     added = incoming.join(cells.filter("key is not null").select("path", "key").distinct(), ["path", "key"], "left_anti")
     fresh = added.select("path", F.lit(1).alias("section"), F.lit(0).cast("long").alias("pos"), "key", f.render(F.col("key"), F.col("value"), F.col("comment")).alias("line"), F.lit("added").alias("status"))
     # one line feed per row comes from the writer; a gap's own line feeds next to an entry are dropped
-    trimmed = kept.withColumn("line", F.regexp_replace("line", r"^\r?\n|\r?\n$", "")).filter("line <> ''")
+    # and a gap of two line feeds or more keeps its blank lines
+    blank_lines = F.col("line").rlike(r"\n[ \t\r]*\n")
+    trimmed = kept.withColumn("stays", blank_lines).withColumn("line", F.regexp_replace("line", r"^\r?\n|\r?\n$", "")).filter("stays OR line <> ''").drop("stays")
     return trimmed.unionByName(fresh).unionByName(_frame(files, incoming, f))
 
 
+def _ending(text: Column, f: Format) -> tuple[Column, Column]:
+    """(text before the file's own closing tag, that tag and what follows). Only white space and comments may follow, so a
+    tag named in a comment is not taken for it. Without such a tag: (text, null)."""
+    if not f.closing:
+        return text, F.lit(None).cast("string")
+    ending = r"(?s)^(.*?)(" + re.escape(f.closing) + r"\s*(?:<!--.*?-->\s*)*)\z"
+    found = text.rlike(ending)
+    return F.when(found, F.regexp_extract(text, ending, 1)).otherwise(text), F.when(found, F.regexp_extract(text, ending, 2))
+
+
 def _frame(files: DataFrame, incoming: DataFrame, f: Format) -> DataFrame:
     """Header and footer of bundles that have no file yet."""
     new = incoming.select("path").distinct().join(files.filter(F.trim("text") != "").select("path"), "path", "left_anti")
