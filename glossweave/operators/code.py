@@ -1,15 +1,19 @@
 """Candidates from code: one token pattern and one table of context rules per language.
 
-Comments are blanked first, the rest is cut into literals and the code between them, and the code just before
-a literal decides what it is. No syntax tree is built: where the context is not one of the listed positions the
-literal is left alone (or, for C#, reported as a plain code literal).
+Comments are blanked first, the rest is cut into literals and the code between them, and the code before a literal
+decides what it is: its statement from the start, through every bracket that is still open, with finished brackets and
+earlier literals each as one mark. No syntax tree is built: where the context is not one of the listed positions the literal
+is left alone (or, for C#, reported as a plain code literal).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.escapes import unescape_code
 from ..functions.noise import drop_noise
@@ -31,8 +35,63 @@ RAW_HASH = r'#+".*?"#+'
 REST = r"[^\"'`/@$#]++|."
 
 
+# marks of an earlier literal and of a finished bracket in a context
+LITERAL, GROUP = "\u00a7", "\u00a4"
+STOPS = re.compile(r"[()\[\]{};\n]")
+#: A line that ends so goes on in the next one.
+GOES_ON = re.compile(r"(?:[=+,.?:&|<>(-]|\b(?:const|return|throw|new|is|case|or|and|not))[ \t\r]*$")
+QUOTED = re.compile(r"""(?s)^[#$@]*(["'`]).*["'`]#*$""")
+
+
+def contexts(tokens: list[str]) -> list[str | None]:
+    """For each literal the code before it in its statement, through all open brackets; null for other tokens. One pass."""
+    out: list[str | None] = []
+    levels: list[tuple[str, str]] = []  # what stands before each open bracket, and the bracket
+    now = ""
+    for t in tokens:
+        if len(t) > 1 and QUOTED.match(t):
+            start = max((i + 1 for i, (_, b) in enumerate(levels) if b == "{"), default=0)
+            out.append(re.sub(r"[ \t]{2,}", " ", "".join(x + b for x, b in levels[start:]) + now))
+            now += LITERAL
+            continue
+        out.append(None)
+        at = 0
+        for m in STOPS.finditer(t):
+            now += t[at:m.start()]
+            at, c = m.end(), m[0]
+            if c in "([{":
+                levels.append((now, c))
+                now = ""
+            elif c in ")]}":
+                if levels:
+                    now, opened = levels.pop()
+                    # a block ends its statement, unless it stands within brackets
+                    now = "" if opened == "{" and not (levels and levels[-1][1] != "{") else now + GROUP
+                else:
+                    now = ""
+            elif c == ";":
+                now = ""
+            elif (levels and levels[-1][1] != "{") or GOES_ON.search(now) or not now.strip():
+                now += c
+            else:
+                now = ""
+        now += t[at:]
+    return out
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _contexts(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: None if t is None else contexts(list(t)))
+
+
 def _calls(names: str) -> str:
-    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")\([ \t\r\n]*$"
+    """A positional argument, or an operand of one, right inside the call's bracket."""
+    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")\((?:[^()\[\]{}]*(?:,|\+|\?\??|\?[^,:]*:))?[ \t\r\n]*$"
+
+
+def _inside(names: str) -> str:
+    """Anywhere right inside the call's bracket."""
+    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")\([^()\[\]{}]*$"
 
 
 def _labels(names: str) -> str:
@@ -83,7 +142,7 @@ DIALECTS = {
             _calls(r"NSLocalizedString|LocalizedStringKey|LocalizedStringResource|String\(localized:[ \t]*"),
             _labels("localized|verbatim|systemName|systemImage|named|identifier|withIdentifier|forKey|key|tableName|comment|ofType|withExtension"),
         ),
-        diagnostic=(_calls(r"print|debugPrint|NSLog|os_log|fatalError|assertionFailure|preconditionFailure|[Ll]ogger\.[a-z]+"),),
+        diagnostic=(_inside(r"print|debugPrint|NSLog|os_log|fatalError|assertionFailure|preconditionFailure|[Ll]ogger\.[a-z]+"),),
         interpolation=r"\\\(",
     ),
     "objc": CodeDialect(
@@ -101,7 +160,7 @@ DIALECTS = {
             r"(?:^|[^A-Za-z0-9_])NSLocalizedString[A-Za-z]*\([ \t\r\n]*$",
             _labels("imageNamed|forKey|objectForKey|stringForKey|withIdentifier|isEqualToString|initWithFormat|hasPrefix|hasSuffix"),
         ),
-        diagnostic=(_calls("NSLog|os_log|NSAssert|DDLog[A-Z][a-z]+"),),
+        diagnostic=(_inside("NSLog|os_log|NSAssert|DDLog[A-Z][a-z]+"),),
         interpolation=r"%@",
     ),
     "dart": CodeDialect(
@@ -119,7 +178,7 @@ DIALECTS = {
             _calls(r"Key|ValueKey|RegExp|Uri\.parse|AssetImage|Image\.asset|MethodChannel"),
             _labels("restorationId|fontFamily|package|name|heroTag"),
         ),
-        diagnostic=(_calls(r"print|debugPrint|log|developer\.log|[A-Za-z]*Exception|[A-Za-z]*Error|[Ll]ogger\.[a-z]+"),),
+        diagnostic=(_inside(r"print|debugPrint|log|developer\.log|[A-Za-z]*Exception|[A-Za-z]*Error|[Ll]ogger\.[a-z]+"),),
         interpolation=r"(?:^|[^\\])\$[A-Za-z_{]",
         blocked={"const scope": r"(?:^|[^A-Za-z0-9_])const[ \t\r\n][^;{}]*$"},
     ),
@@ -157,7 +216,8 @@ DIALECTS = {
         literal=r'(?s)^[$@]{0,2}"(?:[^"]|[^"].*)"$',
         accept={"Attribute": r"\[[A-Za-z.]+\([^\]\";]*$"},
         reject=(
-            r"(?:==|!=)[ \t\r\n]*$",
+            r"(?:==|!=)[ \t\r\n]*(?:\([^;{}]*)?$",
+            r"(?:^|[^A-Za-z0-9_])Assert\.[A-Z][A-Za-z]*\([^;{}]*$",
             r"(?:^|[^A-Za-z0-9_])(?:case|is|is not|or|using)[ \t\r\n]+$",
             r"(?:^|[^A-Za-z0-9_])const[ \t]+string[ \t]+[A-Za-z0-9_]+[ \t]*=[ \t\r\n]*$",
             _calls(
@@ -237,18 +297,15 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     """One row per accepted literal with its exact span in the original text."""
     d = DIALECTS[dialect]
     masked = evaluate_once(df, keep, _code=mask_comments(F.col(content), d))
-    tokens = explode_tokens(with_tokens(masked, keep, F.col("_code"), d.token), keep)
+    cut = with_tokens(masked, keep, F.col("_code"), d.token)
+    tokens = explode_tokens(cut.withColumn("tok_ctx", _contexts("tok")), keep, ctx="tok_ctx")
     t = F.col("token")
     literals = tokens.filter(t.rlike(d.literal))
     if d.interpolation:
         literals = literals.filter(~t.rlike(d.interpolation))
     if not d.escapes_rewritable:
         literals = literals.filter(~F.contains(t, F.lit("\\")))
-    cols = literals.columns
-    # blanked comments and indentation shrink to one blank: the rules look for names, not for widths
-    near = F.regexp_replace("before", r"[ \t]{2,}", " ")
-    literals = evaluate_once(literals, cols, ctx=near)
-    found = evaluate_once(literals, [*cols, "ctx"], kind=_kind(d)).filter(F.col("kind").isNotNull())
+    found = evaluate_once(literals, literals.columns, kind=_kind(d)).filter(F.col("kind").isNotNull())
     if not include_diagnostics:
         found = found.filter(F.col("kind") != "Diagnostic")
     cols = [*found.columns]

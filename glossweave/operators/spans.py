@@ -36,8 +36,9 @@ def with_tokens(df: DataFrame, keep: list[str], content: Column, pattern: str) -
     )
 
 
-def explode_tokens(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per token with its neighbours; no shuffle, tokens never leave the row's task."""
+def explode_tokens(df: DataFrame, keep: list[str], **arrays: str) -> DataFrame:
+    """One row per token with its neighbours, and its element of each further array column; no shuffle, tokens never leave
+    the row's task."""
     cell = F.transform(
         "tok",
         lambda t, i: F.struct(
@@ -47,6 +48,7 @@ def explode_tokens(df: DataFrame, keep: list[str]) -> DataFrame:
             F.coalesce(F.get("tok", i + 1), F.lit("")).alias("after"),
             F.get("tok_start", i).alias("span_start"),
             (F.get("tok_line", i) + 1).alias("line"),
+            *[F.get(column, i).alias(name) for name, column in arrays.items()],
         ),
     )
     return df.select(*keep, F.inline(cell))

@@ -19,6 +19,8 @@ STATEMENTS = {
         ('Text("', '")', "UiCall"), ('let a = "', '"', None), ('button.title = "', '"', "Assignment"),
         ('show(title: "', '")', "NamedArgument"), ('print("', '")', None), ('// Text("', '")', None), ('Image(systemName: "', '")', None),
         ('NSLocalizedString("', '", comment: "")', None),
+        ('Text(flag ? "', '" : other)', "UiCall"), ('Text(flag ? other : "', '")', "UiCall"), ('.alert(isPresented: $x, "', '")', "UiCall"),
+        ('print(x, label: "', '")', None),
     ],
     "objc": [
         ('[b setTitle:@"', '" forState:0];', "UiCall"), ('label.text = @"', '";', "Assignment"), ('NSLog(@"', '");', None),
@@ -27,16 +29,20 @@ STATEMENTS = {
     "dart": [
         ('Text("', '"),', "UiCall"), ('TextField(hintText: "', '"),', "NamedArgument"), ('debugPrint("', '");', None),
         ('final k = Key("', '");', None), ('const Text("', '");', "UiCall"), ('/* Text("', '") */', None),
+        ('const Column(children: [Text(x), Text("', '")]);', "UiCall"), ('log(f(x), name: g(y), error: "', '");', None),
     ],
     "android": [
         ('view.setText("', '")', "UiCall"), ('Toast.makeText(ctx, "', '", 0).show()', "UiSecondArgument"), ('Log.d(TAG, "', '")', None),
         ('Row(contentDescription = "', '")', "NamedArgument"), ('val x = "', '"', None), ('@Named("', '")', None),
+        ('@Named(text = "', '")', None), ('Log.d(TAG, x, title = "', '")', None), ('view.setText(x + "', '")', "UiCall"),
     ],
     "script": [('alert("', '");', "UiCall"), ('t("', '");', None), ('toast.error("', '");', "UiCall"), ('const a = "', '";', None)],
     "csharp": [
         ('var a = "', '";', "CodeLiteral"), ('if (a == "', '") return;', None), ('_logger.LogInformation("', '");', None),
         ('[Display("', '")]', "Attribute"), ('throw new InvalidOperationException("', '");', None), ('case "', '":', None),
         ('x = name.StartsWith("', '");', None), ('y = "', '" == z;', None), ('Go(L["', '"]);', None),
+        ('_logger.LogInformation(x + "', '");', None), ('throw new BadException(x + f(y) + "', '" + z);', None),
+        ('if (a == (flag ? "', '" : b)) return;', None), ('Assert.Fail("', '");', None), ('Go(new[] { f(x), "', '" });', "CodeLiteral"),
     ],
 }
 _IDS = {
@@ -105,7 +111,7 @@ def format_strings(spark, root):
 
 
 @query("X32,A10", "WITH " + d.LINES + f"""
-SELECT kind, count(*) AS n FROM (SELECT unnest(['CodeLiteral', 'Diagnostic', 'Attribute', 'Diagnostic']) AS kind, text FROM lines) x
+SELECT kind, count(*) AS n FROM (SELECT unnest(['CodeLiteral', 'Diagnostic', 'Attribute', 'Diagnostic', 'Diagnostic', 'Diagnostic', 'CodeLiteral']) AS kind, text FROM lines) x
 WHERE NOT {d.sql_noise('text')} GROUP BY kind""")
 def diagnostics_opted_in(spark, root):
     c = code.candidates(source_files(spark, root, "csharp"), ["doc_id"], "content", "csharp", include_diagnostics=True)
@@ -113,7 +119,7 @@ def diagnostics_opted_in(spark, root):
 
 
 @query("X3,X6,R2", "WITH " + d.LINES + f"""
-SELECT doc_id, count(*) * 3 AS applied, 0 AS skipped, true AS same FROM lines
+SELECT doc_id, count(*) * 6 AS applied, 0 AS skipped, true AS same FROM lines
 WHERE NOT {d.sql_noise('text')} AND NOT {d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS['swift'].interpolation))} GROUP BY doc_id""")
 def code_spans_hold(spark, root):
     """Every literal put back where it was found gives the same file: all spans are exact."""

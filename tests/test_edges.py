@@ -54,3 +54,24 @@ def test_files_that_differ_in_case_give_one_refusal_each(spark):
     files = spark.createDataFrame([("app/info.txt", "two"), ("app/Info.txt", "one")], "path string, content string")
     got = setup.validate(edits, files).collect()
     assert sorted((r.ord, r.refusal) for r in got) == [(1, None), (2, None)]
+
+
+@pytest.mark.parametrize("dialect,source,want", [
+    ("android", '@Named(text = "Account name")\nLog.d(TAG, "v", title = "Order id")\nRow(label = "Kept words")', {"Kept words"}),
+    ("csharp", 'Log.LogInformation("First part " + x + "Second part"); throw new BadException("Bad thing " + y + " happened here"); if (a == (flag ? "Left one" : "Right one")) return; Assert.Fail("Not for users"); var s = Make(x, "For all users");', {"For all users"}),
+    ("swift", '.alert(isPresented: $x, "Really delete")\nText(flag ? "Turn on" : "Turn off")\nprint(a, label: "More words")\nlet b = "Plain words"', {"Really delete", "Turn on", "Turn off"}),
+    ("swift", "Text(\n" + "    // long remark\n" * 400 + '"Far away words")', {"Far away words"}),
+])
+def test_context_reaches_through_open_brackets(spark, dialect, source, want):
+    from glossweave.operators import code
+
+    found = code.candidates(spark.createDataFrame([(1, source)], "id long, content string"), ["id"], "content", dialect).collect()
+    assert {r.text for r in found} == want
+
+
+def test_const_scope_reaches_all_children(spark):
+    from glossweave.operators import code
+
+    source = 'const Column(children: [Text("Alpha one"), Text("Beta two")]);\nText("Gamma three");'
+    found = code.candidates(spark.createDataFrame([(1, source)], "id long, content string"), ["id"], "content", "dart").collect()
+    assert {r.text: r.blocked_reason for r in found} == {"Alpha one": "const scope", "Beta two": "const scope", "Gamma three": None}
