@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text worked on at a time. A single longer text is one piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

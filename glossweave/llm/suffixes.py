@@ -182,64 +182,63 @@ def find_matches(
     A kept column named like a result is replaced by it. A benchmark of more than BLOCK_BYTES is looked up in several passes.
     """
     kept = [c for c in keep if c not in RESULTS]
-    context = docs.sparkSession.sparkContext
-    passed = "__items array<string>, __spans " + SPAN
-    schema = docs.select(*kept).schema
-    for f in docs.sparkSession.createDataFrame([], "__text string, " + passed).schema:
-        schema = schema.add(f)
+    at = kept.index(text) if text in kept else len(kept)
+    base = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text in kept else [F.col(f"`{text}`").alias("__text")]))
+    n_base = len(base.columns)
+    more = docs.sparkSession.createDataFrame([], f"__items array<string>, __spans {SPAN}").schema
+    passed = type(more)(base.schema.fields + more.fields)
+    results = docs.sparkSession.createDataFrame([], f"n_words long, n_hit long, item_ids array<string>, matches {SPAN}, longest long, contaminated boolean").schema
+    done = type(results)(base.schema.fields[:len(kept)] + results.fields)
     span_type = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
-    names = [f.name for f in schema]
-    k = len(kept)
 
-    def look_up(sent):
+    def look_up(sent, last: bool, first_pass: bool):
+        """One pass over the documents with one block; the last one also counts. A pass is one Python step of a task."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block: Block = sent.value
+            block: Block | None = sent.value if sent else None
             for batch in batches:
-                for piece in pieces(batch, k):
-                    data, offsets = buffers(piece.column(k))
+                for piece in pieces(batch, at):
+                    data, offsets = buffers(piece.column(at))
                     begin, end, hashes, first = scan(data, offsets, ALNUM)
-                    found = search_shard(numbers_of(data, begin, end, hashes, block), first, block)
-                    row = np.searchsorted(first, found.word, side="right") - 1
-                    items, spans = piece.column(k + 1).to_pylist(), piece.column(k + 2).to_pylist()
-                    for r, i, iw, w, n in zip(row.tolist(), found.item.tolist(), found.item_word.tolist(), (found.word - first[row]).tolist(), found.size.tolist()):
-                        spans[r].append({"item_id": block.ids[i], "item_word": iw, "doc_word": w, "n_words": n})
-                        items[r].append(block.ids[i])
+                    rows = piece.num_rows
+                    items = [[] for _ in range(rows)] if first_pass else piece.column(n_base).to_pylist()
+                    spans = [[] for _ in range(rows)] if first_pass else piece.column(n_base + 1).to_pylist()
+                    if block is not None:
+                        found = search_shard(numbers_of(data, begin, end, hashes, block), first, block)
+                        row = np.searchsorted(first, found.word, side="right") - 1
+                        for r, i, iw, w, n in zip(row.tolist(), found.item.tolist(), found.item_word.tolist(), (found.word - first[row]).tolist(), found.size.tolist()):
+                            spans[r].append({"item_id": block.ids[i], "item_word": iw, "doc_word": w, "n_words": n})
+                            items[r].append(block.ids[i])
+                    ids, places = pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, span_type)
+                    if not last:
+                        yield pa.RecordBatch.from_arrays([piece.column(c) for c in range(n_base)] + [ids, places], names=passed.names)
+                        continue
+                    sizes = pa.compute.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+                    flat = places.flatten()
+                    row = np.repeat(np.arange(rows), sizes)
+                    n = flat.field("n_words").to_numpy(zero_copy_only=False).astype(np.int64)
+                    word = first[row] + flat.field("doc_word").to_numpy(zero_copy_only=False).astype(np.int64)
+                    cover = np.zeros(int(first[-1]) + 1, np.int64)
+                    np.add.at(cover, word, 1)
+                    np.add.at(cover, word + n, -1)
+                    hits = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
+                    n_words, n_hit = np.diff(first), hits[first[1:]] - hits[first[:-1]]
+                    longest = np.zeros(rows, np.int64)
+                    np.maximum.at(longest, row, n)
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column(c) for c in range(k + 1)] + [pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, span_type)], names=names)
+                        [piece.column(c) for c in range(len(kept))] + [pa.array(n_words), pa.array(n_hit), ids, places, pa.array(longest), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
+                        names=done.names)
 
         return run
 
-    out = docs.select(*kept, F.col(text).alias("__text"), F.array().cast("array<string>").alias("__items"), F.array().cast(SPAN).alias("__spans"))
+    out, waiting, first_pass = base, None, True
     for block in _blocks(benchmark, item, item_text, window):
-        if block is not None:
-            out = out.mapInArrow(look_up(context.broadcast(block)), schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, k):
-                data, offsets = buffers(piece.column(k))
-                _, _, _, first = scan(data, offsets, ALNUM)
-                spans = piece.column(k + 2)
-                sizes = pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = spans.flatten()
-                row = np.repeat(np.arange(len(spans)), sizes)
-                at = first[row] + flat.field("doc_word").to_numpy(zero_copy_only=False).astype(np.int64)
-                n = flat.field("n_words").to_numpy(zero_copy_only=False).astype(np.int64)
-                cover = np.zeros(int(first[-1]) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + n, -1)
-                hits = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-                n_words, n_hit = np.diff(first), hits[first[1:]] - hits[first[:-1]]
-                longest = np.zeros(len(spans), np.int64)
-                np.maximum.at(longest, row, n)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(c) for c in range(k)] + [pa.array(n_words), pa.array(n_hit), piece.column(k + 1), spans, pa.array(longest), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
-                    names=kept + RESULTS)
-
-    done = docs.select(*kept).schema
-    for f in docs.sparkSession.createDataFrame([], f"n_words long, n_hit long, item_ids array<string>, matches {SPAN}, longest long, contaminated boolean").schema:
-        done = done.add(f)
-    return out.mapInArrow(finish, done)
+        if block is None:
+            continue
+        if waiting is not None:
+            out, first_pass = out.mapInArrow(look_up(waiting, False, first_pass), passed), False
+        waiting = docs.sparkSession.sparkContext.broadcast(block)
+    return out.mapInArrow(look_up(waiting, True, first_pass), done)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
