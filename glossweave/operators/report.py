@@ -41,7 +41,7 @@ def _rows(spark: SparkSession, lines: list[str], number: int) -> DataFrame:
 def lines(spark: SparkSession, head: dict, findings: DataFrame, outcomes: DataFrame, final: DataFrame, entries: DataFrame, rejected: DataFrame, languages: list[str]) -> DataFrame:
     """The whole report: counters, set-up, coverage, entries by file and line, rejected texts."""
     parts = [_rows(spark, ["# Localization run", "", *[f"* {k}: {v}" for k, v in head.items()], "", "## Set-up", ""], 0)]
-    mark = F.when(F.col("satisfied"), "done").otherwise(F.col("severity"))
+    mark = F.when(F.col("satisfied").isNull(), "not needed").when(F.col("satisfied"), "done").otherwise(F.col("severity"))
     parts.append(_section(findings, 1, F.col("step"), F.concat(F.lit("* "), "step", F.lit(": "), mark)))
     parts.append(_rows(spark, ["", "## Coverage", "", "| Language | Total | Already there | By hand | Reused | Sent | Missing |", "|---|---|---|---|---|---|---|"], 2))
     missing = final.groupBy("lang").agg(F.count_if(F.coalesce("value", F.lit("")) == "").alias("missing"))

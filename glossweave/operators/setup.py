@@ -11,7 +11,7 @@ CHECKS = [
     ("web", "manifest", "blocking", False, r"(^|/)package\.json$", r"\{"),
     ("web", "packages", "blocking", True, r"(^|/)package\.json$", r'"(i18next|vue-i18n|svelte-i18n|@ngx-translate/core)"[ ]*:'),
     ("web", "bootstrap import", "blocking", True, r"(^|/)(main|index)\.(js|ts|jsx|tsx)$", r"i18n"),
-    ("android", "locale filter", "blocking", True, r"\.gradle(\.kts)?$", r"resConfigs|resourceConfigurations|localeFilters"),
+    ("android", "locale filter", "recommended", False, r"\.gradle(\.kts)?$", r"resConfigs|resourceConfigurations|localeFilters"),
     ("apple", "project reference", "blocking", False, r"\.pbxproj$", r"\.strings"),
     ("apple", "default localization", "blocking", False, r"(^|/)Package\.swift$", r"defaultLocalization"),
     ("apple", "localizations in plist", "recommended", False, r"Info\.plist$", r"CFBundleLocalizations"),
@@ -22,12 +22,23 @@ CHECKS = [
     ("flutter", "l10n.yaml", "blocking", True, r"(^|/)l10n\.yaml$", r"."),
     ("flutter", "delegates", "blocking", False, r"\.dart$", r"localizationsDelegates"),
 ]
-
-
-def findings(files: DataFrame) -> DataFrame:
-    """(project, stack, step, severity, automatic, satisfied) from one aggregate over the files."""
-    hit = lambda p, c: F.bool_or(F.col("path").rlike(p) & F.col("content").rlike(c))
-    wide = files.groupBy("project").agg(*[hit(c[4], c[5]).alias(f"c{i}") for i, c in enumerate(CHECKS)])
+#: Steps that apply only to projects with such a file, or with a file of such content; elsewhere nothing is asked for.
+WHERE_PRESENT = {"project reference": "file", "default localization": "file", "localizations in plist": "file", "locale filter": "content"}
+
+
+def findings(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """(project, stack, step, severity, automatic, satisfied) from one aggregate over the files; satisfied is null where a
+    step does not apply. A project without a locale filter ships all languages; one with a filter should name those asked for."""
+    def hit(stack: str, step: str, severity: str, automatic: bool, p: str, c: str) -> Column:
+        here = F.col("path").rlike(p)
+        found = F.bool_or(here & F.col("content").rlike(c))
+        if step == "locale filter" and languages:
+            named = F.flatten(F.collect_set(F.when(here, language_of(locale_filter_languages(F.col("content"))))))
+            found = F.when(found, F.size(F.array_except(F.lit(sorted({x.split("-")[0].lower() for x in languages})), named)) == 0)
+        where = WHERE_PRESENT.get(step)
+        return found if not where else F.when(F.bool_or(here if where == "file" else here & F.col("content").rlike(c)), found)
+
+    wide = files.groupBy("project").agg(*[hit(*c).alias(f"c{i}") for i, c in enumerate(CHECKS)])
     cells = F.array(*[
         F.struct(F.lit(c[0]).alias("stack"), F.lit(c[1]).alias("step"), F.lit(c[2]).alias("severity"), F.lit(c[3]).alias("automatic"), F.col(f"c{i}").alias("satisfied"))
         for i, c in enumerate(CHECKS)
@@ -37,15 +48,21 @@ def findings(files: DataFrame) -> DataFrame:
 
 def gate(steps: DataFrame, by: list[str]) -> DataFrame:
     """Rewriting is refused while a blocking step is open; translations are kept either way."""
-    open_block = (F.col("severity") == "blocking") & ~F.col("satisfied")
+    done = F.coalesce("satisfied", F.lit(True))
+    open_block = (F.col("severity") == "blocking") & ~done
     return steps.groupBy(*by).agg(
-        F.every("satisfied").alias("ready"),
+        F.every(done).alias("ready"),
         F.bool_or(open_block).alias("blocked"),
         F.every(~open_block | F.col("automatic")).alias("blocking_is_automatic"),
-        F.count_if(~F.col("satisfied")).alias("open_steps"),
+        F.count_if(~done).alias("open_steps"),
     )
 
 
+def language_of(tags: Column) -> Column:
+    """Language subtags: a filter for ``pt`` keeps ``pt-BR``."""
+    return F.transform(tags, lambda t: F.lower(F.split_part(t, F.lit("-"), F.lit(1))))
+
+
 def locale_filter_languages(content: Column) -> Column:
     """Languages that a build file keeps."""
     call = F.regexp_extract(content, r"(?:resConfigs|resourceConfigurations|localeFilters)([^}\n]*)", 1)

@@ -78,7 +78,7 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     if o.max_files:
         scannable = scannable.orderBy(F.upper("path"), "path").limit(o.max_files)
     found = materialise(scan.with_ids(scan.candidates(scannable, o.stack, o.include_diagnostics)), "candidates")
-    findings = setup.findings(tree).filter(F.col("stack") == o.stack).drop("project")
+    findings = setup.findings(tree, list(o.languages)).filter(F.col("stack") == o.stack).drop("project")
     result = RunResult(o, found, findings)
     if o.apply_setup:
         fixes = setup.built_in_fixes(tree.select("path", "content"), findings).join(everything.select("path", "has_bom"), "path")
@@ -86,7 +86,7 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
         if result.fixed:
             changed = src.walk(spark, o.project).filter(F.col("path").isin(*result.fixed)).select(F.lit(".").alias("project"), "path", F.col("text").alias("content"))
             tree = materialise(tree.filter(~F.col("path").isin(*result.fixed)).unionByName(changed), "tree")
-            result.findings = findings = setup.findings(tree).filter(F.col("stack") == o.stack).drop("project")
+            result.findings = findings = setup.findings(tree, list(o.languages)).filter(F.col("stack") == o.stack).drop("project")
     if o.scan_only:
         result.seconds = time.time() - began
         return result

@@ -166,7 +166,8 @@ def namespaces(spark, root):
 
 _FINDINGS = d.TREE + ",\nfindings AS (" + " UNION ALL ".join(
     f"SELECT project, '{s}' AS stack, '{step}' AS step, '{sev}' AS severity, {str(auto).lower()} AS automatic, "
-    f"bool_or({d.sql_match('path', p)} AND {d.sql_match('content', c)}) AS satisfied FROM tree GROUP BY project"
+    + {"file": f"CASE WHEN bool_or({d.sql_match('path', p)}) THEN ", "content": f"CASE WHEN bool_or({d.sql_match('path', p)} AND {d.sql_match('content', c)}) THEN "}.get(setup.WHERE_PRESENT.get(step), "")
+    + f"bool_or({d.sql_match('path', p)} AND {d.sql_match('content', c)}) " + ("END " if step in setup.WHERE_PRESENT else "") + "AS satisfied FROM tree GROUP BY project"
     for s, step, sev, auto, p, c in setup.CHECKS
 ) + ")"
 
@@ -177,9 +178,9 @@ def setup_findings(spark, root):
 
 
 @query("A11,I7", W + _FINDINGS + """
-SELECT project, stack, bool_and(satisfied) AS ready, bool_or(severity = 'blocking' AND NOT satisfied) AS blocked,
-  bool_and(NOT (severity = 'blocking' AND NOT satisfied) OR automatic) AS blocking_is_automatic, count(*) FILTER (NOT satisfied) AS open_steps
-FROM findings GROUP BY project, stack""")
+SELECT project, stack, bool_and(done) AS ready, bool_or(severity = 'blocking' AND NOT done) AS blocked,
+  bool_and(NOT (severity = 'blocking' AND NOT done) OR automatic) AS blocking_is_automatic, count(*) FILTER (NOT done) AS open_steps
+FROM (SELECT *, coalesce(satisfied, true) AS done FROM findings) f GROUP BY project, stack""")
 def setup_gate(spark, root):
     return setup.gate(setup.findings(d.tree(spark, root)), ["project", "stack"])
 
@@ -188,11 +189,11 @@ def setup_gate(spark, root):
 shipped AS (SELECT DISTINCT project, unnest(regexp_extract_all(regexp_extract(content, '(?:resConfigs|resourceConfigurations|localeFilters)([^}\\n]*)', 1), '["'']([A-Za-z-]+)["'']', 1)) AS lang
             FROM tree WHERE path LIKE '%.gradle'),
 wanted AS (SELECT DISTINCT project, unnest(['de', 'es', 'fr']) AS lang FROM shipped)
-SELECT w.project, w.lang FROM wanted w ANTI JOIN shipped s ON w.project = s.project AND w.lang = s.lang""")
+SELECT w.project, w.lang FROM wanted w ANTI JOIN shipped s ON w.project = s.project AND w.lang = lower(split_part(s.lang, '-', 1))""")
 def stripped_languages(spark, root):
     """Languages that a project's locale filter would drop from the build."""
     gradle = d.tree(spark, root).filter(F.endswith("path", F.lit(".gradle")))
-    shipped = gradle.select("project", F.explode(setup.locale_filter_languages(F.col("content"))).alias("lang")).distinct()
+    shipped = gradle.select("project", F.explode(setup.language_of(setup.locale_filter_languages(F.col("content")))).alias("lang")).distinct()
     wanted = d.per_language(shipped.select("project").distinct())
     return wanted.join(shipped, ["project", "lang"], "left_anti")
 

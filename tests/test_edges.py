@@ -75,3 +75,16 @@ def test_const_scope_reaches_all_children(spark):
     source = 'const Column(children: [Text("Alpha one"), Text("Beta two")]);\nText("Gamma three");'
     found = code.candidates(spark.createDataFrame([(1, source)], "id long, content string"), ["id"], "content", "dart").collect()
     assert {r.text: r.blocked_reason for r in found} == {"Alpha one": "const scope", "Beta two": "const scope", "Gamma three": None}
+
+
+def test_setup_steps_apply_only_where_their_files_are(spark):
+    files = spark.createDataFrame([
+        ("a", "app/build.gradle", "android { }"), ("b", "app/build.gradle", 'resConfigs "en", "pt", "de-rAT"'), ("c", "X.xcodeproj/project.pbxproj", "x.strings")],
+        "project string, path string, content string")
+    steps = setup.findings(files, ["de", "pt-BR"])
+    got = {(r.project, r.step): r.satisfied for r in steps.collect()}
+    assert got["a", "locale filter"] is None and got["b", "locale filter"] is True
+    assert got["c", "project reference"] is True and got["c", "default localization"] is None
+    assert {r.step: r.satisfied for r in setup.findings(files, ["fr"]).filter("project = 'b'").collect()}["locale filter"] is False
+    gates = {(r.project, r.stack): r.blocked for r in setup.gate(steps, ["project", "stack"]).collect()}
+    assert gates["a", "android"] is False and gates["c", "apple"] is False
