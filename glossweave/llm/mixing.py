@@ -91,7 +91,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         state = materialise(state, "mix-level")
     nearer = (F.col("below") + F.col("edge") - F.col("budget")) < (F.col("budget") - F.col("below"))
     cut = state.select("mix_source", F.when((F.col("edge") > 0) & nearer, F.col("low") + 1).otherwise(F.col("low")).alias("cut"))
-    plan = _same(goals, cut).select("mix_source", "source_size", "target", "base", "cut")
+    # written, so that Spark knows its size: it is broadcast if that is below the session's limit, and texts stay in place
+    plan = materialise(_same(goals, cut).select("mix_source", "source_size", "target", "base", "cut"), "mix-plan")
 
     sized = docs.select(*columns, word_count(F.col(text)).alias("size"), hash60(F.col(key)).alias("mix_hash"), F.col(source).alias("mix_source"))
     extra = ((F.col("mix_hash") < F.col("cut")) & (F.col("base") < cap)).cast("long")
