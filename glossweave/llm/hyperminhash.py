@@ -1,8 +1,9 @@
 """Near-duplicate documents by HyperMinHash signatures, banding and exact verification.
 
 1. *Signatures.* A document's shingles are hashed once. The first bits of a hash pick one of 512 registers; a register keeps its
-   smallest hash as a count of leading zeros and ten bits of mantissa (16 bits in all; Yu and Weber, 2017). Empty registers take
-   the next filled one's value, so that small sets have full signatures.
+   smallest hash as a count of leading zeros and ten bits of mantissa (16 bits in all; Yu and Weber, 2017). For banding, each
+   empty register takes the smallest value of a hash of its own over the whole set, so that small sets have full signatures
+   whose registers are independent: each is equal in two sets with the chance of their Jaccard similarity, whatever their sizes.
 2. *Classes.* Documents with equal sets are one class from here on, however many they are.
 3. *Banding.* Bands of compressed registers are hashed; a class links to the smallest class in each of its buckets, never to all.
    The connected groups of these links hold every pair that shares a bucket.
@@ -32,8 +33,10 @@ REGISTERS = 1 << REGISTER_BITS
 EMPTY = 0xFFFF
 #: Classes of one block in verification, and columns of its incidence matrix at a time.
 BLOCK, COLUMNS = 384, 4096
-#: Registers are dealt to bands in a fixed mixed order: neighbours may hold one borrowed value.
-ORDER = np.random.default_rng(2017).permutation(REGISTERS)
+#: Multiplier and summand of each register's own hash; values of that hash worked on at a time.
+OWN = np.random.default_rng(2017).integers(0, 1 << 32, (2, REGISTERS, 1), dtype=np.uint32)
+OWN[0] |= 1
+OWN_VALUES = 1 << 18
 MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -97,16 +100,32 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def densify(sketch: np.ndarray) -> np.ndarray:
-    """Empty registers take the value of the next filled one before them, around the end."""
-    filled = np.where(sketch != EMPTY, np.arange(REGISTERS), -1)
-    near = np.maximum.accumulate(filled, 1)
-    near = np.where(near < 0, near[:, -1:], near)
-    return np.take_along_axis(sketch, np.maximum(near, 0), 1)
+def densify(sketch: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Empty registers take the smallest value of their own hash over the row's whole set; rows without hashes stay empty.
+
+    Two sets that both leave a register empty agree in it with the chance of their similarity, as in any other; one that leaves
+    empty what the other fills lacks the other's smallest there. So no choice by size is needed, and none can part two sets.
+    """
+    out = sketch.copy()
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    for r in np.flatnonzero((sketch == EMPTY).any(1) & (np.diff(first) > 0)):
+        x, at = short[first[r]:first[r + 1]], np.flatnonzero(sketch[r] == EMPTY)
+        step = max(1, OWN_VALUES // len(x))
+        for a in range(0, len(at), step):
+            k = at[a:a + step]
+            h = OWN[0, k] * x + OWN[1, k]
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE35)
+            share, power = np.frexp(h.min(1).astype(np.float64))
+            zeros = np.minimum(32 - power, 31)
+            out[r, k] = zeros << MANTISSA | (np.maximum(2 * share - 1, 0) * (1 << MANTISSA)).astype(np.int64)
+    return out
 
 
-def band_hashes(sketch: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    full = np.ascontiguousarray(densify(sketch)[:, ORDER[:rows * bands]].astype(np.uint64)).reshape(len(sketch), bands, rows)
+def band_hashes(sketch: np.ndarray, hashes: np.ndarray, first: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    full = densify(sketch, hashes, first)[:, :rows * bands].astype(np.uint64).reshape(len(sketch), bands, rows)
     out = np.zeros(full.shape[:2], np.uint64)
     for j in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + full[:, :, j] + np.uint64(1))
@@ -130,7 +149,7 @@ def signatures(docs: DataFrame, width: int, percent: int, text: str, keep: tuple
         def work(texts: pa.Array) -> dict:
             hashes, first = shingles(texts, width)
             n, ids = np.diff(first), set_ids(hashes, first)
-            bands = band_hashes(registers(hashes, first), rows, bands_of)
+            bands = band_hashes(registers(hashes, first), hashes, first, rows, bands_of)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1).view(np.int64)))
             return {"n_shingles": n, "set_id": pa.array(ids, mask=n == 0), "bands": lists}
 

@@ -137,6 +137,17 @@ def test_bands_miss_almost_nothing_at_the_threshold():
         assert rows * bands <= hyperminhash.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 1e-5
 
 
+def test_short_texts_near_the_threshold_are_linked(spark):
+    """Pairs with 6 of 7, 17 of 20 and 34 of 40 shingles in common, as a text and its beginning."""
+    rows = []
+    for shared, union in ((6, 7), (17, 20), (34, 40)):
+        for i in range(400):
+            words = [f"{union}x{i}x{j}" for j in range(union + 2)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:shared + 2]))]
+    got = hyperminhash.near_duplicates(docs_of(spark, rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 # --- mixing
 
 def test_mixing_edges_and_native_plan(spark):
