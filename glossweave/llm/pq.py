@@ -2,11 +2,13 @@
 
 Vectors are scaled to length 1. A coarse quantiser deals them to inverted lists; the residual to the list's centre is coded by one
 byte for each of some subspaces, and the length of what the code misses is kept. A query looks into its own list and every list
-that lies close enough beyond a dividing plane. There, distances come from a table of the query's distances to all code words; as
-the code's own error is known, what is pruned by it cannot be a link. The rest is ranked by the exact cosine in double precision.
+whose dividing plane is no farther than a link is long: no linked vector can lie in another. There, distances come from a table of
+the query's products with all code words; as the code's own error is known, what is pruned by it cannot be a link. The rest is ranked
+by the exact cosine in double precision. Nothing but rounding (1e-6 and more is allowed for it) stands between this and all links.
 
-Equal vectors of one label are one class, with the number of its members. Lists are worked on in blocks of bounded size, so a
-list that holds a third of all vectors is many units of work; each block reports counts and a spanning forest of its links.
+Equal vectors of one label are one class, with the number of its members. The lists of a label, in order, are cut into blocks of
+bounded size, long lists into several, short ones together. Two blocks are one unit of work if a vector of the first looks into
+the second; it reports the links for both ends: counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from glossweave.llm.components import components
 from glossweave.session import materialise
 
 #: Vectors that the quantisers are fitted on, at most; lists; vectors of a block; subspaces and code words.
 SAMPLE, MOST_LISTS, BLOCK, PARTS, WORDS = 20_000, 4096, 768, 16, 256
-#: Lists are probed up to this many standard deviations of a random direction's share in a link's distance.
-REACH = 2.6
+#: What distances to planes may err by rounding; centres closer than NEAR have no plane, and both are probed.
+SLACK, NEAR = 1e-6, 1e-3
 
 
 @dataclass
@@ -50,10 +52,10 @@ class Quantiser:
         missed = parts - self.words[np.arange(PARTS), codes]
         return codes, np.sqrt((missed**2).sum((1, 2)))
 
-    def table(self, residual: np.ndarray) -> np.ndarray:
-        """queries × parts × words: squared distances in each subspace."""
-        parts = residual.reshape(len(residual), PARTS, -1)
-        return np.stack([((parts[:, m, None] - self.words[m][None]) ** 2).sum(2) for m in range(PARTS)], 1)
+    def table(self, x: np.ndarray) -> np.ndarray:
+        """parts × queries × words: products with all words in each subspace, times -2."""
+        parts = x.reshape(len(x), PARTS, -1)
+        return np.stack([(-2 * parts[:, m] @ self.words[m].T).astype(np.float32) for m in range(PARTS)])
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -88,51 +90,86 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1))[:, None]
 
 
-def _index(classes: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
-    """Columns of classes + list, probes, code, missed: every class in the list of its nearest centre."""
+def _index(classes: DataFrame, q: Quantiser) -> DataFrame:
+    """Columns of classes + list, code, missed: every class in the list of its nearest centre."""
     sent = classes.sparkSession.sparkContext.broadcast(q)
-    delta = float(np.sqrt(2 - 2 * cosine))
     names = ["node", "weight", "label", "size", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
-        reach = REACH * delta / np.sqrt(q.width)
-        apart = np.sqrt(np.maximum(q.distances(q.centres), 1e-18))
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 x = matrix(part.column(4), q.width)
-                d = q.distances(x)
-                own = d.argmin(1)
-                at = np.arange(len(x))
-                beyond = (d - d[at, own][:, None]) / (2 * apart[own])  # distance to the plane between the own centre and another
-                beyond[at, own] = 0
-                row, probe = np.nonzero(beyond <= reach)
+                own = q.distances(x).argmin(1)
                 codes, missed = q.encode(x - q.centres[own])
-                offsets = np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(5)] + [pa.array(own.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(probe.astype(np.int32))), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)],
-                    names=names + ["list", "probes", "code", "missed"])
+                    [part.column(i) for i in range(5)] + [pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)],
+                    names=names + ["list", "code", "missed"])
+
+    return classes.select(*names).mapInArrow(run, "node long, weight long, label string, size int, vector array<float>, list int, code binary, missed double")
+
+
+def _blocks(indexed: DataFrame) -> DataFrame:
+    """(label, size, list, begin, blocks): the blocks of each label's lists, numbered from 0 in order of lists."""
+    by = W.partitionBy("label", "size")
+    counts = indexed.groupBy("label", "size", "list").agg(F.count("*").alias("n"))
+    shelf = F.floor((F.sum("n").over(by.orderBy("list")) - F.col("n")) / BLOCK)
+    shelves = counts.withColumn("shelf", shelf).withColumn("blocks", F.ceil(F.sum("n").over(W.partitionBy("label", "size", "shelf")) / BLOCK))
+    first = F.col("list") == F.min("list").over(W.partitionBy("label", "size", "shelf"))
+    upto = F.sum(F.when(first, F.col("blocks")).otherwise(0)).over(by.orderBy("list"))
+    return shelves.select("label", "size", "list", (upto - F.col("blocks")).cast("int").alias("begin"), F.col("blocks").cast("int").alias("blocks"))
+
+
+def _visits(indexed: DataFrame, blocks: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
+    """Columns of indexed + block, visits: its own block, and it with all later ones that can hold a linked vector."""
+    context = indexed.sparkSession.sparkContext
+    several: dict = {}  # labels of one block have nothing to visit
+    found = blocks.join(blocks.groupBy("label", "size").agg(F.max(F.col("begin") + F.col("blocks")).alias("all")).filter("all > 1"), ["label", "size"]).orderBy("label", "size", "list").toArrow()
+    for label, size, *rest in zip(*(found.column(c).to_pylist() for c in ("label", "size", "list", "begin", "blocks"))):
+        several.setdefault((label, size), []).append(rest)
+    sent, of = context.broadcast(q), context.broadcast({k: np.array(v, np.int32) for k, v in several.items()})
+    delta = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    placed = indexed.join(blocks, ["label", "size", "list"]).withColumn("block", F.col("begin") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    names = ["node", "weight", "label", "size", "vector", "list", "code", "missed", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        apart = np.sqrt(q.distances(q.centres))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                own, block = (part.column(i).to_numpy().astype(np.int64) for i in (5, 8))
+                labels, sizes = part.column(2).to_pylist(), part.column(3).to_pylist()
+                d = q.distances(matrix(part.column(4), q.width))
+                # distance to the plane between the own centre and another
+                beyond = (d - d[np.arange(len(own)), own][:, None]) / (2 * np.maximum(apart[own], NEAR))
+                reached = (beyond <= delta) | (apart[own] < NEAR)
+                visits = []
+                for r in range(len(own)):
+                    near = np.zeros(0, np.int64)
+                    lists = of.value.get((labels[r], sizes[r]))
+                    if lists is not None:
+                        hit = lists[reached[r, lists[:, 0]]]
+                        begin = np.unique(hit[:, 1:], axis=0)
+                        near = np.concatenate([np.arange(s, s + n) for s, n in begin.tolist()] + [near])
+                    visits.append(np.concatenate([[block[r]], near[near > block[r]]]).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in visits])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) for i in range(9)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))], names=names + ["visits"])
 
-    return classes.select(*names).mapInArrow(run, "node long, weight long, label string, size int, vector array<float>, list int, probes array<int>, code binary, missed double")
+    return placed.select(*names).mapInArrow(run, "node long, weight long, label string, size int, vector array<float>, list int, code binary, missed double, block int, visits array<int>")
 
 
-def _search(indexed: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
+def _search(visiting: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
     """(a, b, n): a's links, as n members of linked classes, and b: forest links without a count."""
-    sent = indexed.sparkSession.sparkContext.broadcast(q)
+    sent = visiting.sparkSession.sparkContext.broadcast(q)
     delta = float(np.sqrt(2 - 2 * cosine))
-    place = ["label", "size", "list"]
-    entries = indexed.select("node", "weight", *place, "vector", "code", "missed")
-    queries = indexed.select("node", "weight", "label", "size", "vector", F.explode("probes").alias("list"))
-    # blocks of entries and of queries of each list; every pair of blocks is one unit of work
-    counts = entries.groupBy(*place).agg(F.count("*").alias("ne")).join(queries.groupBy(*place).agg(F.count("*").alias("nq")), place)
-    blocks = counts.select(*place, F.ceil(F.col("ne") / BLOCK).cast("int").alias("eb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb"))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = ["label", "size", "list", "i", "j", "query", "node", "weight", "vector", "code", "missed"]
-    left = entries.join(blocks, place).select("*", own("eb").alias("i"), every("qb").alias("j"), F.lit(False).alias("query")).select(*rows)
-    right = queries.join(blocks, place).select("*", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"), own("qb").alias("j"), every("eb").alias("i"), F.lit(True).alias("query")).select(*rows)
-    key = ["label", "size", "list", "i", "j"]
+    rows = ["label", "size", "i", "j", "query", "node", "weight", "vector", "list", "code", "missed"]
+    left = visiting.withColumn("i", F.col("block")).withColumn("j", F.explode("visits")).withColumn("query", F.lit(True)).select(*rows)
+    units = left.select("label", "size", "i", "j").distinct()
+    right = visiting.withColumn("j", F.col("block")).join(units, ["label", "size", "j"]).withColumn("query", F.lit(False)).select(*rows)
+    key = ["label", "size", "i", "j"]
     dealt = left.unionByName(right).repartition(*key).sortWithinPartitions(*key)
 
     def links(q: Quantiser, group: pa.Table) -> tuple[list, list, list]:
@@ -141,12 +178,14 @@ def _search(indexed: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
         if not e.num_rows or not s.num_rows:
             return [], [], []
         y, x = (matrix(t.column("vector").combine_chunks(), q.width) for t in (e, s))
-        centre = q.centres[group.column("list")[0].as_py()]
         code = np.frombuffer(b"".join(e.column("code").to_pylist()), np.uint8).reshape(len(y), PARTS)
-        table = q.table(x - centre).astype(np.float32)
-        distance = np.zeros((len(x), len(y)), np.float32)
+        centre = q.centres[e.column("list").to_numpy()]
+        decoded = q.words[np.arange(PARTS), code].reshape(len(y), -1)
+        # |x - centre - decoded|², of which the parts' products with words come from the table
+        distance = (q.distances(x)[:, e.column("list").to_numpy()] + (decoded * (decoded + 2 * centre)).sum(1)).astype(np.float32)
+        table = q.table(x)
         for m in range(PARTS):
-            distance += table[:, m, :][:, code[:, m]]
+            distance += table[m][:, code[:, m]]
         near = np.sqrt(np.maximum(distance, 0)) - e.column("missed").to_numpy()[None, :] <= delta + 1e-4
         en, sn = e.column("node").to_numpy(), s.column("node").to_numpy()
         near &= en[None, :] != sn[:, None]
@@ -156,6 +195,9 @@ def _search(indexed: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
         hit = near[np.ix_(r, c)] & (x[r] @ y[c].T >= cosine)
         r, c, hit = r[hit.any(1)], c, hit[hit.any(1)]
         total = hit @ e.column("weight").to_numpy()[c]
+        # within a block, every link is seen from both ends; across two, from the query's alone
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        total_e = s.column("weight").to_numpy()[r] @ hit if across else np.zeros(len(c), np.int64)
         # smallest label in each connected part of this block
         label_q, label_e = np.arange(len(r)), np.full(len(c), len(r))
         while len(r):
@@ -167,7 +209,7 @@ def _search(indexed: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
         used = label_e < len(r)
         a = np.concatenate([sn[r], sn[r], en[c][used]])
         b = np.concatenate([sn[r], sn[r][label_q], sn[r][label_e[used]]])
-        n = np.concatenate([total, np.zeros(len(r) + int(used.sum()), np.int64)])
+        n = np.concatenate([total, np.zeros(len(r), np.int64), total_e[used]])
         keep = (n > 0) | (a != b)
         return a[keep].tolist(), b[keep].tolist(), n[keep].tolist()
 
@@ -183,7 +225,7 @@ def _search(indexed: DataFrame, q: Quantiser, cosine: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
             start = 0
             for r in range(len(keys)):
                 if keys[r] != last:
@@ -207,7 +249,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     different lengths do not link. Rows with equal vectors and labels link to each other, repeated rows included; rows that share
     their group's smallest key are all kept. Null keys count as larger than others. An empty table gives an empty result.
 
-    The quantisers are fitted on at most SAMPLE classes, taken by a hash's order; every vector is indexed and asks.
+    The quantisers are fitted on at most SAMPLE classes, taken by a hash's order; every vector is indexed and asks. Links are all
+    found, so where vectors fill all their dimensions and planes part little, the work grows with the square of a label's rows.
     """
     spark = vectors.sparkSession
     v = F.col(vector).cast("array<float>")
@@ -220,7 +263,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     if n:
         sample = classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
         q = fit(matrix(sample, width), int(min(MOST_LISTS, max(1, len(sample) // 8), np.ceil(np.sqrt(n)))))
-        found = materialise(_search(materialise(_index(classes, q, cosine), "lists"), q, cosine), "vector-links")
+        indexed = materialise(_index(classes, q), "lists")
+        visiting = materialise(_visits(indexed, materialise(_blocks(indexed), "vector-blocks"), q, cosine), "visits")
+        found = materialise(_search(visiting, q, cosine), "vector-links")
     else:
         found = spark.createDataFrame([], "a long, b long, n long")
     linked = components(found.select("a", "b")).withColumnRenamed("component", "group")

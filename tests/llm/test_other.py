@@ -216,6 +216,19 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert pq.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("dimensions", [4, 8])
+def test_vectors_of_low_intrinsic_dimension_lose_no_link(spark, monkeypatch, dimensions):
+    """All vectors lie in a subspace, where a link's difference has no random direction; every link counts for both ends."""
+    monkeypatch.setattr(pq, "BLOCK", 128)
+    rng = np.random.default_rng(dimensions)
+    v = (rng.normal(size=(1200, dimensions)) @ rng.normal(size=(dimensions, 64))).astype(np.float32)
+    x = v.astype(np.float64)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    want = ((x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)).sum(1).tolist()
+    got = pq.near_vectors(spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()
+    assert [r.n_links for r in sorted(got)] == want
+
+
 # --- pipeline
 
 def test_stages_in_order():
