@@ -25,10 +25,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.7. The classifier is fitted on labelled rows outside its held-out third."""
+    """Documents with a toxicity score below their language's calibrated threshold, or below 0.7 where it has none.
+
+    The classifier is fitted on labelled rows outside its held-out third.
+    """
     model = wordcnn.fit_toxicity(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 3) != 1, threshold=TOXICITY)
     plain, names = with_plain_names(docs)
-    return own_names(wordcnn.score(plain, model, names["text"], tuple(names.values())).filter("predicted = 0"), names)
+    return own_names(wordcnn.score(plain, model, names["text"], tuple(names.values()), names["lang"]).filter("NOT flagged"), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

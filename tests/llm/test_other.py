@@ -259,6 +259,13 @@ def test_pipeline_stages_against_brute_force(spark, data, tmp_path):
     assert all(r.repeats in (1, 2, 3) and r.taken == r.repeats * r["size"] for r in before.values())
 
 
+def test_toxicity_stage_cuts_by_language(spark, data, monkeypatch):
+    monkeypatch.setattr(wordcnn, "fit_toxicity", lambda *a, **k: wordcnn.Model(None, 0.0, 0.75, {"de": 0.8, "fr": 0.72}, 0.7))
+    rows = [(1, "a", "de"), (2, "a", "fr"), (3, "a", "en"), (4, "a", None)]
+    got = corpus_pipeline.toxicity_filter(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), data)
+    assert [tuple(r) for r in got.collect()] == [rows[0]]
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_odd_rows(spark, data, name, stage):
     rows = [(1, None, None, None, None, 1.0, 2), (2, "", "en", "a", 0, None, None), (None, "some words of text", "en", None, 3, 1.0, 1), (4, "z " * 30000, "de", "a", 1, 0.0, 0)] * 2
