@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,16 +16,20 @@ def id_remainder(key: Column, n: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (), rows: int = 3000, longest: int = 1 << 16) -> list:
     """At most ``rows`` labelled texts of at most ``longest`` characters for fitting, half of each label, by order of a hash.
 
-    The bound holds for fitting alone: scores are for every whole text. Null labels and null keys are not used. Rows: (text, label, *extra).
+    The bound holds for fitting alone: scores are for every whole text. Null labels and null keys are not used, nor are labels
+    without a document that fits; a label without any row is warned of. Rows: (text, label, *extra).
     """
     labelled = labels.filter(F.col(label).isin(0, 1) & usable).select(F.col(key).alias("__k"), F.col(label).alias("__y"))
     both = docs.filter(F.length(text) <= longest).select(F.col(key).alias("__k"), F.col(text).alias("__t"), *[F.col(c).alias(f"__x{i}") for i, c in enumerate(extra)])
-    # keys first, so that texts of the chosen rows alone are joined
+    # keys first, so that texts of the chosen rows alone are joined; only keys that have a text to give are chosen from
+    labelled = labelled.join(both.select("__k"), "__k", "left_semi")
     out = []
     for y in (0, 1):
         chosen = labelled.filter(F.col("__y") == y).orderBy(F.xxhash64("__k"), "__k").limit(rows // 2)
-        found = both.join(F.broadcast(chosen), "__k").orderBy(F.xxhash64("__k"), "__k").limit(rows // 2)
-        out += [tuple(r)[:1] + (y,) + tuple(r)[1:] for r in found.drop("__k", "__y").collect()]
+        found = both.join(F.broadcast(chosen), "__k").orderBy(F.xxhash64("__k"), "__k").limit(rows // 2).drop("__k", "__y").collect()
+        if not found:
+            warnings.warn(f"no usable document has {label} = {y}: all scores will be the smoothed share of label 1")
+        out += [tuple(r)[:1] + (y,) + tuple(r)[1:] for r in found]
     order = np.random.default_rng(7).permutation(len(out))
     return [out[i] for i in order]
 

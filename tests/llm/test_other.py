@@ -8,9 +8,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossweave.llm import bytecnn, pq, urls, warc, wordcnn
+from glossweave.llm.learning import training_sample
 from glossweave.llm.rows import buffers
 from glossweave.session import table
 
@@ -173,6 +175,16 @@ def test_scores_of_odd_rows(spark, module):
     assert {r.score for r in module.score(docs, none).collect()} == {0.5}
 
 
+def test_training_sample_takes_labels_that_have_documents(spark):
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    rows = [(i, "z" * 70_000 if i % 100 == 0 else f"text {i}") for i in range(0, 6000, 50)] + [(i, f"text {i}") for i in range(1, 6000, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = training_sample(docs, labels, "toxic", F.lit(True), rows=40)
+    assert sorted(y for _, y in got) == [0] * 20 + [1] * 20 and all(len(t) < 70_000 for t, _ in got)
+    with pytest.warns(UserWarning, match="toxic = 0"):
+        assert {y for _, y in training_sample(docs.filter("doc_id % 2 = 1"), labels, "toxic", F.lit(True), rows=40)} == {1}
+
+
 def test_quality_on_held_out_rows(spark):
     """Labels that the fit has not seen, at sf0.01."""
     root = "/root/testdata/sf0.01"
