@@ -137,6 +137,12 @@ def test_bands_miss_almost_nothing_at_the_threshold():
         assert rows * bands <= hyperminhash.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= 1e-5
 
 
+def test_near_duplicates_match_sql(spark, data):
+    ok, n, _, note = compare(spark, connect(data), Named("op5_near_duplicates"), data)
+    assert ok, note
+    assert n > 0
+
+
 def test_short_texts_near_the_threshold_are_linked(spark):
     """Pairs with 6 of 7, 17 of 20 and 34 of 40 shingles in common, as a text and its beginning."""
     rows = []
