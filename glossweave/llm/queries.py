@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossweave.llm import bytecnn, density, hyperminhash, mixing, pq, suffixes, tokens, urls, warc, wordcnn
+from glossweave.llm import bytecnn, density, hyperminhash, langmix, merkle, mixing, phrases, pq, suffixes, tokens, urls, warc, wordcnn
 from glossweave.llm.learning import id_remainder
 from glossweave.session import table
 
@@ -97,3 +97,24 @@ def op5_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
 def op8_near_vectors(spark: SparkSession, root: str) -> DataFrame:
     """Vectors of one label with a cosine of 0.93 or more."""
     return pq.near_vectors(table(spark, root, "embeddings"), cosine=0.93)
+
+
+@query()
+def op11_language_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every text by its mixture of languages; a third of the ids is held out from learning."""
+    docs, held_out = table(spark, root, "documents"), id_remainder(F.col("doc_id"), 3) == 1
+    found = langmix.predict(docs, langmix.fit(docs, ~held_out))
+    shares = F.array_join(F.transform("languages", lambda x: F.concat(x["lang"], F.lit(" "), F.round(x["share"], 3).cast("string"))), ", ")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", shares.alias("languages"))
+
+
+@query(merkle.SQL)
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Leaf, roots and verified proof of every document; where 5 divides the crc32 of the id, of a tampered text."""
+    return merkle.prove_documents(table(spark, root, "documents"))
+
+
+@query(phrases.SQL)
+def op13_phrases(spark: SparkSession, root: str) -> DataFrame:
+    """Each language's first 2000 collocations of two or three words that occur ten times or more."""
+    return phrases.collocations(table(spark, root, "documents"), most=3, least=10, share=50, top=2000)
