@@ -3,6 +3,9 @@
 A document is cut in chunks of 128 bytes; a window of 8 bytes moves by 4 and reaches over a chunk's end, so chunks overlap and the
 windows cover the whole document. Bytes have learned vectors; learned filters see a window's vectors; each filter's largest
 answer in a chunk goes through a hidden layer, and the means and maxima of that over all chunks give one probability.
+
+Scores are made with whole-number vectors and filters, whose products and sums float32 holds exactly, and with sums in a fixed
+order, so a document's score does not depend on the batch that it is in.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossweave.llm.learning import Adam, best_cut, sigmoid, training_sample
+from glossweave.llm.learning import Adam, best_cut, layer, sigmoid, training_sample
 from glossweave.llm.rows import buffers, map_texts
 
 CHUNK, WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 128, 8, 4, 6, 32, 24
@@ -41,7 +44,7 @@ def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Bytes of chunks (rows × SPAN), PAD beyond the document's end."""
     at = start[:, None] + np.arange(SPAN)
     inside = at < end[:, None]
-    return np.where(inside, data[np.minimum(at, len(data) - 1)] if len(data) else 0, PAD).astype(np.int16)
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16) if len(data) else np.int16(0), np.int16(PAD))
 
 
 def filtered(p: dict, seen: np.ndarray) -> np.ndarray:
@@ -64,6 +67,34 @@ def logits(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([mean, most], 1) @ p["w2"] + p["b2"]
 
 
+#: |whole number| of a weight at most: WIDTH * VECTOR products of two of them stay below 2**24.
+WHOLE = 511
+
+
+def whole_numbers(p: dict) -> dict:
+    """The parameters for scoring: vectors and filters as whole numbers in float32, with the scale that brings answers back."""
+    scales = {k: WHOLE / max(float(np.abs(p[k]).max()), 1e-9) for k in ("vectors", "filters")}
+    return {**p, **{k: np.rint(p[k] * s).astype(np.float32) for k, s in scales.items()}, "bias": np.zeros(FILTERS, np.float32),
+            "added": p["bias"].astype(np.float64), "scale": scales["vectors"] * scales["filters"]}
+
+
+def steady_logits(q: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Logits by the parameters of :func:`whole_numbers`: bit-equal for equal documents, whatever stands around them."""
+    start, first = chunks(data, offsets)
+    count = np.diff(first)
+    end = np.repeat(offsets[1:], count)
+    hidden = np.empty((len(start), HIDDEN))
+    for a in range(0, len(start), GROUP):
+        top = filtered(q, windows(data, start[a:a + GROUP], end[a:a + GROUP])).max(1).astype(np.float64) / q["scale"] + q["added"]
+        hidden[a:a + GROUP] = np.maximum(layer(np.maximum(top, 0), q["w1"], q["b1"]), 0)
+    if len(offsets) < 2:
+        return np.zeros(0)
+    row = np.repeat(np.arange(len(count)), count)
+    mean = np.stack([np.bincount(row, np.ascontiguousarray(hidden[:, j]), len(count)) for j in range(HIDDEN)], 1) / count[:, None]
+    most = np.maximum.reduceat(hidden, first[:-1], axis=0)
+    return layer(np.concatenate([mean, most], 1), q["w2"], q["b2"])[:, 0]
+
+
 def fit(sample: list[tuple], steps: int = 340, rate: float = 4e-3, weights: tuple[float, float] = (1.0, 3.0)) -> Model:
     """Fit on (text, label) rows in about ``steps`` steps; a constant score if there are not both labels.
 
@@ -88,7 +119,8 @@ def fit(sample: list[tuple], steps: int = 340, rate: float = 4e-3, weights: tupl
         for a in range(0, len(order), BATCH):
             rows = order[a:a + BATCH]
             adam.step(gradients(p, [texts[i] for i in rows], y[rows], weight[rows]))
-    z = np.concatenate([logits(p, *joined(texts[a:a + BATCH])) for a in range(0, len(texts), BATCH)])
+    q = whole_numbers(p)
+    z = np.concatenate([steady_logits(q, *joined(texts[a:a + BATCH])) for a in range(0, len(texts), BATCH)])
     return Model(p, -best_cut(z, y, weights), prior)
 
 
@@ -149,11 +181,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """
 
     def make():
+        q = None if model.params is None else whole_numbers(model.params)
+
         def work(texts: pa.Array) -> dict:
-            if model.params is None:
+            if q is None:
                 s = np.full(len(texts), model.prior)
             else:
-                s = sigmoid(logits(model.params, *buffers(texts)).astype(np.float64) + model.shift)
+                s = sigmoid(steady_logits(q, *buffers(texts)) + model.shift)
             return {"score": s, "predicted": (s >= threshold).astype(np.int32)}
 
         return work

@@ -38,6 +38,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def layer(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x @ w + b in double precision, inputs added in their order: a row's result does not depend on the rows around it.
+
+    A block product may round a row by its place in the block.
+    """
+    w = w.astype(np.float64).reshape(len(w), -1)
+    out = np.repeat(b.astype(np.float64).reshape(1, -1), len(x), 0)
+    for j in range(len(w)):
+        out += x[:, j:j + 1].astype(np.float64) * w[j]
+    return out
+
+
 class Adam:
     def __init__(self, params: dict[str, np.ndarray], rate: float, decay: float = 0.0):
         self.p, self.rate, self.decay, self.t = params, rate, decay, 0

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from glossweave.llm.rows import with_plain_names
 from glossweave.session import materialise
 
 HASH_BITS, LEVEL_BITS = 60, 15
 WORD = r"[^\x20\x09-\x0D]+"
+RESULTS = ["size", "source_size", "target", "repeats", "taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -61,10 +63,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null source: a source of its own, last in order. Null key: hashed like the empty text. Null, empty or white-space text:
     size 0, taken 0 whatever its repeats. Rows with the same key and source share a hash and are taken or left together.
-    Empty table: empty result. A source whose sizes are all 0 has target 0. An input column named like a result is replaced.
+    Empty table: empty result. A source whose sizes are all 0 has target 0. An input column named like a result is replaced;
+    all others come back as they are, whatever their names.
     """
-    names = ["size", "source_size", "target", "repeats", "taken"]
-    columns = [c for c in docs.columns if c not in names]
+    own = [c for c in docs.columns if c not in RESULTS]
+    docs, plain = with_plain_names(docs)
+    key, text, source = plain[key], plain[text], plain[source]
+    columns = [plain[c] for c in own]
     narrow = docs.select(F.col(source).alias("mix_source"), hash60(F.col(key)).alias("h"), word_count(F.col(text)).alias("size"))
     narrow = materialise(narrow, "mix-sizes")
     goals = targets(narrow.groupBy("mix_source").agg(F.sum("size").alias("source_size")), "mix_source", weights, cap)
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = docs.select(*columns, word_count(F.col(text)).alias("size"), hash60(F.col(key)).alias("mix_hash"), F.col(source).alias("mix_source"))
     extra = ((F.col("mix_hash") < F.col("cut")) & (F.col("base") < cap)).cast("long")
     return _same(sized, plan).withColumn("repeats", F.col("base") + extra).select(
-        *columns, "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+        *[F.col(c).alias(name) for c, name in zip(columns, own)], "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

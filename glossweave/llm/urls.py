@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glossweave.llm.rows import with_plain_names
+
 #: 64 bytes a block. The filter never has more than MOST_BLOCKS of them (64 MB): a longer list only means more false positives.
 BLOCK_WORDS, BITS_PER_KEY, PROBES, MOST_BLOCKS = 8, 16, 8, 1 << 20
 RESULTS = ["host", "path", "rule", "verdict"]
@@ -78,7 +80,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
     ``listed`` has host, path, verdict; of the entries that fit a URL the longest wins (then the longer host), its key being
     ``rule``; a repeated entry counts once, ``block`` before ``allow``. Without a fitting entry rule is null and the verdict is
     ``default``. Null URLs and URLs without ``://`` have no host and fit nothing; entries with a null host or path are ignored;
-    an empty list judges all by default. Rows are never merged or lost; an input column named like a result is replaced.
+    an empty list judges all by default. Rows are never merged or lost; an input column named like a result is replaced, all
+    others come back as they are, whatever their names.
     """
     spark = pages.sparkSession
     entries = listed.filter("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
@@ -87,8 +90,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
     words = build_filter(entries, "entry")
     sent = spark.sparkContext.broadcast(words)
 
-    host, path = url_parts(F.col(url))
-    columns = [c for c in pages.columns if c not in RESULTS]
+    own = [c for c in pages.columns if c not in RESULTS]
+    pages, plain = with_plain_names(pages)
+    columns = [plain[c] for c in own]
+    host, path = url_parts(F.col(plain[url]))
     parted = pages.select(*columns, host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -111,13 +116,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: s
     probed = probed.withColumn("asked", F.transform(F.filter(F.arrays_zip("asked", "pass"), lambda z: z["pass"]), lambda z: z["asked"])).drop("pass")
     # the verdict depends on host and path alone, so a URL that a third of all rows hold is one row of each task's partial result
     possible = probed.filter(F.size("asked") > 0)
-    fits = possible.select("host", "path", F.inline("asked")).join(entries, ["entry", "host_length", "path_length"])
+    # asked once for each of them: a host that a third of all rows share meets the list as one row
+    once = possible.groupBy("host", "path").agg(F.first("asked").alias("asked"))
+    fits = once.select("host", "path", F.inline("asked")).join(entries, ["entry", "host_length", "path_length"])
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("entry"), "host_length", "entry", "verdict")).alias("b"))
     best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("b.entry").alias("rule"), F.col("b.verdict").alias("found"))
     judged = possible.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
         *columns, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
     unlisted = probed.filter(F.size("asked") == 0).select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    return judged.unionByName(unlisted)
+    return judged.unionByName(unlisted).select(*[F.col(c).alias(name) for c, name in zip(columns, own)], *RESULTS)
 
 
 #: The entries of the registered query.
