@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +26,26 @@ THREES, TWOS, ONES, MOST = 1 << 17, 1 << 16, 1 << 12, 128
 UNIT = 1024
 #: Weights of the shorter history, and of the even distribution below it.
 ALPHA, BETA, FLOOR = 4.0, 20.0, 1 / 4096
-ROUNDS, PENALTY = 25, 4.0
+ROUNDS, PENALTY = 12, 4.0
 UNKNOWN = "und"
 #: Texts of more characters are read word by word, not as one list of words; words held before they are counted as letters.
 LONG, HELD = 1 << 20, 1 << 17
 
 
-@lru_cache(None)
-def _word() -> re.Pattern:
-    """Runs of letters: word characters without ``_`` and all that is a number."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(f"[^\\W_{re.escape(numbers)}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> dict[str, int]:
-    """Lower-cased words and their counts, in the order of their first places."""
+    """Lower-cased runs of letters and their counts, in the order of their first places."""
     if not text:
         return {}
-    found = _word().findall(text) if len(text) <= LONG else (m[0] for m in _word().finditer(text))
+    found = WORD.findall(text) if len(text) <= LONG else (m[0] for m in WORD.finditer(text))
     out: dict[str, int] = {}
-    for word, n in Counter(found).items():
-        low = word.lower()
-        out[low] = out.get(low, 0) + n
+    for run, n in Counter(found).items():
+        # the pattern lets through what is a number but no digit, such as fractions
+        for word in [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split():
+            low = word.lower()
+            out[low] = out.get(low, 0) + n
     return out
 
 
@@ -91,7 +88,7 @@ def letter_counts(texts: DataFrame) -> DataFrame:
                 three, two, last, one, first = letters(list(bag))
                 n = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), np.diff(np.append(first, len(three))))
                 mine = counts.setdefault(name, np.zeros(THREES, np.int64))
-                np.add.at(mine, three, n)
+                mine += np.bincount(three, n, THREES).astype(np.int64)
                 for row, values in zip(shape, (two, last, one)):
                     np.maximum.at(row, three, values.astype(np.int32))
             held.clear()
@@ -156,24 +153,28 @@ def word_scores(model: Model, vocabulary: list[str]) -> np.ndarray:
     return np.add.reduceat(model.scores[three].astype(np.int64), first, axis=0) if len(first) else np.zeros((0, len(model.languages)), np.int64)
 
 
-def mixture(row: np.ndarray, n: np.ndarray, p: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixture(row: np.ndarray, n: np.ndarray, p: list[np.ndarray], allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, log-likelihood over that of each word's best language) of bags of words.
 
-    ``row``, ``n``: bag and count of each entry; ``p``: entries × languages, likelihoods relative to the best; ``allowed``: bags ×
-    languages. Sums are taken language by language and, within a bag, entry by entry.
+    ``row`` (ascending), ``n``: bag and count of each entry; ``p``: by language, the entries' likelihoods relative to the best;
+    ``allowed``: bags × languages. Sums are taken language by language and, within a bag, entry by entry.
     """
     bags, size = allowed.shape
+    entries = np.bincount(row, minlength=bags)
     total = np.bincount(row, n, bags)
-    share = allowed / allowed.sum(1, keepdims=True)
+    share = list(np.ascontiguousarray((allowed / allowed.sum(1, keepdims=True)).T))
+    tried = [k for k in range(size) if allowed[:, k].any()]
     for again in range(ROUNDS + 1):
-        parts = [share[row, k] * p[:, k] for k in range(size)]
-        whole = parts[0].copy()
-        for part in parts[1:]:
-            whole += part
-        whole = np.maximum(whole, 1e-300)
-        if again < ROUNDS:
-            share = np.stack([np.bincount(row, n * part / whole, bags) / total for part in parts], 1)
-    return share, np.bincount(row, n * np.log(whole), bags)
+        parts = {k: np.repeat(share[k], entries) * p[k] for k in tried}
+        whole = np.full(len(row), 1e-300)
+        for k in tried:
+            whole += parts[k]
+        if again == ROUNDS:
+            break
+        each = n / whole
+        for k in tried:
+            share[k] = np.bincount(row, parts[k] * each, bags) / total
+    return np.stack(share, 1), np.bincount(row, n * np.log(whole), bags)
 
 
 def infer(model: Model, bags: list[dict[str, int]], penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,13 +185,11 @@ def infer(model: Model, bags: list[dict[str, int]], penalty: float = PENALTY) ->
     row = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
     scores = word_scores(model, list(place))[ids]
     size = len(model.languages)
-    p = np.exp((scores - scores.max(1, keepdims=True)) / UNIT)
+    p = [np.exp((scores[:, k] - scores.max(1)) / UNIT) for k in range(size)]
     every, _ = mixture(row, n, p, np.ones((len(bags), size)))
-    weights = n.astype(np.int64)
     best = scores.max(1)
-    single = np.zeros((len(bags), size), np.int64)  # whole numbers: exact in any order
-    for k in range(size):
-        np.add.at(single[:, k], row, weights * (scores[:, k] - best))
+    # whole numbers below 2**53: exact in any order
+    single = np.stack([np.bincount(row, n * (scores[:, k] - best), len(bags)) for k in range(size)], 1)
     first = single.argmax(1)
     order = np.argsort(-np.where(np.arange(size) == first[:, None], 2.0, every), axis=1, kind="stable")
     chosen = np.zeros((len(bags), size))
@@ -203,7 +202,7 @@ def infer(model: Model, bags: list[dict[str, int]], penalty: float = PENALTY) ->
         allowed[np.arange(len(growing)), order[growing, k]] = 1
         at = np.searchsorted(growing, row)
         kept = (at < len(growing)) & (growing[np.minimum(at, len(growing) - 1)] == row)
-        parts, reached = mixture(at[kept], n[kept], p[kept], allowed)
+        parts, reached = mixture(at[kept], n[kept], [column[kept] for column in p], allowed)
         better = reached - gained[growing] > price[growing]
         growing, allowed, parts, reached = growing[better], allowed[better], parts[better], reached[better]
         chosen[growing], share[growing], gained[growing] = allowed, parts, reached

@@ -40,7 +40,7 @@ def plain(model, text):
             new, ll = [0.0] * size, 0.0
             for w, n in bag.items():
                 p = [share[k] * math.exp((score[w][k] - max(score[w])) / langmix.UNIT) for k in range(size)]
-                whole = max(sum(p), 1e-300)
+                whole = sum(p) + 1e-300
                 ll += n * math.log(whole)
                 for k in range(size):
                     new[k] += n * p[k] / whole
