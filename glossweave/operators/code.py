@@ -1,25 +1,22 @@
-"""Candidates from code: one token pattern and one table of context rules per language.
+"""Candidates from code: one grammar with a table of rules per language, read by a bracket tree (``brackets``).
 
-Comments are blanked first, the rest is cut into literals and the code between them, and the code before a literal
-decides what it is: its statement from the start, through every bracket that is still open, with finished brackets and
-earlier literals each as one mark. No syntax tree is built: where the context is not one of the listed positions the literal
-is left alone (or, for C#, reported as a plain code literal).
+A literal is judged by where it stands: in which call, behind which label or target, in which statement. No syntax tree is
+built: where the position is not one of the listed ones the literal is left alone (or, for C#, reported as a plain code literal).
+Files are read one by one in Arrow batches, without a shuffle; what follows (unescaping, format strings, noise) is built-in.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.escapes import unescape_code
 from ..functions.noise import drop_noise
 from ..functions.text import blank, extract_all, one_line, preview, re2  # noqa: F401
 from ..session import evaluate_once
-from .spans import explode_tokens, with_tokens
+from .brackets import Grammar, Rule, call
 
 # --- fixed values: literal shapes -----------------------------------------------------------
 # possessive repetition keeps the JVM matcher iterative on long literals; dropping the extra '+' gives RE2
@@ -33,231 +30,129 @@ VERBATIM = r'\$?@\$?"[^"]*+(?:""[^"]*+)*+"'
 INTERPOLATED = r'\$"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 RAW_HASH = r'#+".*?"#+'
 REST = r"[^\"'`/@$#]++|."
+#: A Dart literal is raw behind an r that ends no word; the r stays in the gap before it.
+RAW_BEFORE = r"(?<=r)(?<![A-Za-z0-9_$]r)"
 
 
-# marks of an earlier literal and of a finished bracket in a context
-LITERAL, GROUP = "\u00a7", "\u00a4"
-STOPS = re.compile(r"[()\[\]{};\n]")
-#: A line that ends so goes on in the next one.
-GOES_ON = re.compile(r"(?:[=+,.?:&|<>(-]|\b(?:const|return|throw|new|is|case|or|and|not))[ \t\r]*$")
-QUOTED = re.compile(r"""(?s)^[#$@]*(["'`]).*["'`]#*$""")
-
-
-def contexts(tokens: list[str]) -> list[str | None]:
-    """For each literal the code before it in its statement, through all open brackets; null for other tokens. One pass."""
-    out: list[str | None] = []
-    levels: list[tuple[str, str]] = []  # what stands before each open bracket, and the bracket
-    now = ""
-    for t in tokens:
-        if len(t) > 1 and QUOTED.match(t):
-            start = max((i + 1 for i, (_, b) in enumerate(levels) if b == "{"), default=0)
-            out.append(re.sub(r"[ \t]{2,}", " ", "".join(x + b for x, b in levels[start:]) + now))
-            now += LITERAL
-            continue
-        out.append(None)
-        at = 0
-        for m in STOPS.finditer(t):
-            now += t[at:m.start()]
-            at, c = m.end(), m[0]
-            if c in "([{":
-                levels.append((now, c))
-                now = ""
-            elif c in ")]}":
-                if levels:
-                    now, opened = levels.pop()
-                    # a block ends its statement, unless it stands within brackets
-                    now = "" if opened == "{" and not (levels and levels[-1][1] != "{") else now + GROUP
-                else:
-                    now = ""
-            elif c == ";":
-                now = ""
-            elif (levels and levels[-1][1] != "{") or GOES_ON.search(now) or not now.strip():
-                now += c
-            else:
-                now = ""
-        now += t[at:]
-    return out
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def _contexts(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else contexts(list(t)))
-
-
-def _calls(names: str) -> str:
-    """A positional argument, or an operand of one, right inside the call's bracket."""
-    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")\((?:[^()\[\]{}]*(?:,|\+|\?\??|\?[^,:]*:))?[ \t\r\n]*$"
-
-
-def _inside(names: str) -> str:
-    """Anywhere right inside the call's bracket."""
-    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")\([^()\[\]{}]*$"
-
-
-def _labels(names: str) -> str:
-    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")[ \t]*:[ \t\r\n]*$"
-
-
-def _named(names: str) -> str:
-    return r"(?:^|[^A-Za-z0-9_])(?:" + names + r")[ \t]*=[ \t\r\n]*$"
-
-
-def _members(names: str) -> str:
-    return r"\.(?:" + names + r")[ \t]*=[ \t\r\n]*$"
-
-
-@dataclass(frozen=True)
-class CodeDialect:
-    strings: tuple[str, ...]                  # every literal shape, longest first
-    literal: str                              # shape of the literals that can be candidates
-    accept: dict[str, str]                    # kind -> context pattern
-    reject: tuple[str, ...] = ()              # context patterns that settle "not copy"
-    reject_after: tuple[str, ...] = ()        # patterns on the code after the literal
-    diagnostic: tuple[str, ...] = ()
-    interpolation: str | None = None          # in the body: skipped or turned into a format string
-    escapes_rewritable: bool = True           # False: a literal with escapes is skipped
-    default_kind: str | None = None           # kind of literals in no listed position
-    blocked: dict[str, str] = field(default_factory=dict)  # reason -> context pattern
-    comment: str = COMMENT
-
-    @property
-    def token(self) -> str:
-        return "(?s)" + "|".join((self.comment, *self.strings, REST))
+def _calls(*names: str) -> str:
+    return call(*names)
 
 
-DIALECTS = {
-    "swift": CodeDialect(
-        strings=(RAW_HASH, TRIPLE_DOUBLE, DOUBLE),
-        literal=r'(?s)^"(?:[^"]|[^"].*)"$',
-        accept={
-            "UiCall": _calls(
-                "Text|Label|Button|TextField|SecureField|Toggle|Picker|Section|Menu|Link|NavigationLink|DisclosureGroup|GroupBox"
-                r"|Stepper|ProgressView|\.?navigationTitle|\.?navigationBarTitle|\.?alert|\.?confirmationDialog|\.?help"
-                r"|\.?accessibilityLabel|\.?accessibilityHint|\.?accessibilityValue|setTitle|setText"
-            ),
-            "NamedArgument": _labels("title|message|placeholder|prompt|label|subtitle|actionTitle|buttonTitle"),
-            "Assignment": _members("text|title|placeholder|prompt|subtitle|message|accessibilityLabel|accessibilityHint"),
-        },
-        reject=(
-            _calls(r"NSLocalizedString|LocalizedStringKey|LocalizedStringResource|String\(localized:[ \t]*"),
-            _labels("localized|verbatim|systemName|systemImage|named|identifier|withIdentifier|forKey|key|tableName|comment|ofType|withExtension"),
-        ),
-        diagnostic=(_inside(r"print|debugPrint|NSLog|os_log|fatalError|assertionFailure|preconditionFailure|[Ll]ogger\.[a-z]+"),),
-        interpolation=r"\\\(",
-    ),
-    "objc": CodeDialect(
-        strings=(r"@" + DOUBLE, DOUBLE, SINGLE),
-        literal=r'(?s)^@".+"$',
-        accept={
-            "UiCall": _labels(
-                "setTitle|setText|setPlaceholder|setMessage|setPrompt|initWithTitle|alertControllerWithTitle|actionWithTitle"
-                "|alertWithTitle|setAccessibilityLabel|setAccessibilityHint|setToolTip"
-            ),
-            "NamedArgument": _labels("title|message|placeholder|prompt|subtitle|informativeText|messageText|label"),
-            "Assignment": _members("text|title|placeholder|prompt|message|accessibilityLabel|accessibilityHint|toolTip"),
-        },
-        reject=(
-            r"(?:^|[^A-Za-z0-9_])NSLocalizedString[A-Za-z]*\([ \t\r\n]*$",
-            _labels("imageNamed|forKey|objectForKey|stringForKey|withIdentifier|isEqualToString|initWithFormat|hasPrefix|hasSuffix"),
-        ),
-        diagnostic=(_inside("NSLog|os_log|NSAssert|DDLog[A-Z][a-z]+"),),
-        interpolation=r"%@",
-    ),
-    "dart": CodeDialect(
-        strings=(TRIPLE_DOUBLE, TRIPLE_SINGLE, f"(?:{DOUBLE}|{SINGLE})(?:[ \\t\\r\\n]++(?:{DOUBLE}|{SINGLE}))*+"),
-        literal=r"""(?s)^(?:"[^"].*"|'[^'].*'|"[^"]"|'[^']')$""",
-        accept={
-            "UiCall": _calls("Text|SelectableText|TextSpan|Tooltip"),
-            "NamedArgument": _labels(
-                "title|label|labelText|hintText|helperText|errorText|tooltip|message|semanticLabel|semanticsLabel|subtitle|text"
-                "|counterText|prefixText|suffixText|barrierLabel|applicationName|placeholder"
-            ),
-        },
-        reject=(
-            r"(?:^|[^A-Za-z0-9_])r$",
-            _calls(r"Key|ValueKey|RegExp|Uri\.parse|AssetImage|Image\.asset|MethodChannel"),
-            _labels("restorationId|fontFamily|package|name|heroTag"),
-        ),
-        diagnostic=(_inside(r"print|debugPrint|log|developer\.log|[A-Za-z]*Exception|[A-Za-z]*Error|[Ll]ogger\.[a-z]+"),),
-        interpolation=r"(?:^|[^\\])\$[A-Za-z_{]",
-        blocked={"const scope": r"(?:^|[^A-Za-z0-9_])const[ \t\r\n][^;{}]*$"},
-    ),
-    "android": CodeDialect(
-        strings=(TRIPLE_DOUBLE, DOUBLE, SINGLE),
-        literal=r'(?s)^"(?:[^"]|[^"].*)"$',
-        accept={
-            "UiCall": _calls(
-                "setText|setTitle|setSubtitle|setMessage|setHint|setContentDescription|setPositiveButton|setNegativeButton"
-                "|setNeutralButton|setError|setSummary|setContentTitle|setContentText|setSubText|setTicker|setTooltipText"
-                "|setQueryHint|setLabel|announceForAccessibility|Text"
-            ),
-            "UiSecondArgument": r"(?:^|[^A-Za-z0-9_])(?:Toast\.makeText|Snackbar\.make)\([^\";]*,[ \t\r\n]*$",
-            "NamedArgument": _named("text|label|contentDescription|title|message|hint|placeholder|subtitle|summary|error"),
-        },
-        reject=(r"@[A-Za-z]+\([^)\n]*$", _calls(r"getString|stringResource|getText|findPreference")),
-        diagnostic=(r"(?:^|[^A-Za-z0-9_])(?:Log\.[vdiwe]|Timber\.[a-z]+|println|[A-Za-z]+Exception|error|require|check)\([^\";]*$",),
-        interpolation=r"(?:^|[^\\])\$[A-Za-z_{]",
-    ),
-    "script": CodeDialect(
-        strings=(BACKTICK, DOUBLE, SINGLE),
-        literal=r"""(?s)^(?:"[^"].*"|'[^'].*'|`[^`].*`)$""",
-        accept={
-            "UiCall": _calls(
-                r"alert|confirm|prompt|toast|toast\.[a-z]+|notify|showToast|showNotification|showMessage|enqueueSnackbar"
-                r"|message\.(?:success|error|info|warning)|notification\.[a-z]+|setErrorMessage"
-            ),
-        },
-        reject=(_calls(r"t|\$t|i18n\.t|i18next\.t|require|import|formatMessage"),),
-        interpolation=r"\$\{",
-        escapes_rewritable=False,
-    ),
-    "csharp": CodeDialect(
-        strings=(TRIPLE_DOUBLE, VERBATIM, INTERPOLATED, DOUBLE, SINGLE),
-        literal=r'(?s)^[$@]{0,2}"(?:[^"]|[^"].*)"$',
-        accept={"Attribute": r"\[[A-Za-z.]+\([^\]\";]*$"},
-        reject=(
-            r"(?:==|!=)[ \t\r\n]*(?:\([^;{}]*)?$",
-            r"(?:^|[^A-Za-z0-9_])Assert\.[A-Z][A-Za-z]*\([^;{}]*$",
-            r"(?:^|[^A-Za-z0-9_])(?:case|is|is not|or|using)[ \t\r\n]+$",
-            r"(?:^|[^A-Za-z0-9_])const[ \t]+string[ \t]+[A-Za-z0-9_]+[ \t]*=[ \t\r\n]*$",
-            _calls(
-                r"nameof|[A-Za-z0-9_.]*\.(?:Equals|Contains|StartsWith|EndsWith|IndexOf|LastIndexOf|Compare|CompareTo|Replace|Split|Trim"
-                r"|ContainsKey|TryGetValue|TryAdd|GetValue|GetSection|GetConnectionString|GetString|GetEnvironmentVariable|GetProperty)"
-            ),
-            r"(?:^|[^A-Za-z0-9_])(?:L|T|[A-Za-z_]*[Ll]ocalizer|Strings)\[[ \t\r\n]*$",
-            r"\[(?:Route|Http(?:Get|Post|Put|Delete|Patch)|JsonPropertyName|JsonProperty|Column|Table|DllImport|Fact|Trait|InlineData"
-            r"|Authorize|FromQuery|FromRoute|FromHeader|ActionName|Area|XmlElement|XmlAttribute|DataMember|EnumMember|ConfigurationKeyName)\([^\]\"]*$",
-        ),
-        reject_after=(r"^[ \t\r\n]*(?:==|!=|=>|or[ \t\r\n])",),
-        diagnostic=(
-            r"(?:^|[^A-Za-z0-9_])(?:[A-Za-z0-9_.]*[Ll]og[A-Za-z]*(?:\.[A-Z][A-Za-z]+)?|Debug\.[A-Z][A-Za-z]+|Trace\.[A-Z][A-Za-z]+|Console\.(?:Error\.)?Write(?:Line)?)\([^\";]*$",
-            r"(?:^|[^A-Za-z0-9_])new[ \t]+[A-Za-z]*Exception\([^\";]*$",
-            r"(?:^|[^A-Za-z0-9_])throw[ \t\r\n][^;{}]*$",
-        ),
-        default_kind="CodeLiteral",
-    ),
-}
+def _labels(*names: str) -> str:
+    return r"(?:^|[^A-Za-z0-9_])(?:" + "|".join(names) + r")[ \t]*:[ \t\r\n]*$"
+
+
+def _named(*names: str) -> str:
+    return r"(?:^|[^A-Za-z0-9_])(?:" + "|".join(names) + r")[ \t]*=[ \t\r\n]*$"
+
+
+def _members(*names: str) -> str:
+    return r"\.(?:" + "|".join(names) + r")[ \t]*=[ \t\r\n]*$"
+
 
+def _words(text: str) -> list[str]:
+    return text.split()
 
-def mask_comments(c: Column, d: CodeDialect) -> Column:
-    """Token-aware: comment marks inside literals are left alone."""
-    return F.array_join(F.transform(extract_all(c, d.token), lambda t: F.when(t.rlike(r"^/[/*]"), blank(t)).otherwise(t)), "")
 
+DIALECTS = {
+    "swift": Grammar(
+        strings=(RAW_HASH, TRIPLE_DOUBLE, DOUBLE), starts="\"/#", nested_comments=True, skip=r"\\\(",
+        rules=(
+            Rule("call", _calls("NSLocalizedString", "LocalizedStringKey", "LocalizedStringResource")),
+            Rule("gap", _labels(*_words("localized verbatim systemName systemImage named identifier withIdentifier forKey key tableName comment ofType withExtension"))),
+            Rule("inside", _calls("print", "debugPrint", "NSLog", "os_log", "fatalError", "assertionFailure", "preconditionFailure", r"[Ll]ogger\.[a-z]+"), "Diagnostic"),
+            Rule("call", _calls(*_words(
+                r"Text Label Button TextField SecureField Toggle Picker Section Menu Link NavigationLink DisclosureGroup GroupBox Stepper ProgressView"
+                r" \.?navigationTitle \.?navigationBarTitle \.?alert \.?confirmationDialog \.?help \.?accessibilityLabel \.?accessibilityHint"
+                r" \.?accessibilityValue setTitle setText")), "UiCall"),
+            Rule("gap", _labels(*_words("title message placeholder prompt label subtitle actionTitle buttonTitle")), "NamedArgument"),
+            Rule("gap", _members(*_words("text title placeholder prompt subtitle message accessibilityLabel accessibilityHint")), "Assignment"),
+        )),
+    "objc": Grammar(
+        strings=("@" + DOUBLE, DOUBLE, SINGLE), starts="\"'/@", candidate=r'(?s)^@".+"$', skip=r"%@",
+        rules=(
+            Rule("call", _calls("NSLocalizedString[A-Za-z]*")),
+            Rule("gap", _labels(*_words("imageNamed forKey objectForKey stringForKey withIdentifier isEqualToString initWithFormat hasPrefix hasSuffix"))),
+            Rule("inside", _calls("NSLog", "os_log", "NSAssert", "DDLog[A-Z][a-z]+"), "Diagnostic"),
+            Rule("gap", _labels(*_words(
+                "setTitle setText setPlaceholder setMessage setPrompt initWithTitle alertControllerWithTitle actionWithTitle alertWithTitle"
+                " setAccessibilityLabel setAccessibilityHint setToolTip")), "UiCall"),
+            Rule("gap", _labels(*_words("title message placeholder prompt subtitle informativeText messageText label")), "NamedArgument"),
+            Rule("gap", _members(*_words("text title placeholder prompt message accessibilityLabel accessibilityHint toolTip")), "Assignment"),
+        )),
+    "dart": Grammar(
+        strings=tuple(RAW_BEFORE + q for q in (TRIPLE_DOUBLE, TRIPLE_SINGLE, r'"[^"\n]*+"', r"'[^'\n]*+'")) + (TRIPLE_DOUBLE, TRIPLE_SINGLE, DOUBLE, SINGLE),
+        nested_comments=True, adjacent=True,
+        candidate=r"""(?s)^(?:"[^"].*"|'[^'].*'|"[^"]"|'[^']')$""", skip=r"(?:^|[^\\])\$[A-Za-z_{]",
+        blocked=(("const scope", r"(?:^|[^A-Za-z0-9_])const[ \t\r\n]"),),
+        scope=r"(?<![A-Za-z0-9_])BuildContext[ \t]+context(?![A-Za-z0-9_])", out_of_scope="no build context in scope",
+        rules=(
+            Rule("gap", r"(?:^|[^A-Za-z0-9_])r$"),
+            Rule("call", _calls("Key", "ValueKey", "RegExp", r"Uri\.parse", "AssetImage", r"Image\.asset", "MethodChannel")),
+            Rule("gap", _labels(*_words("restorationId fontFamily package name heroTag"))),
+            Rule("inside", _calls("print", "debugPrint", "log", r"developer\.log", "[A-Za-z]*Exception", "[A-Za-z]*Error", r"[Ll]ogger\.[a-z]+"), "Diagnostic"),
+            Rule("call", _calls("Text", "SelectableText", "TextSpan", "Tooltip"), "UiCall"),
+            Rule("gap", _labels(*_words(
+                "title label labelText hintText helperText errorText tooltip message semanticLabel semanticsLabel subtitle text counterText"
+                " prefixText suffixText barrierLabel applicationName placeholder")), "NamedArgument"),
+        )),
+    "android": Grammar(
+        strings=(TRIPLE_DOUBLE, DOUBLE, SINGLE), nested_comments=True, skip=r"(?:^|[^\\])\$[A-Za-z_{]", window=(40, 60),
+        rules=(
+            Rule("within", r"@[A-Za-z.]+$"),
+            Rule("call", _calls("getString", "stringResource", "getText", "findPreference")),
+            Rule("within", _calls(r"Log\.[vdiwe]", r"Timber\.[a-z]+", "println", "[A-Za-z]+Exception", "error", "require", "check"), "Diagnostic"),
+            Rule("call", _calls(*_words(
+                "setText setTitle setSubtitle setMessage setHint setContentDescription setPositiveButton setNegativeButton setNeutralButton"
+                " setError setSummary setContentTitle setContentText setSubText setTicker setTooltipText setQueryHint setLabel"
+                " announceForAccessibility Text")), "UiCall"),
+            Rule("later", _calls(r"Toast\.makeText", r"Snackbar\.make"), "UiSecondArgument"),
+            Rule("gap", _named(*_words("text label contentDescription title message hint placeholder subtitle summary error")), "NamedArgument"),
+        )),
+    "script": Grammar(
+        strings=(BACKTICK, DOUBLE, SINGLE), starts="\"'`/", candidate=r"""(?s)^(?:"[^"].*"|'[^'].*'|`[^`].*`)$""", skip=r"\$\{|\\",
+        rules=(
+            Rule("call", _calls("t", r"\$t", r"i18n\.t", r"i18next\.t", "require", "import", "formatMessage")),
+            Rule("call", _calls(*_words(
+                r"alert confirm prompt toast toast\.[a-z]+ notify showToast showNotification showMessage enqueueSnackbar"
+                r" message\.(?:success|error|info|warning) notification\.[a-z]+ setErrorMessage")), "UiCall"),
+        )),
+    "csharp": Grammar(
+        strings=(TRIPLE_DOUBLE, VERBATIM, INTERPOLATED, DOUBLE, SINGLE), starts="\"'/@$", candidate=r'(?s)^[$@]{0,2}"(?:[^"]|[^"].*)"$',
+        default="CodeLiteral", whole_statement=240,
+        rules=(
+            Rule("gap", r"(?:==|!=)[ \t\r\n]*$"),
+            Rule("within", r"(?:==|!=)[ \t\r\n]*$"),
+            Rule("within", _calls(r"Assert\.[A-Z][A-Za-z]*")),
+            Rule("gap", r"(?:^|[^A-Za-z0-9_])(?:case|is|is not|or|using)[ \t\r\n]+$"),
+            Rule("gap", r"(?:^|[^A-Za-z0-9_])const[ \t]+string[ \t]+[A-Za-z0-9_]+[ \t]*=[ \t\r\n]*$"),
+            Rule("call", _calls("nameof", r"[A-Za-z0-9_.]*\.(?:" + "|".join(_words(
+                "Equals Contains StartsWith EndsWith IndexOf LastIndexOf Compare CompareTo Replace Split Trim ContainsKey TryGetValue TryAdd"
+                " GetValue GetSection GetConnectionString GetString GetEnvironmentVariable GetProperty")) + ")")),
+            Rule("index", _calls("L", "T", "[A-Za-z_]*[Ll]ocalizer", "Strings")),
+            Rule("within", r"^\[(?:" + "|".join(_words(
+                "Route Http(?:Get|Post|Put|Delete|Patch) JsonPropertyName JsonProperty Column Table DllImport Fact Trait InlineData Authorize FromQuery"
+                " FromRoute FromHeader ActionName Area XmlElement XmlAttribute DataMember EnumMember ConfigurationKeyName")) + ")$"),
+            Rule("after", r"[ \t\r\n]*(?:==|!=|=>|or[ \t\r\n])"),
+            Rule("within", _calls(
+                r"[A-Za-z0-9_.]*[Ll]og[A-Za-z]*(?:\.[A-Z][A-Za-z]+)?", r"Debug\.[A-Z][A-Za-z]+", r"Trace\.[A-Z][A-Za-z]+", r"Console\.(?:Error\.)?Write(?:Line)?",
+                r"new[ \t]+[A-Za-z]*Exception"), "Diagnostic"),
+            Rule("statement", r"(?:^|[^A-Za-z0-9_])throw[ \t\r\n]", "Diagnostic"),
+            Rule("within", r"^\[[A-Za-z.]+$", "Attribute"),
+        )),
+}
 
-def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    """One pattern for all, so the context is handed to the matcher once."""
-    return c.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
+def mask_comments(c: Column, dialect: str) -> Column:
+    """Comments to blanks, by token: comment marks inside literals are left alone."""
+    token = "(?s)" + "|".join((COMMENT, *DIALECTS[dialect].strings, REST))
+    return F.array_join(F.transform(extract_all(c, token), lambda t: F.when(t.rlike(r"^/[/*]"), blank(t)).otherwise(t)), "")
 
-def literal_body(t: Column, dialect: str) -> Column:
-    """Text between the quotes. Adjacent Dart literals are folded into one text; a C# ``@`` literal has no escapes
-    but doubled quotes, elsewhere ``@`` is an ordinary prefix."""
-    prefix = F.length(F.regexp_extract(t, r"^[$@]*", 0)) + 1
-    inner = F.substring(t, prefix + 1, F.length(t) - prefix - 1)
-    if dialect == "dart":
-        return unescape_code(F.regexp_replace(inner, r"""(?:"[ \t\r\n]+"|'[ \t\r\n]+')""", ""))
+
+def literal_body(raw: Column, inner: Column, dialect: str) -> Column:
+    """Text of a literal: a C# ``@`` literal has no escapes but doubled quotes, elsewhere ``@`` is an ordinary prefix."""
     if dialect == "csharp":
-        return F.when(t.rlike(r"^(\$@|@)"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(unescape_code(inner))
+        return F.when(raw.rlike(r"^(\$@|@)"), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(unescape_code(inner))
     return unescape_code(inner)
 
 
@@ -293,23 +188,61 @@ def format_arguments(body: Column) -> Column:
     return hole_expressions(extract_all(body, PIECE))
 
 
+FOUND = T.StructType([
+    T.StructField("span_start", T.IntegerType()), T.StructField("span_length", T.IntegerType()), T.StructField("line", T.IntegerType()),
+    T.StructField("raw", T.StringType()), T.StructField("inner", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("member", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("around", T.StringType()),
+])
+_ORDER = ("start", "length", "line", "raw", "inner", "kind", "member", "reason", "context")
+#: Rows of a batch that leaves the reader; a file's literals may fill many.
+ROWS = 4096
+
+
+def literals(df: DataFrame, keep: list[str], content: str, dialect: str) -> DataFrame:
+    """(keep…, span_start, span_length, line, raw, inner, kind, member, reason, around) of every literal in a listed position."""
+    source = df.select(*keep, F.col(content).alias("_content"))
+    schema = T.StructType(source.schema.fields[:-1] + FOUND.fields)
+    grammar, at = DIALECTS[dialect], len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        reader, types = grammar.compiled(), to_arrow_schema(schema)
+        rows: list[int] = []
+        cells: list[tuple] = []
+
+        def full(batch: pa.RecordBatch) -> pa.RecordBatch:
+            place = pa.array(rows, pa.int32())
+            kept = [batch.column(i).take(place) for i in range(at)]
+            found = [pa.array(c, types.field(at + i).type) for i, c in enumerate(zip(*cells))]
+            rows.clear()
+            cells.clear()
+            return pa.RecordBatch.from_arrays(kept + found, schema=types)
+
+        for batch in batches:
+            contents = batch.column(at)
+            for i in range(batch.num_rows):
+                text = contents[i].as_py()
+                for hit in reader.read(text) if text else ():
+                    rows.append(i)
+                    cells.append(tuple(hit[k] for k in _ORDER))
+                    if len(rows) >= ROWS:
+                        yield full(batch)
+            if rows:
+                yield full(batch)
+
+    return source.mapInArrow(run, schema)
+
+
 def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, include_diagnostics: bool = False) -> DataFrame:
     """One row per accepted literal with its exact span in the original text."""
-    d = DIALECTS[dialect]
-    masked = evaluate_once(df, keep, _code=mask_comments(F.col(content), d))
-    cut = with_tokens(masked, keep, F.col("_code"), d.token)
-    tokens = explode_tokens(cut.withColumn("tok_ctx", _contexts("tok")), keep, ctx="tok_ctx")
-    t = F.col("token")
-    literals = tokens.filter(t.rlike(d.literal))
-    if d.interpolation:
-        literals = literals.filter(~t.rlike(d.interpolation))
-    if not d.escapes_rewritable:
-        literals = literals.filter(~F.contains(t, F.lit("\\")))
-    found = evaluate_once(literals, literals.columns, kind=_kind(d)).filter(F.col("kind").isNotNull())
+    g = DIALECTS[dialect]
+    found = literals(df, keep, content, dialect)
     if not include_diagnostics:
         found = found.filter(F.col("kind") != "Diagnostic")
     cols = [*found.columns]
-    found = evaluate_once(found, cols, body=literal_body(t, dialect))
+    t = F.col("raw")
+    found = evaluate_once(found, cols, body=literal_body(t, F.col("inner"), dialect))
     if dialect == "csharp":
         found = evaluate_once(found, [*cols, "body"], pieces=F.when(t.rlike(r"^\$@?\"|^@\$\""), extract_all(F.col("body"), PIECE)))
         is_format = F.coalesce(F.exists("pieces", _is_hole), F.lit(False))
@@ -317,22 +250,21 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
         args = F.when(is_format, hole_expressions(F.col("pieces")))
     else:
         is_format, text, args = F.lit(False), F.col("body"), F.lit(None).cast("array<string>")
-    reason = F.when(is_format & args.isNull(), F.lit("format clause in interpolation"))
-    for name, pattern in d.blocked.items():
-        reason = reason.when(F.col("ctx").rlike(pattern), F.lit(name))
+    reason = F.when(is_format & args.isNull(), F.lit("format clause in interpolation")).otherwise(F.col("reason"))
     found = evaluate_once(found, found.columns, text=text)
+    context = one_line(F.col("around"))
     # columns that no filter reads stay plain: a query that drops them never computes them
     out = found.select(
         *keep,
         F.lit(2).alias("phase"),
         "span_start",
-        F.length(t).alias("span_length"),
+        "span_length",
         "line",
         "text",
         t.alias("raw"),
         "kind",
-        preview(one_line(F.concat(F.substring("before", -70, 70), t, F.substring("after", 1, 70))), 240).alias("context"),
-        F.regexp_extract("ctx", r"([A-Za-z_][A-Za-z0-9_.]*)[ \t]*[(:=][^A-Za-z]*$", 1).alias("member"),
+        (preview(context, g.whole_statement) if g.whole_statement else context).alias("context"),
+        "member",
         reason.cast("string").alias("blocked_reason"),
         is_format.alias("is_interpolated"),
         args.alias("interpolation_args"),
@@ -340,15 +272,6 @@ def candidates(df: DataFrame, keep: list[str], content: str, dialect: str, inclu
     return drop_noise(out)
 
 
-def _kind(d: CodeDialect) -> Column:
-    ctx = F.col("ctx")
-    rejected = _any(ctx, d.reject) | _any(F.col("after"), d.reject_after)
-    kind = F.when(rejected, F.lit(None).cast("string")).when(_any(ctx, d.diagnostic), F.lit("Diagnostic"))
-    for name, pattern in d.accept.items():
-        kind = kind.when(ctx.rlike(pattern), F.lit(name))
-    return kind.otherwise(F.lit(d.default_kind)) if d.default_kind else kind
-
-
 def file_traits(content: Column) -> Column:
     """What a Kotlin/Java file can resolve, computed once per file."""
     return F.struct(

@@ -76,10 +76,8 @@ def _code_query(dialect: str):
     n = len(rows)
     wanted = ", ".join(f"{{'j': {j + 1}, 'kind': '{kind}'}}" for j, (_, _, kind) in enumerate(rows) if kind)
     conditions = [f"NOT {d.sql_noise('text')}"]
-    if spec.interpolation:
-        conditions.append("NOT " + d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(spec.interpolation)))
-    if not spec.escapes_rewritable:
-        conditions.append(f"NOT contains({_ESC}, chr(92))")
+    if spec.skip:
+        conditions.append("NOT " + d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(spec.skip)))
     sql = "WITH " + d.LINES + f"""
 SELECT doc_id, CAST((line - 1) * {n} + s.j AS BIGINT) AS line, s.kind AS kind, text
 FROM (SELECT *, unnest([{wanted}]) AS s FROM lines) x WHERE {' AND '.join(conditions)}"""
@@ -120,7 +118,7 @@ def diagnostics_opted_in(spark, root):
 
 @query("X3,X6,R2", "WITH " + d.LINES + f"""
 SELECT doc_id, count(*) * 6 AS applied, 0 AS skipped, true AS same FROM lines
-WHERE NOT {d.sql_noise('text')} AND NOT {d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS['swift'].interpolation))} GROUP BY doc_id""")
+WHERE NOT {d.sql_noise('text')} AND NOT {d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS['swift'].skip))} GROUP BY doc_id""")
 def code_spans_hold(spark, root):
     """Every literal put back where it was found gives the same file: all spans are exact."""
     files = source_files(spark, root, "swift")
@@ -128,3 +126,54 @@ def code_spans_hold(spark, root):
     out = splice(files, ["doc_id"], "content", c.select("doc_id", "span_start", "raw", F.col("raw").alias("replacement")))
     out = out.withColumnRenamed("content", "new").join(files, "doc_id")
     return out.select("doc_id", F.col("applied").cast("long"), "skipped", (F.md5("new") == F.md5("content")).alias("same"))
+
+
+# scope templates: (before the literal, after it, expected reason or None)
+NO_CONTEXT = code.DIALECTS["dart"].out_of_scope
+SCOPES = [
+    ('class A { Widget build(BuildContext context) { return Text("', '"); } }', None),
+    ('void f() { var x = Text("', '"); }', NO_CONTEXT),
+    ('Widget w(BuildContext context) => Text("', '");', None),
+    ('final t = Text("', '");', NO_CONTEXT),
+    ('Widget b(BuildContext context) { return const Column(children: [Text(x), Text("', '")]); }', "const scope"),
+    ('Widget c(BuildContext context) { return B(make: () { if (a) { for (;;) { return Row([Text("', '")]); } } }); }', None),
+    ('Widget d(Key k, BuildContext context) async { g(() { h({}); }); return Text("', '"); }', None),
+    ('show(a, (BuildContext context, i) => Text(i), Text("', '"));', NO_CONTEXT),
+    ('Widget e(/* BuildContext context) { */ int i) { return Text("', '"); }', NO_CONTEXT),
+]
+_SCOPE_ROWS = ", ".join(f"{{'j': {j + 1}, 'reason': {d.lit(r) if r else 'CAST(NULL AS VARCHAR)'}}}" for j, (_, _, r) in enumerate(SCOPES))
+_DART_COPY = f"NOT {d.sql_noise('text')} AND NOT " + d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS["dart"].skip))
+
+
+def _built(spark, root, templates):
+    """(doc_id, content): every line of a document in each of the templates, a line for each."""
+
+    def statements(line):
+        return F.concat(*[part for before, after, *_ in templates for part in (F.lit(before), escaped(line), F.lit(after + "\n"))])
+
+    docs = spread(table(spark, root, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), statements), "").alias("content"))
+
+
+@query("X29,X30,J13", "WITH " + d.LINES + f"""
+SELECT doc_id, CAST((line - 1) * {len(SCOPES)} + s.j AS BIGINT) AS line, s.reason AS reason, text
+FROM (SELECT *, unnest([{_SCOPE_ROWS}]) AS s FROM lines) x WHERE {_DART_COPY}""")
+def dart_scopes(spark, root):
+    """Literals outside every body that has a build context are reported, not offered for rewriting."""
+    c = code.candidates(_built(spark, root, SCOPES), ["doc_id"], "content", "dart")
+    return c.select("doc_id", F.col("line").cast("long"), F.col("blocked_reason").alias("reason"), "text")
+
+
+_GAP = '" /* first "half" */\n // then\n" and more" \'!\''
+
+
+@query("X28,X27", "WITH " + d.LINES + f"""
+SELECT doc_id, CAST((line - 1) * 3 + 1 AS BIGINT) AS line, text || ' and more!' AS text, CAST(length({_ESC}) + {1 + len(_GAP)} AS BIGINT) AS span_length
+FROM lines WHERE NOT {d.sql_noise("text || ' and more!'")} AND NOT {d.sql_match(f"chr(34) || {_ESC} || chr(34)", code.re2(code.DIALECTS["dart"].skip))}""")
+def adjacent_literals(spark, root):
+    """Literals with blanks and comments between them are one candidate with one span."""
+    one = lambda line: F.concat(F.lit('Text("'), escaped(line), F.lit(_GAP + "),\n"))
+    content = F.array_join(F.transform(F.split("text", "\n"), one), "")
+    files = spread(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", content.alias("content"))
+    c = code.candidates(files, ["doc_id"], "content", "dart")
+    return c.select("doc_id", F.col("line").cast("long"), "text", F.col("span_length").cast("long"))

@@ -72,7 +72,7 @@ def test_context_reaches_through_open_brackets(spark, dialect, source, want):
 def test_const_scope_reaches_all_children(spark):
     from glossweave.operators import code
 
-    source = 'const Column(children: [Text("Alpha one"), Text("Beta two")]);\nText("Gamma three");'
+    source = 'Widget build(BuildContext context) {\nreturn const Column(children: [Text("Alpha one"), Text("Beta two")]);\nText("Gamma three");\n}'
     found = code.candidates(spark.createDataFrame([(1, source)], "id long, content string"), ["id"], "content", "dart").collect()
     assert {r.text: r.blocked_reason for r in found} == {"Alpha one": "const scope", "Beta two": "const scope", "Gamma three": None}
 
