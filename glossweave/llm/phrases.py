@@ -26,7 +26,7 @@ from glossweave.session import materialise
 
 SHARDS = 3
 #: Bytes of text worked on at a time; a longer text is cut after a break or blank.
-PIECE = 4 << 20
+PIECE = 1 << 20
 NEVER = 1 << 30
 UNKNOWN = "und"
 
