@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.escapes import unescape_code
 from ..functions.noise import drop_noise
-from ..functions.text import blank, extract_all, one_line, preview, re2  # noqa: F401
+from ..functions.text import extract_all, one_line, preview, re2  # noqa: F401
 from ..session import evaluate_once
 from .brackets import Grammar, Rule, call
 
 # --- fixed values: literal shapes -----------------------------------------------------------
 # possessive repetition keeps the JVM matcher iterative on long literals; dropping the extra '+' gives RE2
-COMMENT = r"//[^\n]*|/\*.*?\*/"
 DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 BACKTICK = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
@@ -29,7 +28,6 @@ TRIPLE_SINGLE = r"'''.*?'''"
 VERBATIM = r'\$?@\$?"[^"]*+(?:""[^"]*+)*+"'
 INTERPOLATED = r'\$"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 RAW_HASH = r'#+".*?"#+'
-REST = r"[^\"'`/@$#]++|."
 #: A Dart literal is raw behind an r that ends no word; the r stays in the gap before it.
 RAW_BEFORE = r"(?<=r)(?<![A-Za-z0-9_$]r)"
 
@@ -143,12 +141,6 @@ DIALECTS = {
 }
 
 
-def mask_comments(c: Column, dialect: str) -> Column:
-    """Comments to blanks, by token: comment marks inside literals are left alone."""
-    token = "(?s)" + "|".join((COMMENT, *DIALECTS[dialect].strings, REST))
-    return F.array_join(F.transform(extract_all(c, token), lambda t: F.when(t.rlike(r"^/[/*]"), blank(t)).otherwise(t)), "")
-
-
 def literal_body(raw: Column, inner: Column, dialect: str) -> Column:
     """Text of a literal: a C# ``@`` literal has no escapes but doubled quotes, elsewhere ``@`` is an ordinary prefix."""
     if dialect == "csharp":

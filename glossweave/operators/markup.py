@@ -1,19 +1,22 @@
-"""Candidates from markup: HTML/Svelte, XAML, Razor, Android layouts and Interface Builder files.
+"""Candidates from markup: HTML/Svelte, JSX, Vue, XAML, Razor, Android layouts and Interface Builder files.
 
-One tokenisation per file. A text token that touches a dead region (comment, script, style) is not intact:
+One tokenisation per file: by a pattern where markup is all there is, by a reader (``templates``) where code and markup change. A text token that touches a dead region (comment, script, style) is not intact:
 its span would cover masked characters, so it is dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed
 from ..functions.noise import drop_noise
 from ..functions.text import decode_entities, extract_all, line_breaks, one_line, trim_ws
 from ..session import evaluate_once
+from . import templates
 from .spans import explode_tokens, with_tokens
 
 
@@ -33,7 +36,7 @@ class MarkupDialect:
 
 DIALECTS = {
     "html": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, blocked_reason="report only: plain markup"),
-    "jsx": MarkupDialect(tuple(fixed.JSX_COPY_ATTRIBUTES), True, reject_text=r"[{}]|=>|[;(][ \t\r\n]*$", enclosed=True),
+    "jsx": MarkupDialect(tuple(fixed.JSX_COPY_ATTRIBUTES), True, enclosed=True),
     "vue": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, ignore_prefixes=(":", "@", "v-")),
     "xaml": MarkupDialect(tuple(fixed.XAML_COPY_ATTRIBUTES), True, reject_value=r"^\{"),
     "razor": MarkupDialect(tuple(fixed.HTML_COPY_ATTRIBUTES), True, reject_value="@", reject_text="@"),
@@ -129,15 +132,60 @@ def _attribute_cells(d: MarkupDialect) -> Column:
     return F.when(is_tag(F.col("token")), F.transform(attribute_hits(F.col("token"), d), cell))
 
 
+WINDOW = 60
+_LIVE = T.StructType([
+    T.StructField("before", T.StringType()), T.StructField("token", T.StringType()), T.StructField("after", T.StringType()),
+    T.StructField("span_start", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("around", T.StringType())])
+#: Rows of a batch that leaves the reader; a file's tokens may fill many.
+ROWS = 4096
+
+
+def live_tokens(df: DataFrame, keep: list[str], content: str, dialect: str) -> DataFrame:
+    """(keep…, before, token, after, span_start, line, around) of the tags and texts that a reader finds; no shuffle."""
+    source = df.select(*keep, F.col(content).alias("_content"))
+    schema, at = T.StructType(source.schema.fields[:-1] + _LIVE.fields), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            rows, cells = [], []
+
+            def full() -> pa.RecordBatch:
+                place = pa.array(rows, pa.int32())
+                columns = [batch.column(i).take(place) for i in range(at)] + [pa.array([c[f.name] for c in cells], types.field(f.name).type) for f in _LIVE]
+                rows.clear()
+                cells.clear()
+                return pa.RecordBatch.from_arrays(columns, schema=types)
+
+            for i in range(batch.num_rows):
+                text = batch.column(at)[i].as_py()
+                for cell in templates.live(text, dialect, WINDOW) if text else ():
+                    rows.append(i)
+                    cells.append(cell)
+                    if len(rows) >= ROWS:
+                        yield full()
+            if rows:
+                yield full()
+
+    return source.mapInArrow(run, schema)
+
+
 def candidates(df: DataFrame, keep: list[str], content: str, dialect: str) -> DataFrame:
     """Attributes (phase 0) and text (phase 1) of every file from one tokenisation, noise dropped."""
     d = DIALECTS[dialect]
-    tokens = explode_tokens(with_tokens(df, keep, F.col(content), fixed.MARKUP_TOKEN), keep)
     cells = F.coalesce(_attribute_cells(d), _text_cells(d)) if d.text_nodes else _attribute_cells(d)
-    # the context is read by no filter, so it stays outside the generator and is only computed when asked for
-    around = F.when(F.col("phase") == 0, F.col("token")).otherwise(F.concat(F.substring("before", -60, 60), F.col("token"), F.substring("after", 1, 60)))
-    out = drop_noise(tokens.select(*keep, "before", "token", "after", F.inline(cells)))
-    return out.withColumn("context", one_line(around)).withColumn("blocked_reason", F.lit(d.blocked_reason).cast("string")).drop("before", "token", "after")
+    if dialect in templates.READERS:
+        out = drop_noise(live_tokens(df, keep, content, dialect).select(*keep, "around", F.inline(cells)))
+        out = out.withColumn("context", one_line(F.col("around"))).drop("around")
+    else:
+        tokens = explode_tokens(with_tokens(df, keep, F.col(content), fixed.MARKUP_TOKEN), keep)
+        # the context is read by no filter, so it stays outside the generator and is only computed when asked for
+        around = F.when(F.col("phase") == 0, F.col("token")).otherwise(F.concat(F.substring("before", -60, 60), F.col("token"), F.substring("after", 1, 60)))
+        out = drop_noise(tokens.select(*keep, "before", "token", "after", F.inline(cells)))
+        out = out.withColumn("context", one_line(around)).drop("before", "token", "after")
+    return out.withColumn("blocked_reason", F.lit(d.blocked_reason).cast("string"))
 
 
 def copy_bearing_xml(path: Column, content: Column) -> Column:

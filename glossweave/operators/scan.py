@@ -50,8 +50,6 @@ def candidates(files: DataFrame, stack: str, include_diagnostics: bool = False)
         text = F.col("text")
         if live:
             text = mask_outside(text, live)
-        elif dialect == "jsx":
-            text = code.mask_comments(text, "script")
         part = part.select("path", text.alias("content"))
         if family == "code":
             out = code.candidates(part, ["path"], "content", dialect, include_diagnostics)

@@ -122,11 +122,12 @@ WRAPPERS = {
     "android_layout": '<LinearLayout>\n<TextView android:text="{0}" tools:text="{0}" android:id="@+id/a"/><EditText android:hint="@string/x" app:title="{0}"/></LinearLayout>',
     "interface_builder": '<scene>\n<button title="{0}" id="a1"/><label text="{0}" fontDescription="{0}"/></scene>',
     "vue": '<div :title="x" v-text="{0}" @click="go"><span title="{0}" data-x="{0}"></span></div>',
+    "jsx": 'export const A = ({a}) => (\n<Card icon={<I n={{b: {c: {d: `}${a ? "{" : 1}`}}}}/>} onClick={() => {if (a < 1 && a > 0) {go({a: {a}});}}} title="{0}" name="{0}"></Card>); // <b title="{0}">\n',
     "razor": '<div>\n<a title="@Model.Name" href="/x">x</a><input placeholder="{0}" value="{0}"/></div>',
 }
 EXPECTED = {
     "html": ["alt", "placeholder", "title"], "xaml": ["Content", "ToolTip"], "android_layout": ["android:text", "app:title"],
-    "interface_builder": ["title", "text"], "vue": ["title"], "razor": ["placeholder"],
+    "interface_builder": ["title", "text"], "vue": ["title"], "razor": ["placeholder"], "jsx": ["title"],
 }
 
 
@@ -145,7 +146,8 @@ FROM lines WHERE {d.sql_trim('text')} <> '' AND NOT {d.sql_noise(ENTITY_SQL.form
         from ..functions.escapes import escape_xml_attribute
 
         value = F.replace(escape_xml_attribute(F.col("text")), F.lit("'"), F.lit("&apos;"))
-        head, *rest = WRAPPERS[dialect].replace("{{", "{").replace("}}", "}").split("{0}")
+        template = WRAPPERS[dialect] if dialect == "jsx" else WRAPPERS[dialect].replace("{{", "{").replace("}}", "}")
+        head, *rest = template.split("{0}")
         built = F.concat(F.lit(head), *[x for r in rest for x in (value, F.lit(r))])
         df = d.lines(spark, root).select("doc_id", "line", built.alias("content"))
         df = df.withColumnRenamed("line", "doc_line")
@@ -153,7 +155,7 @@ FROM lines WHERE {d.sql_trim('text')} <> '' AND NOT {d.sql_noise(ENTITY_SQL.form
         return c.filter(F.col("phase") == 0).select("doc_id", F.col("doc_line").alias("line"), F.col("member").alias("attribute"), "text")
 
     run.__name__ = f"attributes_{dialect}"
-    ids = {"html": "X4,X9,N14", "xaml": "X17", "android_layout": "X21", "interface_builder": "X25", "vue": "X11", "razor": "X18"}
+    ids = {"html": "X4,X9,N14", "xaml": "X17", "android_layout": "X21", "interface_builder": "X25", "vue": "X11", "razor": "X18", "jsx": "X10"}
     return query(ids[dialect], sql)(run)
 
 
@@ -161,6 +163,55 @@ for _dialect in WRAPPERS:
     _attribute_query(_dialect)
 
 
+# --- text nodes: lines between tags of each dialect, and where they are no copy ---------------------
+# {0} is the escaped line; the elements listed hold it as live text
+TEXTS = {
+    "xaml": ('<Grid>\n<TextBlock>{0}</TextBlock><Button Content="x">\n  {0} </Button><!-- <Run>{0}</Run> --></Grid>', ["TextBlock", "Button"]),
+    "vue": ('<div v-if="a > b && c"><p>{0}</p><span>{{ {0} }}</span><!-- <b>{0}</b> --></div>', ["p"]),
+    "jsx": (
+        'export const A = ({a}) => (\n<Card icon={<I n={{b: {c: {d: `}${a ? "{" : 1}`}}}}/>} go={() => {if (a < 1 && a > 0) {go({a: {a: {a}}});}}}>\n'
+        "<p>{0}</p>{a && <b className='x'>{0}</b>}<i>{a} {0}</i><Trans>{0} <u>{0}</u></Trans><><em>{a.map((x) => <li key={x}>{0}</li>)}</em></></Card>);\n"
+        "// <s>{0}</s>\nconst f = (a < b) ? useA<string>(a) : a > 3 && /<q>/.test(a);\n", ["p", "b", "li"]),
+    "razor": (
+        '@page "/x"\n@using A.B\n@code { List<string> a = new List<string>(); string s = @"<q>{0}</q>"; void F() { if (a.Count < 3) { } } }\n'
+        '@if (Model.A < 3 && F("}")) {\n<p title="@(x ? "a" : "b")">{0}</p>\n  int y = 1; if (y > 0) { <b>{0}</b> } }\nelse if (F<int>(1)) { <br> <i>@y {0}</i> }\n'
+        "<u>{0}</u>@{ var z = new Dictionary<string, List<int>>(); { { } } }@* <s>{0}</s> *@<em>{0}</em>\n@foreach (var i in z) { foreach (var j in i) { <li>{0}</li> } }",
+        ["p", "b", "u", "em", "li"]),
+}
+
+
+def _text_query(dialect: str):
+    template, elements = TEXTS[dialect]
+    # braces and at signs that are no code are written as references
+    code = [("{", "&#123;"), ("}", "&#125;"), ("@", "&#64;")]
+    escaped = _escape_sql("text")
+    for old, new in code:
+        escaped = f"replace({escaped}, '{old}', '{new}')"
+    shown = ENTITY_SQL.format(d.sql_trim(escaped))
+    sql = "WITH " + d.LINES + f"""
+SELECT doc_id, line, unnest({elements}) AS element, {shown} AS text FROM lines WHERE {d.sql_trim('text')} <> '' AND NOT {d.sql_noise(shown)}"""
+
+    def run(spark, root):
+        from ..functions.escapes import escape_xml_attribute
+
+        value = F.replace(escape_xml_attribute(F.col("text")), F.lit("'"), F.lit("&apos;"))
+        for old, new in code:
+            value = F.replace(value, F.lit(old), F.lit(new))
+        head, *rest = template.split("{0}")
+        built = F.concat(F.lit(head), *[x for r in rest for x in (value, F.lit(r))])
+        df = d.lines(spark, root).select("doc_id", F.col("line").alias("doc_line"), built.alias("content"))
+        c = markup.candidates(df, ["doc_id", "doc_line"], "content", dialect).filter(F.col("phase") == 1)
+        return c.select("doc_id", F.col("doc_line").alias("line"), F.col("member").alias("element"), "text")
+
+    run.__name__ = f"text_{dialect}"
+    ids = {"xaml": "X17", "vue": "X11", "jsx": "X10", "razor": "X18"}
+    return query(ids[dialect], sql)(run)
+
+
+for _dialect in TEXTS:
+    _text_query(_dialect)
+
+
 @query("X7", """SELECT page_id, trim(regexp_replace(regexp_replace(substr(html, greatest(1, p - 60), p + 4 + 60 - greatest(1, p - 60)), '[\\r\\n]+', ' ', 'g'), ' {2,}', ' ', 'g')) AS snippet
 FROM (SELECT page_id, html, strpos(html, '<h1>') AS p FROM pages) x WHERE p > 0""")
 def context_snippet(spark, root):
