@@ -15,7 +15,7 @@ from .functions.text import short_hash
 from .operators import classify as cl, dedupe, detect, incremental as inc, keyalloc, provider as pv, report, rewrite, scan, setup
 from .options import RunOptions, with_stack
 from .session import materialise
-from .sources import bundles, files as src
+from .sources import bundles, files as src, patches
 
 
 class EveryRequestFailed(RuntimeError):
@@ -98,7 +98,7 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     source_path = spark.range(1).select(where(none).alias("path"))
     source_files = bundle_files.join(source_path, "path", "left_semi")
     bundles.refuse_malformed(source_files, o.fmt)
-    existing = bundles.entries(source_files, o.fmt).select("key", F.col("value").alias("text"))
+    existing = patches.entries(source_files, o.fmt).select("key", F.col("value").alias("text"))
     fingerprint = spark.range(1).select(cl_fingerprint(o, model)).first()[0]
     cache_path = os.path.join(o.work, "verdicts")
     cache = _load(spark, cache_path, _schema(schemas.VERDICT)) if o.use_cache else None
@@ -132,7 +132,7 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     places = spark.createDataFrame([(x,) for x in o.languages], "lang string").withColumn("path", where(F.col("lang")))
     target_files = bundle_files.join(places.select("path"), "path", "left_semi")
     bundles.refuse_malformed(target_files, o.fmt)
-    target = bundles.entries(target_files, o.fmt).join(places, "path").select("lang", "key", "value")
+    target = patches.entries(target_files, o.fmt).join(places, "path").select("lang", "key", "value")
     state_path, approved_path, words_path = (os.path.join(o.work, n) for n in ("state", "approved", "translations"))
     state = _load(spark, state_path, _schema(schemas.STATE_WRITTEN))
     approved = _load(spark, approved_path, _schema(schemas.STATE_APPROVED))
@@ -151,10 +151,9 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     result.final = final
     outgoing.append(final.filter(inc.filled("value") & F.col("action").isin("SEND", "REUSED")).join(places, "lang").select("path", "key", "value", F.lit(None).cast("string").alias("comment")))
 
-    lines = materialise(bundles.merge_lines(source_files.unionByName(target_files), outgoing[0].unionByName(outgoing[1]), o.fmt), "lines")
-    folder = bundles.write_lines(lines)
-    bundles.publish(spark, folder, o.project).collect()
-    counts = lines.filter("status is not null").groupBy("path", "status").count().collect()
+    merged = materialise(patches.merge(source_files.unionByName(target_files), outgoing[0].unionByName(outgoing[1]), o.fmt), "merged")
+    patches.publish(merged, o.project).collect()
+    counts = merged.filter("status is not null").groupBy("path", "status").count().collect()
     for r in counts:
         result.merged.setdefault(r.path, {})[r.status] = r["count"]
     _save(inc.new_state(final, state), state_path)
@@ -219,7 +218,7 @@ def _normal(c, stack: str):
 
 def _reserved(source_files: DataFrame, existing: DataFrame, fmt: str) -> DataFrame:
     """Every key of the file, including those that hold no text."""
-    return bundles._cells(source_files, bundles.get(fmt)).filter("key is not null").select("key").distinct()
+    return patches.keys(source_files, fmt).select("key")
 
 
 IMPORTS = {"csharp": (r"^using [A-Za-z]", r"^(//|/\*|\*|#)"), "script": (r"^import ", r"^(//|/\*|\*|['\"]use )"), "jsx": (r"^import ", r"^(//|/\*|\*|['\"]use )"), "dart": (r"^import ", r"^(//|library )")}

@@ -74,4 +74,4 @@ def test_candidates_have_exact_spans_and_whole_windows(spark):
     assert {r.text for r in found} == {"Save all", "Click & go"}
     assert all(source[r.span_start:r.span_start + r.span_length] == r.raw for r in found)
     at = source.index("Click")
-    assert next(r.context for r in found if r.phase == 1) == source[at - 60:at + 72].replace("\n", " ").strip()
+    assert next(r.context for r in found if r.phase == 1) == source[at - 60:at + 14 + 60].replace("\n", " ").strip()
