@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import escapes as esc, locales
 from ..session import materialise
 from ..sources import bundles as b, patches
@@ -96,7 +97,11 @@ def _sql_text(s: str) -> str:
 def _sql_entry(fmt: str, style: int, c: str) -> str:
     v, r = _sql_escaped(fmt, c)
     text = _sql_text(_HAND[fmt][1][style])
-    return f"replace(replace(replace({text}, '{{k}}', key), '{{v}}', {v}), '{{r}}', {r})"
+    filled = f"replace(replace(replace({text}, '{{k}}', key), '{{v}}', {v}), '{{r}}', {r})"
+    if fmt == "android" and c != "text":  # a new value with several arguments without numbers is marked
+        many = f"len(regexp_extract_all(replace({c}, '%%', ''), {d.lit(fixed.PRINTF_UNNUMBERED)})) > 1"
+        filled = f"CASE WHEN {many} THEN replace({filled}, ' translatable=\"false\">', ' translatable=\"false\" formatted=\"false\">') ELSE {filled} END"
+    return filled
 
 
 # quotes that keep blanks are taken off a whole value alone: in front of a further character they stay
