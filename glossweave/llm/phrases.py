@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from glossweave.llm.rows import buffers
-from glossweave.llm.urls import BITS_PER_KEY, BLOCK_WORDS, MOST_BLOCKS, PROBES, block_and_bits, may_hold
+from glossweave.llm.urls import BITS_PER_KEY, BLOCK_WORDS, MOST_BLOCKS, PROBES, block_and_bits
 from glossweave.session import materialise
 
 SHARDS = 3
@@ -130,13 +130,33 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 
 def _first_hits(filters: dict[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """The first step whose filter may hold each hash, else NEVER."""
+    """The first step whose filter may hold each hash, else NEVER. Probes go on for those alone that the last one let pass."""
     out = np.full(len(hashes), NEVER, np.int64)
-    for step in sorted(filters, reverse=True):
-        out[may_hold(filters[step], hashes)] = step
+    left = np.arange(len(hashes))
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)  # as in urls.block_and_bits
+    for step in sorted(filters):
+        words = filters[step]
+        at, m = left, mixed[left]
+        block = (((hashes[left] >> np.uint64(32)) * np.uint64(len(words))) >> np.uint64(32)).astype(np.int64)
+        for probe in range(PROBES):
+            bits = ((m * np.uint64((2 * probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(55)).astype(np.int64)
+            passed = np.flatnonzero((words[block, bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1))
+            at, m, block = at[passed], m[passed], block[passed]
+        out[at] = step
+        left = left[out[left] == NEVER]
     return out
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes in the order of their first places, those places, the number of each code's)."""
+    import pandas as pd
+
+    number, unique = pd.factorize(codes)
+    first = np.empty(len(unique), np.int64)
+    first[number[::-1]] = np.arange(len(codes))[::-1]
+    return unique, first, number
+
+
 COUNTS = "k int, cohort int, lang string, phrase string, n long"
 
 
@@ -166,7 +186,7 @@ def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: li
                 size = len(coded.dictionary)
                 code = lang_of[rows[row]].astype(np.int64) * size + coded.indices.to_numpy(zero_copy_only=False)
                 fresh = np.arange(len(code)) >= old
-                unique, at = np.unique(code, return_inverse=True)
+                unique, _, at = _distinct(code)
                 places = np.arange(len(code))  # where a phrase of the length in hand starts
                 lang, ids = unique // size, (unique % size)[:, None]
                 word_hash = hashed(coded.dictionary.to_pylist())
@@ -193,7 +213,7 @@ def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: li
                     if not len(follows):
                         break
                     a, b = at[follows], at[follows + 1]
-                    pairs, first, back = np.unique(a * len(lang) + b, return_index=True, return_inverse=True)
+                    pairs, first, back = _distinct(a * len(lang) + b)
                     left, right = pairs // len(lang), pairs % len(lang)
                     lang, ids, h = lang[left], np.concatenate([ids[left], ids[right][:, -1:]], 1), chained(h[left], word_hash[ids[right][:, -1]])
                     cohort, places, at = both[first] + 1, places[follows], back
@@ -249,8 +269,9 @@ def count_phrases(docs: DataFrame, most: int = 3, least: int = 10, shards: int =
         counts = materialise(counts.withColumn("reached", reached), f"phrases-{step}")
         done.append(counts.filter(F.col("cohort") == step - shards + 1))
         carried = counts.filter(F.col("cohort") > step - shards + 1)
+        crossed = materialise(counts.filter((F.col("k") < most) & (F.col("reached") == step)).select("k", "lang", "phrase"), "phrases-new")
         for k in range(1, most):
-            new = filter_of(counts.filter((F.col("k") == k) & (F.col("reached") == step)))
+            new = filter_of(crossed.filter(F.col("k") == k))
             if new is not None:
                 filters[k - 1][step] = new
         for k in range(1, most):  # a subphrase lets longer ones start from its filter's step, or from its own first one if later

@@ -107,3 +107,20 @@ def test_filters_find_all_their_phrases():
     words = phrases.hashed([s.split(" ")[0] for s in strings])
     chain = phrases.chained(phrases.chained(phrases.chained(phrases.hashed(langs), words), phrases.hashed(["of"] * 1000)), phrases.hashed([s.split(" ")[2] for s in strings]))
     assert np.array_equal(chain, h)
+
+
+def test_first_hits_equal_the_plain_filter():
+    from glossweave.llm.urls import BLOCK_WORDS, PROBES, block_and_bits, may_hold
+
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    filters = {}
+    for step, part in ((2, h[:700]), (1, h[500:900]), (5, h[900:1000])):
+        words = np.zeros((40, BLOCK_WORDS), np.uint64)
+        block, word, mask = block_and_bits(part, 40)
+        np.bitwise_or.at(words, (np.repeat(block, PROBES), word.reshape(-1)), mask.reshape(-1))
+        filters[step] = words
+    got = phrases._first_hits(filters, h)
+    want = [min([s for s, w in filters.items() if may_hold(w, h[i:i + 1])[0]], default=phrases.NEVER) for i in range(len(h))]
+    assert got.tolist() == want
+    assert set(got[:500]) <= {1, 2} and (got[1000:] == phrases.NEVER).mean() > 0.8
