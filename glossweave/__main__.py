@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     except (EveryRequestFailed, MalformedBundle, ValueError) as e:
         print(e, file=sys.stderr)
         return FAILED
-    summary = {"candidates": result.candidates.count(), "bundles": result.merged, "rewrite": result.rewritten, "asked": result.asked, "seconds": round(result.seconds, 1)}
+    summary = {"candidates": result.candidates.count(), "bundles": result.merged, "rewrite": result.rewritten, "asked": result.asked, "tokens": {"read": result.tokens[0], "written": result.tokens[1]}, "seconds": round(result.seconds, 1)}
     print(json.dumps(summary) if as_json else "\n".join(f"{k}: {v}" for k, v in summary.items()))
     return REFUSED if result.refused_rewrite else OK
 

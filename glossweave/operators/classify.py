@@ -27,7 +27,7 @@ def classify(candidates: DataFrame, order: list[str], cache: DataFrame | None, m
     texts = first_occurrence(candidates, "text", order, ["context"]).withColumn("text_hash", verdict_cache_key("text", fingerprint))
     known = cache.select("text_hash", "user_facing", "reason", "proposed_key") if cache is not None else None
     pending = cache_misses(texts, cache, "text_hash") if cache is not None else texts
-    answers = pv.ask(pending.select(F.col("text_hash").alias("id"), "text", "context"), model.classify, size, concurrency)
+    answers = pv.ask(pending.select(F.col("text_hash").alias("id"), "text", "context"), lambda m, batch: m.classify(batch), size, concurrency, model)
     fresh = answers.filter("error is null").select(F.col("id").alias("text_hash"), "user_facing", "reason", "proposed_key")
     verdicts = texts.join(known.unionByName(fresh) if known is not None else fresh, "text_hash", "left")
     label = F.when(F.col("user_facing").isNull(), "no_verdict").when(F.col("user_facing"), "localized").otherwise("rejected")
@@ -49,13 +49,18 @@ def translate(units: DataFrame, cache: DataFrame | None, model: pv.Provider, for
     use_cache = cache is not None and not forced
     pending = asked.join(cache.select("id").distinct(), "id", "left_anti") if use_cache else asked
 
-    def call(batch):
-        out = []
+    def call(m, batch):
+        out, used = [], (0, 0)
         for lang in sorted({r["lang"] for r in batch}):
-            out += model.translate([r for r in batch if r["lang"] == lang], lang)
+            m.usage = (0, 0)
+            try:
+                out += m.translate([r for r in batch if r["lang"] == lang], lang)
+            finally:
+                used = (used[0] + m.usage[0], used[1] + m.usage[1])
+                m.usage = used
         return out
 
-    answers = pv.ask(pending.select("id", "text", "context", "lang"), call, size, concurrency)
+    answers = pv.ask(pending.select("id", "text", "context", "lang"), call, size, concurrency, model)
     given = answers.select("id", "translation", "error")
     if use_cache:
         given = given.unionByName(cache.select("id", "translation", F.lit(None).cast("string").alias("error")))

@@ -67,6 +67,14 @@ def top_examples(approved: DataFrame, limit: int = fixed.EXAMPLES) -> DataFrame:
     return approved.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def prompt_examples(approved: DataFrame, limit: int = fixed.EXAMPLES) -> dict[str, tuple[tuple[str, str], ...]]:
+    """The examples a request carries, by language: ``limit`` of each, so the driver holds a bounded table."""
+    out: dict[str, list] = {}
+    for r in top_examples(approved, limit).select("lang", "rank", "source_text", "wording").orderBy("lang", "rank").collect():
+        out.setdefault(r["lang"], []).append((r["source_text"], r["wording"]))
+    return {lang: tuple(rows) for lang, rows in out.items()}
+
+
 def outcomes(actions: DataFrame) -> DataFrame:
     reason = lambda r: F.count_if((F.col("action") == "SEND") & (F.col("reason") == r))
     return actions.groupBy("lang").agg(

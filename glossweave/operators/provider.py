@@ -1,25 +1,51 @@
-"""The seam to a remote model: batched calls on executors, failures kept as data, answers written once."""
+"""The seam to a remote model: batched calls on executors, failures kept as data, every batch asked and paid for once."""
 
 from __future__ import annotations
 
+import copy
+import hashlib
+import json
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
-from ..session import materialise
+from ..session import materialise, scratch_path
 
 VERDICT = "user_facing boolean, reason string, proposed_key string"
-ANSWER = "id string, user_facing boolean, reason string, proposed_key string, translation string, note string, error string"
+ANSWER = "id string, user_facing boolean, reason string, proposed_key string, translation string, note string, error string, input_tokens long, output_tokens long"
+
+
+@dataclass(frozen=True)
+class Prompt:
+    """What every request tells the model besides its texts; bounded, so it travels with the provider."""
+
+    source_language: str = ""
+    context: str = ""
+    glossary: tuple[str, ...] = ()
+    #: By language, (source, approved wording): fixed.EXAMPLES of each at most.
+    examples: dict[str, tuple[tuple[str, str], ...]] = field(default_factory=dict)
 
 
 class Provider(ABC):
-    """Pure data in, data out. Must be picklable; it runs inside tasks."""
+    """Pure data in, data out. Must be picklable; it runs inside tasks, a copy of its own for every call."""
 
     name = "provider"
+    prompt = Prompt()
+    #: Tokens read and written by the last call; a provider that knows them sets them.
+    usage: tuple[int, int] = (0, 0)
+
+    def told(self, prompt: Prompt) -> "Provider":
+        """The same provider with other prompt inputs."""
+        out = copy.copy(self)
+        out.prompt = prompt
+        return out
 
     @abstractmethod
     def classify(self, batch: list[dict]) -> list[dict]:
@@ -31,18 +57,24 @@ class Provider(ABC):
 
 
 class RuleProvider(Provider):
-    """Deterministic and offline: copy has an upper-case letter; translation is a language mark."""
+    """Deterministic and offline: copy has an upper-case letter; translation is a language mark. Characters stand for tokens."""
 
     name = "rules-1"
 
+    def _used(self, batch, written):
+        self.usage = (sum(len(r["text"]) for r in batch), sum(map(len, written)))
+
     def classify(self, batch):
+        self._used(batch, ["upper-case letter"] * len(batch))
         return [
             {"id": r["id"], "user_facing": any(c.isupper() for c in r["text"]), "reason": "upper-case letter", "proposed_key": None}
             for r in batch
         ]
 
     def translate(self, batch, lang):
-        return [{"id": r["id"], "translation": f"[{lang}] {r['text']}", "note": None} for r in batch]
+        out = [{"id": r["id"], "translation": f"[{lang}] {r['text']}", "note": None} for r in batch]
+        self._used(batch, [a["translation"] for a in out])
+        return out
 
 
 class RetryingProvider(Provider):
@@ -52,53 +84,120 @@ class RetryingProvider(Provider):
         self.inner, self.attempts, self.delay, self.passing = inner, attempts, delay, passing
         self.name = inner.name
 
-    def _call(self, fn: Callable, *args):
-        wait = self.delay
+    def told(self, prompt):
+        out = super().told(prompt)
+        out.inner = self.inner.told(prompt)
+        return out
+
+    def _call(self, fn: str, *args):
+        wait, spent = self.delay, (0, 0)
+        inner = copy.copy(self.inner)
         for attempt in range(self.attempts):
+            inner.usage = (0, 0)
             try:
-                return fn(*args)
+                return getattr(inner, fn)(*args)
             except self.passing:
                 if attempt == self.attempts - 1:
                     raise
                 time.sleep(wait)
                 wait *= 2
+            finally:
+                # what a failed attempt has used is paid for as well
+                spent = (spent[0] + inner.usage[0], spent[1] + inner.usage[1])
+                self.usage = spent
 
     def classify(self, batch):
-        return self._call(self.inner.classify, batch)
+        return self._call("classify", batch)
 
     def translate(self, batch, lang):
-        return self._call(self.inner.translate, batch, lang)
-
-
-def ask(requests: DataFrame, call: Callable[[list[dict]], list[dict]], size: int = fixed.BATCH_SIZE, concurrency: int | None = None) -> DataFrame:
+        return self._call("translate", batch, lang)
+
+
+class AnswerLog:
+    """Answers of finished batches, a file each in the shared folder: a retried task reads them and asks nothing twice."""
+
+    def __init__(self, folder: str):
+        self.fs, self.folder = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def path(self, batch: list[dict]) -> str:
+        return f"{self.folder}/{hashlib.sha256(chr(0).join(str(r['id']) for r in batch).encode()).hexdigest()}.json"
+
+    def read(self, batch: list[dict]) -> list[dict] | None:
+        path = self.path(batch)
+        if self.fs.get_file_info(path).type != pafs.FileType.File:
+            return None
+        with self.fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def write(self, batch: list[dict], rows: list[dict]) -> None:
+        path = self.path(batch)
+        part = f"{path}.{time.time_ns()}.tmp"
+        with self.fs.open_output_stream(part) as f:
+            f.write(json.dumps(rows).encode())
+        self.fs.move(part, path)
+
+
+def ask_batch(model: Provider | None, call: Callable, batch: list[dict], log: AnswerLog | None) -> list[dict]:
+    """Rows of ANSWER of one batch. Its tokens stand in its first row; ids that were not asked for are discarded."""
+    known = log.read(batch) if log else None
+    if known is not None:
+        return known
+    own = copy.copy(model)
+    if own is not None:
+        own.usage = (0, 0)
+    expected, out = {r["id"] for r in batch}, []
+    try:
+        for a in call(own, batch) if own is not None else call(batch):
+            if a.get("id") in expected:
+                out.append({**a, "error": None})
+                expected.discard(a["id"])
+    except Exception as e:  # one bad batch must not end the run
+        out = [{"id": r["id"], "error": f"{type(e).__name__}: {e}"[: fixed.PREVIEW_API_ERROR]} for r in batch]
+    used = own.usage if own is not None else (0, 0)
+    if not out and any(used):
+        out = [{"id": batch[0]["id"], "error": "no answer"}]
+    for i, row in enumerate(out):
+        row["input_tokens"], row["output_tokens"] = used if i == 0 else (0, 0)
+    # failures are not kept: a retried task asks these again
+    if log and not any(r["error"] for r in out):
+        log.write(batch, out)
+    return out
+
+
+def ask(requests: DataFrame, call: Callable, size: int = fixed.BATCH_SIZE, concurrency: int | None = None, model: Provider | None = None) -> DataFrame:
     """One row per request id that was answered, or with ``error`` when its batch failed.
 
-    ``requests`` has (id, text, context[, lang]). Ids outside the batch are discarded. The result is written
-    before use: a lost executor or a second action must not pay for the same question twice.
+    ``requests`` has (id, text, context[, lang]). ``call(model, batch)`` asks, or ``call(batch)`` without a model. Ids are in
+    order within a task, so a retried task makes the same batches and takes finished ones from the log; the result is written
+    before use. Open requests are ``concurrency`` at most: tasks times threads of each, so few cores do not lower it.
     """
+    session = requests.sparkSession
+    wanted = concurrency or session.sparkContext.defaultParallelism
+    tasks = max(1, min(wanted, session.sparkContext.defaultParallelism))
+    threads = max(1, wanted // tasks)
+    folder = scratch_path(session, "answer-log")
+    names = [c.split()[0] for c in ANSWER.split(", ")]
 
     def run(frames):
-        for frame in frames:
-            rows = frame.to_dict("records")
-            out = []
-            for i in range(0, len(rows), size):
-                batch = rows[i : i + size]
-                expected = {r["id"] for r in batch}
-                try:
-                    for a in call(batch):
-                        if a.get("id") in expected:
-                            out.append({**a, "error": None})
-                            expected.discard(a["id"])
-                except Exception as e:  # one bad batch must not end the run
-                    out += [{"id": r["id"], "error": f"{type(e).__name__}: {e}"[: fixed.PREVIEW_API_ERROR]} for r in batch]
-            names = [c.split()[0] for c in ANSWER.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    # a fixed number of tasks is the cap on open requests; adaptive execution leaves it alone
-    placed = requests.repartition(concurrency or requests.sparkSession.sparkContext.defaultParallelism, "id")
+        log = AnswerLog(folder)
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                rows = frame.to_dict("records")
+                batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+                out = [row for part in pool.map(lambda b: ask_batch(model, call, b, log), batches) for row in part]
+                yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    # a fixed number of tasks; adaptive execution leaves it alone
+    placed = requests.repartition(tasks, "id").sortWithinPartitions("id")
     return materialise(placed.mapInPandas(run, ANSWER), "answers")
 
 
+def token_totals(answers: DataFrame) -> DataFrame:
+    """(input_tokens, output_tokens) over all batches."""
+    return answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")])
+
+
 def all_failed(answers: DataFrame) -> DataFrame:
     """Gate: abort only when there was something to ask and every request failed."""
     return answers.agg(

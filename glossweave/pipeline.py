@@ -36,6 +36,7 @@ class RunResult:
     rewritten: dict = field(default_factory=dict)
     merged: dict = field(default_factory=dict)
     asked: int = 0
+    tokens: tuple[int, int] = (0, 0)
     seconds: float = 0.0
 
 
@@ -100,12 +101,12 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     bundles.refuse_malformed(source_files, o.fmt)
     existing = patches.entries(source_files, o.fmt).select("key", F.col("value").alias("text"))
     fingerprint = spark.range(1).select(cl_fingerprint(o, model)).first()[0]
+    model = model.told(pv.Prompt(o.source_language, o.context, o.glossary))
     cache_path = os.path.join(o.work, "verdicts")
     cache = _load(spark, cache_path, _schema(schemas.VERDICT)) if o.use_cache else None
     verdicts, fresh, answers = cl.classify(found, ["id"], cache, model, fingerprint, o.batch_size, o.concurrency)
     verdicts = materialise(verdicts, "verdicts")
-    _gate(answers)
-    result.asked += answers.count()
+    _paid(result, answers)
     if o.use_cache:
         _save(inc.upsert(cache, fresh, ["text_hash"]), cache_path)  # before anything else can fail
     result.verdicts = verdicts
@@ -141,10 +142,10 @@ def run(spark: SparkSession, options: RunOptions, model: pv.Provider | None = No
     actions = materialise(inc.reuse(decided, learned), "actions")
     result.outcomes = inc.outcomes(actions)
     send = actions.filter("action = 'SEND'").select("lang", "key", "text").join(scanned.select("key", "context"), "key", "left")
+    model = model.told(pv.Prompt(o.source_language, o.context, o.glossary, inc.prompt_examples(learned)))
     words = _load(spark, words_path, _schema(schemas.TRANSLATION)) if o.use_cache else None
     translated, new_words, answers = cl.translate(send, words, model, o.retranslate, o.batch_size, o.concurrency)
-    _gate(answers)
-    result.asked += answers.count()
+    _paid(result, answers)
     if o.use_cache:
         _save(inc.upsert(words, new_words, ["id"]), words_path)
     final = materialise(inc.final_values(actions, translated.filter("status = 'ok'")), "final")
@@ -188,7 +189,7 @@ def _emit(spark: SparkSession, o: RunOptions, corpus: DataFrame) -> None:
 
 
 def _report(spark: SparkSession, r: RunResult) -> None:
-    head = {"stack": r.options.stack, "format": r.options.fmt, "languages": ", ".join(r.options.languages), "requests": r.asked, "seconds": round(r.seconds, 1)}
+    head = {"stack": r.options.stack, "format": r.options.fmt, "languages": ", ".join(r.options.languages), "requests": r.asked, "tokens read": r.tokens[0], "tokens written": r.tokens[1], "seconds": round(r.seconds, 1)}
     head |= {f"bundle {path}": ", ".join(f"{n} {status}" for status, n in sorted(c.items())) for path, c in sorted(r.merged.items())}
     head |= {f"rewrite {k}": v for k, v in r.rewritten.items()}
     if r.refused_rewrite:
@@ -206,6 +207,14 @@ def cl_fingerprint(o: RunOptions, model: pv.Provider):
     return fingerprint(F.lit(model.name), F.lit(o.source_language), F.lit(o.context), glossary, F.lit(o.include_diagnostics))
 
 
+def _paid(result: RunResult, answers: DataFrame) -> None:
+    """Counts answers and tokens, and ends the run when every request failed."""
+    _gate(answers)
+    result.asked += answers.count()
+    used = pv.token_totals(answers).first()
+    result.tokens = (result.tokens[0] + used.input_tokens, result.tokens[1] + used.output_tokens)
+
+
 def _gate(answers: DataFrame) -> None:
     g = pv.all_failed(answers).first()
     if g.abort:

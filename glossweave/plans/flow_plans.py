@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
 from ..functions import keys
@@ -302,6 +304,43 @@ def _to_send(spark, root):
     return _run(spark, root)[3].filter("action = 'SEND'").select("lang", "key", "text", F.lit("").alias("context"))
 
 
+@query("A9,M3,M4,M6", W + _TRANSLATED + """,
+asked AS (SELECT DISTINCT lang, text, translation FROM sent)
+SELECT 'classify' AS stage, CAST(sum(length(text)) AS BIGINT) AS input_tokens, CAST(17 * count(*) AS BIGINT) AS output_tokens FROM units
+UNION ALL SELECT 'translate ' || lang, CAST(sum(length(text)) AS BIGINT), CAST(sum(length(translation)) AS BIGINT) FROM asked GROUP BY lang""")
+def provider_usage(spark, root):
+    """Tokens of every batch, counted by the provider (characters, for the built-in one) and summed by stage."""
+    u = d.units(spark, root).select("text", F.col("first_doc").alias("id"), F.lit("").alias("context"))
+    out = [pv.token_totals(cl.classify(u, ["id"], None, pv.RuleProvider())[2]).withColumn("stage", F.lit("classify"))]
+    send = _to_send(spark, root)
+    for lang in d.LANGUAGES:
+        answers = cl.translate(send.filter(F.col("lang") == lang), None, pv.RuleProvider())[2]
+        out.append(pv.token_totals(answers).withColumn("stage", F.lit(f"translate {lang}")))
+    return reduce(DataFrame.unionByName, out).filter("input_tokens > 0").select("stage", "input_tokens", "output_tokens")
+
+
+class EchoProvider(pv.RuleProvider):
+    """Gives back what it was told besides the texts."""
+
+    def translate(self, batch, lang):
+        told = self.prompt
+        said = "|".join([told.source_language, told.context, ",".join(told.glossary), *[f"{a}={b}" for a, b in told.examples.get(lang, ())]])
+        return [{**a, "note": f"{lang}|{said}"} for a in super().translate(batch, lang)]
+
+
+@query("M5,O3", W + _TRANSLATED + f""",
+top AS (SELECT lang, source_text, wording, row_number() OVER (PARTITION BY lang ORDER BY length(source_text), ord, source_text) AS rank FROM learned),
+told AS (SELECT lang, string_agg(source_text || '=' || wording, '|' ORDER BY rank) AS examples FROM top WHERE rank <= {fixed.EXAMPLES} GROUP BY lang),
+asked AS (SELECT lang, count(*) AS answers FROM (SELECT DISTINCT lang, text FROM sent) x GROUP BY lang)
+SELECT a.lang || '|en|shop front|Cart,Till' || coalesce('|' || t.examples, '') AS prompt, answers FROM asked a LEFT JOIN told t ON t.lang = a.lang""")
+def prompt_inputs(spark, root):
+    """Context, glossary and the approved examples of a language reach the provider with every request."""
+    _, _, learned, actions = _run(spark, root)
+    send = actions.filter("action = 'SEND'").select("lang", "key", "text", F.lit("").alias("context"))
+    model = EchoProvider().told(pv.Prompt("en", "shop front", ("Cart", "Till"), inc.prompt_examples(learned)))
+    return cl.translate(send, None, model)[2].groupBy(F.col("note").alias("prompt")).agg(F.count("*").alias("answers"))
+
+
 @query("M4", """SELECT conv_id, turn, lang, '[' || lang || '] ' || text AS translation FROM (
   SELECT conv_id, turn, text, unnest(['de', 'es', 'fr']) AS lang FROM conversations) x""")
 def fan_out_to_keys(spark, root):
