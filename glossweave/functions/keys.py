@@ -19,7 +19,7 @@ def _pascal(words: Column) -> Column:
 
 
 def _prefix_digit(c: Column) -> Column:
-    return F.when(c.rlike(r"^\p{N}"), F.concat(F.lit("K"), c)).otherwise(c)
+    return F.when(c.rlike(r"^\p{N}"), F.concat(F.lit(fixed.DIGIT_PREFIX), c)).otherwise(c)
 
 
 def sanitize_key(c: Column) -> Column:
@@ -29,9 +29,10 @@ def sanitize_key(c: Column) -> Column:
 
 
 def key_from_text(c: Column) -> Column:
-    words = F.transform(F.split(c, fixed.WORD_SEPARATOR), lambda w: F.regexp_replace(w, fixed.NOT_KEY_CHAR, ""))
-    words = F.slice(F.filter(words, lambda w: w != ""), 1, fixed.KEY_WORDS)
-    return _prefix_digit(_pascal(words))
+    """The first words with a letter or digit, each lower-cased but for its start; a mark inside a word starts a new capital."""
+    words = F.slice(F.filter(F.split(c, fixed.WORD_SEPARATOR), lambda w: w.rlike(fixed.KEY_CHAR)), 1, fixed.KEY_WORDS)
+    parts = F.flatten(F.transform(words, lambda w: F.filter(F.split(F.lower(w), fixed.NOT_KEY_CHAR + "+"), lambda p: p != "")))
+    return _prefix_digit(_pascal(parts))
 
 
 def reserve(c: Column) -> Column:
@@ -49,12 +50,12 @@ def base_key(text: Column, proposed: Column | None = None) -> Column:
 
 def lower_snake(c: Column) -> Column:
     """Android resource name. Idempotent."""
-    s = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1_$2")
-    s = F.regexp_replace(s, r"([A-Z])([A-Z][a-z])", "$1_$2")
-    s = F.regexp_replace(F.lower(s), r"[^a-z0-9_]+", "_")
+    s = F.regexp_replace(c, r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2")
+    s = F.regexp_replace(s, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1_$2")
+    s = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", "_")
     s = F.regexp_replace(F.regexp_replace(s, r"_+", "_"), r"^_|_$", "")
     s = F.when(s == "", F.lit("text")).otherwise(s)
-    s = F.when(s.rlike(r"^[0-9]"), F.concat(F.lit("k_"), s)).otherwise(s)
+    s = F.when(s.rlike(r"^\p{N}"), F.concat(F.lit("k_"), s)).otherwise(s)
     return F.when(s.isin(*fixed.KOTLIN_JAVA_KEYWORDS), F.concat(s, F.lit("_text"))).otherwise(s)
 
 

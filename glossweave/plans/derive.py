@@ -70,13 +70,13 @@ def sql_pascal(words: str) -> str:
 
 
 def sql_prefix_digit(k: str) -> str:
-    return f"CASE WHEN regexp_matches({k}, '^\\p{{N}}') THEN 'K' || {k} ELSE {k} END"
+    return f"CASE WHEN regexp_matches({k}, '^\\p{{N}}') THEN {lit(fixed.DIGIT_PREFIX)} || {k} ELSE {k} END"
 
 
 def sql_key_words(c: str) -> str:
     split = f"regexp_split_to_array({c}, {lit(fixed.WORD_SEPARATOR)})"
-    clean = f"list_transform({split}, lambda w: regexp_replace(w, {lit(fixed.NOT_KEY_CHAR)}, '', 'g'))"
-    return f"list_filter({clean}, lambda w: w <> '')[1:{fixed.KEY_WORDS}]"
+    kept = f"list_filter({split}, lambda v: regexp_matches(v, {lit(fixed.KEY_CHAR)}))[1:{fixed.KEY_WORDS}]"
+    return f"list_filter(flatten(list_transform({kept}, lambda v: regexp_split_to_array(lower(v), {lit(fixed.NOT_KEY_CHAR + '+')}))), lambda p: p <> '')"
 
 
 def sql_base_key(c: str) -> str:

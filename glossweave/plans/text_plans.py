@@ -217,12 +217,12 @@ def sanitize_key(spark, root):
 
 
 def _snake_sql(k: str) -> str:
-    s = f"regexp_replace({k}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')"
-    s = f"regexp_replace({s}, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')"
-    s = f"regexp_replace(lower({s}), '[^a-z0-9_]+', '_', 'g')"
+    s = f"regexp_replace({k}, '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1_\\2', 'g')"
+    s = f"regexp_replace({s}, '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1_\\2', 'g')"
+    s = f"regexp_replace(lower({s}), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g')"
     s = f"regexp_replace(regexp_replace({s}, '_+', '_', 'g'), '^_|_$', '', 'g')"
     s = f"CASE WHEN {s} = '' THEN 'text' ELSE {s} END"
-    s = f"CASE WHEN regexp_matches({s}, '^[0-9]') THEN 'k_' || ({s}) ELSE {s} END"
+    s = f"CASE WHEN regexp_matches({s}, '^\\p{{N}}') THEN 'k_' || ({s}) ELSE {s} END"
     return f"(SELECT CASE WHEN v IN {d.sql_list(fixed.KOTLIN_JAVA_KEYWORDS)} THEN v || '_text' ELSE v END FROM (SELECT {s} AS v) q)"
 
 

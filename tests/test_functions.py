@@ -40,8 +40,13 @@ def test_noise_letter_run_is_optional(spark):
 def test_keys(spark):
     assert column(spark, ["Save your changes now please or later on", "2 items left", "Don't go!", "...", "ResourceManager"], keys.base_key) == [
         "SaveYourChangesNowPleaseOr", "K2ItemsLeft", "DontGo", "Text", "ResourceManagerText"]
-    assert column(spark, ["a-b c", "1st", "", "Save.Title"], keys.sanitize_key) == ["ABC", "K1st", "", "SaveTitle"]
+    assert column(spark, ["a-b c", "1st", "", "Save.Title"], keys.sanitize_key) == ["ABC", "N1st", "", "SaveTitle"]
     assert column(spark, ["SaveYourHTMLFile", "class", "K2Items", "New"], keys.lower_snake) == ["save_your_html_file", "class_text", "k2_items", "new_text"]
+    assert column(spark, ["Größe", "ÄndereDatei"], keys.lower_snake) == ["größe", "ändere_datei"]
+    assert column(spark, ["SAVE CHANGES", "don't stop", "2 files", "one two three four five six seven", "...", "iPhone app"], keys.key_from_text) == [
+        "SaveChanges", "DonTStop", "N2Files", "OneTwoThreeFourFiveSix", "", "IphoneApp"]
+    assert column(spark, ["Get", "Manager", "Gets"], keys.legal_member) == [False, False, True]
+    assert column(spark, ["Get", "Gets"], keys.reserve) == ["GetText", "Gets"]
     assert column(spark, ["SaveFile", "URLPath", "OK", "already"], keys.lower_camel) == ["saveFile", "urlPath", "ok", "already"]
 
 
