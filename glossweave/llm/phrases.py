@@ -24,7 +24,7 @@ from glossweave.llm.rows import buffers
 from glossweave.llm.urls import BITS_PER_KEY, BLOCK_WORDS, MOST_BLOCKS, PROBES, block_and_bits
 from glossweave.session import materialise
 
-SHARDS = 3
+SHARDS, SALTS = 2, 64
 #: Bytes of text worked on at a time; a longer text is cut after a break or blank.
 PIECE = 1 << 20
 NEVER = 1 << 30
@@ -248,9 +248,9 @@ def filter_of(phrases: DataFrame) -> np.ndarray | None:
 
 
 def count_phrases(docs: DataFrame, most: int = 3, least: int = 10, shards: int = SHARDS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """(k, lang, phrase, n) of all words and of all phrases of up to ``most`` words whose subphrases occur ``least`` times.
+    """(k, lang, phrase, n) of all words and of all phrases of up to ``most`` words that occur ``least`` times.
 
-    Words have all their counts, rare ones too. Null texts have no words; null languages are ``und``. Documents are read once a
+    Words have all their counts, rare ones too; rarer phrases are dropped once their cycle is complete. Null texts have no words; null languages are ``und``. Documents are read once a
     step (three cycles at most for three words), so ``docs`` is best a table.
     """
     source = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text"),
@@ -264,7 +264,10 @@ def count_phrases(docs: DataFrame, most: int = 3, least: int = 10, shards: int =
         counts = count_shard(shard, step, shards, most, filters).withColumn("reached", F.lit(None).cast("int"))
         if carried is not None:
             counts = counts.unionByName(carried)
-        counts = counts.groupBy("k", "cohort", "lang", "phrase").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
+        # length and cohort follow from the phrase
+        counts = counts.groupBy("lang", "phrase").agg(
+            F.max("k").alias("k"), F.max("cohort").alias("cohort"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
+        counts = counts.filter((F.col("cohort") > step - shards + 1) | (F.col("k") == 1) | (F.col("n") >= least))
         reached = F.coalesce("reached", F.when((F.col("n") >= least) & (F.col("k") < most), F.lit(step)))
         counts = materialise(counts.withColumn("reached", reached), f"phrases-{step}")
         done.append(counts.filter(F.col("cohort") == step - shards + 1))
@@ -322,9 +325,12 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, share: int = 5
     covering = longer.groupBy("lang", "phrase").agg(F.max("whole").alias("whole"))
     held = lowest.join(covering, ["lang", "phrase"], "left").filter(F.col("whole").isNull() | (100 * F.col("whole") < share * F.col("a")))
 
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = held.select("lang", "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), F.col("low.score").alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    scored = held.select("lang", "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), F.col("low.score").alias("score"))
+    # each part of a language gives its own first ones, so the task that ranks a language reads SALTS * top rows at most
+    parted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    first = parted.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), F.col("score").cast("long").alias("score"))
 
