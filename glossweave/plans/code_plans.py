@@ -94,16 +94,19 @@ for _dialect in STATEMENTS:
     _code_query(_dialect)
 
 
-@query("X16", "WITH " + d.KEPT + """,
-k AS (SELECT DISTINCT text || ' {name} {{' || lang || '}} {count' || CASE WHEN lang = 'en' THEN '' ELSE ':N0' END || '}' AS body
-      FROM kept WHERE NOT contains(text, '{') AND NOT contains(text, '}'))
-SELECT body, regexp_replace(replace(body, '{name}', '{0}'), '\\{count(:N0)?\\}$', '{1}') AS format,
-       CASE WHEN body LIKE '%:N0}' THEN NULL ELSE 'name|count' END AS args FROM k""")
+_OWN = "replace(replace(text, '{', '{{'), '}', '}}')"
+
+
+@query("X16", "WITH " + d.KEPT + f""",
+k AS (SELECT DISTINCT {_OWN} AS own, lang, CASE WHEN lang = 'en' THEN '' ELSE ':N0' END AS clause FROM kept)
+SELECT own || ' {{name}} {{{{' || lang || '}}}} {{count' || clause || '}}' AS body, own || ' {{0}} {{{{' || lang || '}}}} {{1}}' AS format,
+       CASE WHEN clause = '' THEN 'name|count' END AS args FROM k""")
 def format_strings(spark, root):
-    kept = d.kept(spark, root).filter(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
+    """All texts; a brace of the text itself is doubled, as it is in an interpolated literal."""
+    own = F.replace(F.replace("text", F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
     tail = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.lit(":N0"))
-    body = F.concat(F.col("text"), F.lit(" {name} {{"), F.col("lang"), F.lit("}} {count"), tail, F.lit("}"))
-    bodies = kept.select(body.alias("body")).distinct()
+    body = F.concat(own, F.lit(" {name} {{"), F.col("lang"), F.lit("}} {count"), tail, F.lit("}"))
+    bodies = d.kept(spark, root).select(body.alias("body")).distinct()
     b = F.col("body")
     return bodies.select("body", code.format_string(b).alias("format"), F.array_join(code.format_arguments(b), "|").alias("args"))
 
