@@ -139,7 +139,7 @@ SELECT t.doc_id, true AS same, md5(text) AS text_md5, n, entries_md5 FROM t JOIN
         told = df.filter("line % 3 < 2").select(path, "key", F.concat("text", F.when(F.col("line") % 3 == 0, " neu").otherwise("")).alias("value"), none)
         told = told.unionByName(files.select("path", F.lit("zz").alias("key"), F.lit("Fresh words").alias("value"), none))
         new = materialise(patches.texts(patches.merge(files, told, fmt)), "merged-bundles")
-        back = patches.texts(patches.merge(files, told.limit(0), fmt)).withColumnRenamed("text", "back")
+        back = patches.texts(patches.merge(files, told.filter("false"), fmt)).withColumnRenamed("text", "back")
         read = patches.entries(new, fmt).groupBy("path").agg(
             F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), "value"))), "\n")).alias("entries_md5"))
         joined = files.withColumnRenamed("text", "old").join(back, "path").join(new, "path").join(read, "path")
