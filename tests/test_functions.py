@@ -38,8 +38,8 @@ def test_noise_letter_run_is_optional(spark):
 
 
 def test_keys(spark):
-    assert column(spark, ["Save your changes now please or later on", "2 items left", "Don't go!", "...", "ResourceManager"], keys.base_key) == [
-        "SaveYourChangesNowPleaseOr", "N2ItemsLeft", "DonTGo", "Text", "ResourceManagerText"]
+    assert column(spark, ["Save your changes now please or later on", "2 items left", "Don't go!", "...", "Culture"], keys.base_key) == [
+        "SaveYourChangesNowPleaseOr", "N2ItemsLeft", "DonTGo", "Text", "CultureText"]
     assert column(spark, ["a-b c", "1st", "", "Save.Title"], keys.sanitize_key) == ["ABC", "N1st", "", "SaveTitle"]
     assert column(spark, ["SaveYourHTMLFile", "class", "K2Items", "New"], keys.lower_snake) == ["save_your_html_file", "class_text", "k2_items", "new_text"]
     assert column(spark, ["Größe", "ÄndereDatei"], keys.lower_snake) == ["größe", "ändere_datei"]
