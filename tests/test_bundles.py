@@ -97,3 +97,37 @@ def test_malformed_is_refused(spark, fmt, text):
 def test_unknown_format():
     with pytest.raises(b.UnsupportedFormat):
         b.get("po")
+
+
+def plan_of(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.mark.parametrize("fmt", ["arb", "i18next"])
+def test_values_of_new_documents_are_moved_once(spark, tmp_path, fmt):
+    rows = [(f"L/{p}.json", f"k{i}", f"v{i}", "note" if i % 2 else None) for p in "ab" for i in range(20)]
+    spark.createDataFrame(rows, "path string, key string, value string, comment string").write.parquet(str(tmp_path / "in"))
+    files = spark.createDataFrame([("L/a.json", '{"k3": {"x": 1}, "k9": "old", "@k5": {"own": 1}}')], "path string, text string")
+    merged = b.merge_lines(files, spark.read.parquet(str(tmp_path / "in")), fmt)
+    assert sum("value:string" in x for x in plan_of(merged).split("\n") if "ReadSchema" in x) == 1
+    folder = b.write_lines(merged, str(tmp_path / "out"))
+    assert all(f.suffix == ".gz" for f in (tmp_path / "out").rglob("part-*"))
+    b.publish(spark, folder, str(tmp_path / "made")).collect()
+    import json
+
+    made = {p: json.loads((tmp_path / "made" / "L" / f"{p}.json").read_text()) for p in "ab"}
+    assert made["a"]["k9"] == "v9" and made["a"]["k3"] == {"x": 1} and made["b"]["k3"] == "v3"
+    assert len(made["a"]) == 20 + (8 if fmt == "arb" else 1) and len(made["b"]) == 20 + (10 if fmt == "arb" else 0)
+    assert list(made["b"])[:2] == ["k0", "k1"]
+
+
+def test_unescaping_computes_its_value_once(spark):
+    from pyspark.sql import functions as F
+    from glossweave.functions import escapes as e
+
+    calls = F.concat("c", F.lit("")).alias("x")
+    for f in (e.unescape_android, e.unescape_apple, e.escape_android):
+        assert str(f(calls)._jc.toString()).count("concat(c, '')") == 1
+    odd = [("a\\\\n\\n\\\\\\n\\\"\\q\\",), ("\\u0041\\\\u0041\\t",), (None,), ("",)]
+    got = [r[0] for r in spark.createDataFrame(odd, "c string").select(e.unescape_apple(F.col("c"))).collect()]
+    assert got == ["a\\n\n\\\n\"q\\", "A\\u0041\t", None, ""]
