@@ -95,3 +95,12 @@ def test_any_text_is_given_back(fmt, text, at):
     except ValueError:  # a string that is none: such a file is refused before it is merged
         return
     assert joined(rows) == whole
+
+
+def test_a_merge_cuts_its_files_once(spark):
+    """The pieces are written when the merge is planned; before, each of its five parts cut the files anew."""
+    files = spark.createDataFrame([("a", '"k" = "v";\n"k" = "w";\n"l" = "x";\n')], "path string, text string")
+    told = spark.createDataFrame([("a", "k", "new", None), ("a", "m", "more", None)], "path string, key string, value string, comment string")
+    merged = patches.merge(files, told, "strings")
+    assert "MapInArrow" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert patches.texts(merged).first().text == '"k" = "new";\n"k" = "w";\n"l" = "x";\n"m" = "more";\n'
