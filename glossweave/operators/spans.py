@@ -8,17 +8,23 @@ the (small, integer) lengths goes through Arrow, because a JVM fold would copy t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import extract_all, line_breaks
 from ..session import evaluate_once
 
 
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def _sums_before(lengths: pd.Series) -> pd.Series:
-    return lengths.map(lambda a: None if a is None else np.cumsum(np.concatenate(([0], a[:-1])), dtype=np.int32) if len(a) else a)
+@arrow_udf(T.ArrayType(T.IntegerType()))
+def _sums_before(lengths: pa.Array) -> pa.Array:
+    """Of every list the sums of what stands before each element, over a whole batch at a time."""
+    count = lengths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+    sums = np.concatenate(([0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)))
+    before = (sums[:-1] - np.repeat(sums[ends[:-1]], count)).astype(np.int32)
+    mask = lengths.is_null() if lengths.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(before, pa.int32()), mask=mask)
 
 
 def utf16_extra(c: Column) -> Column:

@@ -68,3 +68,12 @@ def test_edits(spark):
     assert {r.step for r in setup.accepted_steps(checked).filter("accepted").collect()} == {"s1", "s5"}
     new = files.filter("path = 'b.txt'").select(setup.apply_one(F.col("content"), F.lit("replace"), F.lit("x\n"), F.lit("z\n"))).first()[0]
     assert new == "z\r\ny\r\n"
+
+
+def test_token_positions_are_summed_by_batch(spark):
+    """Positions of every row of a batch in one go; nulls, rows without tokens and repeated rows keep their own."""
+    import pyarrow as pa
+    from glossweave.operators import spans
+
+    lists = pa.array([[9], [3, 1, 2], None, [], [5], [1, 1]], pa.list_(pa.int32())).slice(1)
+    assert spans._sums_before.func(lists).to_pylist() == [[0, 3, 4], None, [], [0], [0, 1]]
