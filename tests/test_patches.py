@@ -104,3 +104,8 @@ def test_a_merge_cuts_its_files_once(spark):
     merged = patches.merge(files, told, "strings")
     assert "MapInArrow" not in merged._jdf.queryExecution().optimizedPlan().toString()
     assert patches.texts(merged).first().text == '"k" = "new";\n"k" = "w";\n"l" = "x";\n"m" = "more";\n'
+
+
+@pytest.mark.parametrize("text", ['{"A":  , "B": "b"}', '{"A":  }', '{"A":  ', '{"A": \t]'])
+def test_a_missing_value_repeats_nothing(text):
+    assert joined(list(patches.pieces_of("x", text, "arb", None))) == text
