@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossweave.llm.learning import Adam, best_cut, layer, sigmoid, training_sample
+from glossweave.llm.learning import BATCH, Adam, answer_counts, best_counted_cut, best_cut, label_counts, layer, sigmoid, taught, training_rows, training_sample
 from glossweave.llm.rows import buffers, map_texts
 
 CHUNK, WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 128, 8, 4, 6, 32, 24
 SPAN = CHUNK + WIDTH - STRIDE
 PAD = 256
-#: Chunks worked on at a time, in scoring and in a training step.
-GROUP, BATCH = 2048, 48
+#: Chunks worked on at a time in scoring.
+GROUP = 2048
 
 
 @dataclass
@@ -165,9 +165,38 @@ def gradients(p: dict, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarra
     return {k: v.astype(np.float32) for k, v in g.items()}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 2000, threshold: float = 0.5) -> Model:
-    """Fit on at most ``rows`` labelled documents (see training_sample), so that ``threshold`` is where the labels part best."""
+class Learner:
+    """Goes on from a state; ``share`` is that of label 1 among all rows."""
+
+    def __init__(self, state: dict[str, np.ndarray], share: float, rate: float):
+        self.p, self.adam = state, Adam(state, rate, 1e-5)
+        self.weights = 0.5 / (1 - share), 0.5 / share
+
+    def step(self, texts: list[np.ndarray], y: np.ndarray) -> None:
+        self.adam.step(gradients(self.p, texts, y, np.where(y == 1, self.weights[1], self.weights[0]).astype(np.float32)))
+
+    def state(self) -> dict[str, np.ndarray]:
+        return self.p
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", rows: int = 2000, threshold: float = 0.5, rate: float = 4e-3, rounds: int = 2, weights: tuple[float, float] = (1.0, 3.0)) -> Model:
+    """Fit on every labelled document, whole, so that ``threshold`` is where the labels of all of them part best.
+
+    The start is a fit on ``rows`` documents at most (see training_sample); then come passes over all of them (see learning.taught).
+    """
+    every = training_rows(docs, labels, label, usable)
+    counts = label_counts(every)
+    n0, n1 = (sum(n for (_, y), n in counts.items() if y == v) for v in (0, 1))
     model = fit(training_sample(docs, labels, label, usable, rows=rows))
+    model.prior = (n1 + 1) / (n0 + n1 + 2)
+    if model.params is not None:
+        model.params = taught(every, model.params, lambda s: Learner(s, n1 / (n0 + n1), rate), rounds)
+
+        def make():
+            q = whole_numbers(model.params)
+            return lambda texts: {"z": steady_logits(q, *buffers(texts))}
+
+        model.shift = -best_counted_cut(*answer_counts(every, make)[None], weights)
     model.shift += float(np.log(threshold / (1 - threshold)))
     return model
 

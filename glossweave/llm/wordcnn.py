@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossweave.llm.bytescan import ALNUM, mix, scan
-from glossweave.llm.learning import Adam, best_cut, layer, sigmoid, training_sample
+from glossweave.llm.learning import BATCH, Adam, answer_counts, best_counted_cut, best_cut, label_counts, layer, set_aside, sigmoid, taught, training_rows, training_sample
 from glossweave.llm.rows import buffers, map_texts
 
 BUCKETS, HASHES, VECTOR, FILTERS, HIDDEN, STEM = 1 << 15, 4, 8, 8, 12, 4
 WIDTHS = (1, 2, 3)
 PARTS = [(w, j) for w in WIDTHS for j in range(w)]
 REACH = max(WIDTHS) - 1
-BATCH = 48
 
 
 @dataclass
@@ -29,6 +28,7 @@ class Model:
     params: dict[str, np.ndarray] | None
     shift: float
     prior: float
+    squares: np.ndarray | None = field(default=None, repr=False, kw_only=True)  # past gradients of the vectors, for further steps
     thresholds: dict[str, float] = field(default_factory=dict)  # scores, by language
     threshold: float = 0.5
 
@@ -98,6 +98,35 @@ def logits(model: Model, tables: np.ndarray, data: np.ndarray, offsets: np.ndarr
     return out
 
 
+def step(p: dict, vectors: np.ndarray, squares: np.ndarray, adam: Adam, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+    g, touched, d = gradients(p, vectors, texts, y, weight)
+    adam.step(g)
+    for h in range(HASHES):  # sparse steps on the vectors, scaled by their own past gradients
+        ids, back = np.unique(touched[h], return_inverse=True)
+        total = np.stack([np.bincount(back, d[:, j], len(ids)) for j in range(VECTOR)], 1).astype(np.float32)
+        squares[h, ids] += (total * total).mean(1)
+        vectors[h, ids] -= 0.08 * total / np.sqrt(squares[h, ids])[:, None]
+        vectors[h, BUCKETS] = 0
+
+
+class Learner:
+    """Goes on from a state; ``share`` is that of label 1 among all rows."""
+
+    def __init__(self, state: dict[str, np.ndarray], share: float, rate: float):
+        self.p = {k: v for k, v in state.items() if k not in ("vectors", "squares")}
+        self.vectors, self.squares, self.adam = state["vectors"], state["squares"], Adam(self.p, rate, 1e-4)
+        self.weights = 0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)
+
+    def step(self, texts: list[np.ndarray], y: np.ndarray) -> None:
+        data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        hashes, first = words(data, offsets)
+        parts = [hashes[:, a:b] for a, b in zip(first[:-1], first[1:])]
+        step(self.p, self.vectors, self.squares, self.adam, parts, y, np.where(y == 1, self.weights[1], self.weights[0]).astype(np.float32))
+
+    def state(self) -> dict[str, np.ndarray]:
+        return {**self.p, "vectors": self.vectors, "squares": self.squares}
+
+
 def fit(sample: list[tuple], steps: int = 800, rate: float = 1e-2, threshold: float = 0.5, weights: tuple[float, float] = (3.0, 1.0), least: int = 40) -> Model:
     """Fit on (text, label, language) rows; every fourth row of a label calibrates and is not learned from.
 
@@ -129,16 +158,9 @@ def fit(sample: list[tuple], steps: int = 800, rate: float = 1e-2, threshold: fl
         order = rng.permutation(learn)
         for a in range(0, len(order), BATCH):
             rows = order[a:a + BATCH]
-            g, touched, d = gradients(p, vectors, [texts[i] for i in rows], y[rows], weight[rows])
-            adam.step(g)
-            for h in range(HASHES):  # sparse steps on the vectors, scaled by their own past gradients
-                ids, back = np.unique(touched[h], return_inverse=True)
-                total = np.stack([np.bincount(back, d[:, j], len(ids)) for j in range(VECTOR)], 1).astype(np.float32)
-                squares[h, ids] += (total * total).mean(1)
-                vectors[h, ids] -= 0.08 * total / np.sqrt(squares[h, ids])[:, None]
-                vectors[h, BUCKETS] = 0
+            step(p, vectors, squares, adam, [texts[i] for i in rows], y[rows], weight[rows])
     p["vectors"] = vectors
-    model = Model(p, 0.0, prior, threshold=threshold)
+    model = Model(p, 0.0, prior, threshold=threshold, squares=squares)
     tables = model.tables()
     z = np.concatenate([logits(model, tables, *_joined([r[0] for r in sample[a:a + 200]])) for a in range(0, len(sample), 200)])
     check = np.setdiff1d(np.arange(len(y)), learn) if len(learn) < len(y) else learn
@@ -187,9 +209,38 @@ def gradients(p: dict, vectors: np.ndarray, texts: list[np.ndarray], y: np.ndarr
     return {k: x.astype(np.float32) for k, x in g.items()}, np.concatenate(touched, 1), np.concatenate(moves).astype(np.float32)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", language: str = "lang", rows: int = 3000, threshold: float = 0.5) -> Model:
-    """Fit on at most ``rows`` labelled documents (see training_sample); the language serves the thresholds alone."""
-    return fit(training_sample(docs, labels, label, usable, extra=(language,), rows=rows), threshold=threshold)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", language: str = "lang", rows: int = 3000, threshold: float = 0.5, rate: float = 4e-3, rounds: int = 2, weights: tuple[float, float] = (3.0, 1.0), least: int = 40) -> Model:
+    """Fit on every labelled document, whole; the language serves the thresholds alone.
+
+    The start is a fit on ``rows`` documents at most (see training_sample); then come passes over all of them (see learning.taught).
+    Every fourth document, by its key, is not learned from: the score's threshold and those of the languages are where the labels
+    of all these part best. With fewer than 40 documents, or without both labels set aside, all serve for both.
+    """
+    every = training_rows(docs, labels, label, usable, extra=(language,))
+    counts = label_counts(every)
+    n0, n1 = (sum(n for (_, y), n in counts.items() if y == v) for v in (0, 1))
+    apart = n0 + n1 >= 40 and all(counts.get((a, y)) for a in (True, False) for y in (0, 1))
+    model = fit(training_sample(docs, labels, label, usable & ~set_aside() if apart else usable, extra=(language,), rows=rows), threshold=threshold)
+    model.prior = (n1 + 1) / (n0 + n1 + 2)
+    if model.params is None:
+        return model
+    learned = every.filter(~F.col("aside")) if apart else every
+    share = counts[False, 1] / (counts[False, 0] + counts[False, 1]) if apart else n1 / (n0 + n1)
+    state = taught(learned, {**model.params, "squares": model.squares}, lambda s: Learner(s, share, rate), rounds)
+    model.params, model.squares = {k: v for k, v in state.items() if k != "squares"}, None
+
+    def make():
+        tables = model.tables()
+        return lambda texts: {"z": logits(model, tables, *buffers(texts))}
+
+    answered = answer_counts(every.filter("aside") if apart else every, make, "x0")
+    at = float(np.log(threshold / (1 - threshold)))
+    model.shift = at - best_counted_cut(*answered.pop(None), weights)
+    model.thresholds = {}
+    for name, (low, high, m0, m1) in answered.items():
+        if name and m0.sum() + m1.sum() >= least and m0.sum() and m1.sum():
+            model.thresholds[str(name)] = float(sigmoid(np.array(best_counted_cut(low + model.shift, high + model.shift, m0, m1, weights))))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), language: str | None = None) -> DataFrame:

@@ -8,11 +8,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
 from glossweave.llm import bytecnn, pq, urls, warc, wordcnn
-from glossweave.llm.learning import training_sample
+from glossweave.llm.learning import best_counted_cut, training_rows, training_sample
 from glossweave.llm.rows import buffers
 from glossweave.session import table
 
@@ -185,6 +185,42 @@ def test_training_sample_takes_labels_that_have_documents(spark):
         assert {y for _, y in training_sample(docs.filter("doc_id % 2 = 1"), labels, "toxic", F.lit(True), rows=40)} == {1}
 
 
+@pytest.mark.parametrize("module,fitted", [(bytecnn, "fit_quality"), (wordcnn, "fit_toxicity")])
+def test_every_labelled_text_is_learned_from(spark, module, fitted, monkeypatch):
+    """A mark that no text of the start bears, behind more characters than the start reads."""
+    monkeypatch.setattr("glossweave.llm.learning.SHARD_ROWS", 600)
+    rng = random.Random(4)
+    words = ["ban", "tie", "sou", "lent", "mure", "pol", "ans", "ted"]
+    rows = []
+    for i in range(1200):
+        t = [rng.choice(words) for _ in range(rng.randint(10, 30))]
+        if i % 2:
+            t[rng.randrange(len(t))] = "QQQQ"
+        rows.append((i, " ".join(t), "en", i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
+    bare = docs.withColumn("text", F.replace("text", F.lit("QQQQ"), F.lit("JJJJ"))).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"))))
+    mixed = bare.withColumn("text", F.when(F.col("n") > 40, F.replace("text", F.lit("JJJJ"), F.lit("QQQQ"))).otherwise(F.col("text"))).drop("n")
+    labels = docs.select("doc_id", F.col("y").alias("quality"), F.col("y").alias("toxic"))
+    fresh = docs.filter("doc_id < 200")
+    model = getattr(module, fitted)(mixed, labels, F.lit(True), rows=40, rounds=12)
+    got = module.score(fresh, model, keep=("doc_id", "y")).collect()
+    assert np.mean([r.predicted == r.y for r in got]) > 0.9
+    again = getattr(module, fitted)(mixed.repartition(7), labels, F.lit(True), rows=40, rounds=12)
+    assert sorted(module.score(fresh, again, keep=("doc_id",)).collect()) == sorted(module.score(fresh, model, keep=("doc_id",)).collect())
+    every = training_rows(docs.withColumn("text", F.repeat("text", 2000)), labels, "toxic", F.col("doc_id") < 50)
+    assert every.count() == 50 and every.agg(F.max(F.length("text"))).first()[0] > 1 << 16
+
+
+def test_cut_of_counted_rows_is_that_of_rows(spark):
+    rng = np.random.default_rng(3)
+    z = np.round(rng.normal(0, 3, 400), 3)
+    y = (z + rng.normal(0, 2, 400) > 1).astype(int)
+    values, back = np.unique(z, return_inverse=True)
+    counted = best_counted_cut(values, values, np.bincount(back, y == 0), np.bincount(back, y == 1), (3.0, 1.0))
+    errors = lambda cut: 3 * (z[y == 0] >= cut).mean() + (z[y == 1] < cut).mean()
+    assert errors(counted) <= min(errors(c) for c in np.linspace(-9, 9, 2001)) + 1e-9
+
+
 def test_quality_on_held_out_rows(spark):
     """Labels that the fit has not seen, at sf0.01."""
     root = "/root/testdata/sf0.01"
