@@ -8,6 +8,7 @@ Files are read one by one in Arrow batches, without a shuffle; what follows (une
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -185,7 +186,7 @@ FOUND = T.StructType([
     T.StructField("raw", T.StringType()), T.StructField("inner", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("member", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("around", T.StringType()),
 ])
-_ORDER = ("start", "length", "line", "raw", "inner", "kind", "member", "reason", "context")
+_ORDER = itemgetter("start", "length", "line", "raw", "inner", "kind", "member", "reason", "context")
 #: Rows of a batch that leaves the reader; a file's literals may fill many.
 ROWS = 4096
 
@@ -217,7 +218,7 @@ def literals(df: DataFrame, keep: list[str], content: str, dialect: str) -> Data
                 text = contents[i].as_py()
                 for hit in reader.read(text) if text else ():
                     rows.append(i)
-                    cells.append(tuple(hit[k] for k in _ORDER))
+                    cells.append(_ORDER(hit))
                     if len(rows) >= ROWS:
                         yield full(batch)
             if rows:

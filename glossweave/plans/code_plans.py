@@ -63,10 +63,11 @@ def source_files(spark, root, dialect):
     def statements(line):
         parts = []
         for before, after, _ in STATEMENTS[dialect]:
-            parts += [F.lit(before), escaped(line), F.lit(after + "\n")]
+            parts += [F.lit(before), line, F.lit(after + "\n")]
         return F.concat(*parts)
 
-    content = F.array_join(F.transform(F.split("text", "\n"), statements), "")
+    # escaped once, not in every statement; no escape makes or takes a line
+    content = F.array_join(F.transform(F.split(escaped(F.col("text")), "\n"), statements), "")
     return spread(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", content.alias("content"))
 
 
