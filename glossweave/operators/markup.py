@@ -129,7 +129,9 @@ def _attribute_cells(d: MarkupDialect) -> Column:
             h.name_.alias("member"),
         )
 
-    return F.when(is_tag(F.col("token")), F.transform(attribute_hits(F.col("token"), d), cell))
+    # most tags have no attribute: they are not searched for any
+    hits = F.when(F.contains("token", F.lit("=")), attribute_hits(F.col("token"), d))
+    return F.when(is_tag(F.col("token")), F.coalesce(F.transform(hits, cell), F.array()))
 
 
 WINDOW = 60
