@@ -86,10 +86,12 @@ def outcomes(actions: DataFrame) -> DataFrame:
     )
 
 
-def final_values(actions: DataFrame, translated: DataFrame) -> DataFrame:
-    """New translation wins, then a reused wording, then what was there."""
-    t = translated.select("lang", "key", "translation")
-    j = actions.join(t, ["lang", "key"], "left")
+def final_values(actions: DataFrame, translated: DataFrame | None = None) -> DataFrame:
+    """New translation wins, then a reused wording, then what was there.
+
+    Without ``translated`` the actions have their translation with them, and nothing is moved.
+    """
+    j = actions if translated is None else actions.join(translated.select("lang", "key", "translation"), ["lang", "key"], "left")
     value = F.coalesce("translation", F.when(F.col("action") == "REUSED", F.col("wording")), "current")
     return j.select("lang", "key", "text", value.alias("value"), "action")
 
