@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import copy
 import hashlib
+import io
 import json
+import threading
 import time
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,6 +16,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
@@ -114,28 +118,53 @@ class RetryingProvider(Provider):
 
 
 class AnswerLog:
-    """Answers of finished batches, a file each in the shared folder: a retried task reads them and asks nothing twice."""
+    """Answers of finished batches in the shared folder: a retried task reads them and asks nothing twice.
 
-    def __init__(self, folder: str):
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
-        self.fs.create_dir(self.folder, recursive=True)
+    A task has a folder (``share``), an attempt a file with a line a batch, so files grow with the tasks. A line is flushed when its
+    batch is done; on stores that show closed files only, a lost attempt loses the batches of its last file, ROLL at most.
+    """
+
+    ROLL = 400
+
+    def __init__(self, folder: str, share: str = "0"):
+        self.fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        self.folder, self.lock, self.out, self.lines = f"{path}/{share}", threading.Lock(), None, 0
+        self.known: dict[str, tuple[str, int, int]] = {}  # batches of earlier attempts: file, place and length
+        for info in self.fs.get_file_info(pafs.FileSelector(self.folder, allow_not_found=True)):
+            with self.fs.open_input_stream(info.path) as raw:
+                at = 0
+                for line in io.BufferedReader(raw):
+                    if line.endswith(b"\n"):  # else the attempt was lost while it wrote
+                        self.known[line[:64].decode()] = (info.path, at + 64, len(line) - 64)
+                    at += len(line)
 
-    def path(self, batch: list[dict]) -> str:
-        return f"{self.folder}/{hashlib.sha256(chr(0).join(str(r['id']) for r in batch).encode()).hexdigest()}.json"
+    @staticmethod
+    def name(batch: list[dict]) -> str:
+        return hashlib.sha256(chr(0).join(str(r["id"]) for r in batch).encode()).hexdigest()
 
     def read(self, batch: list[dict]) -> list[dict] | None:
-        path = self.path(batch)
-        if self.fs.get_file_info(path).type != pafs.FileType.File:
+        if not self.known or (place := self.known.get(self.name(batch))) is None:
             return None
-        with self.fs.open_input_stream(path) as f:
-            return json.loads(f.read())
+        path, at, length = place
+        with self.fs.open_input_file(path) as f:
+            f.seek(at)
+            return json.loads(f.read(length))
 
     def write(self, batch: list[dict], rows: list[dict]) -> None:
-        path = self.path(batch)
-        part = f"{path}.{time.time_ns()}.tmp"
-        with self.fs.open_output_stream(part) as f:
-            f.write(json.dumps(rows).encode())
-        self.fs.move(part, path)
+        line = self.name(batch).encode() + json.dumps(rows).encode() + b"\n"
+        with self.lock:
+            if self.out is None or self.lines >= self.ROLL:
+                self.close()
+                self.fs.create_dir(self.folder, recursive=True)
+                self.out, self.lines = self.fs.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}"), 0
+            self.out.write(line)
+            self.out.flush()
+            self.lines += 1
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
 
 
 def ask_batch(model: Provider | None, call: Callable, batch: list[dict], log: AnswerLog | None) -> list[dict]:
@@ -180,13 +209,17 @@ def ask(requests: DataFrame, call: Callable, size: int = fixed.BATCH_SIZE, concu
     names = [c.split()[0] for c in ANSWER.split(", ")]
 
     def run(frames):
-        log = AnswerLog(folder)
-        with ThreadPoolExecutor(threads) as pool:
-            for frame in frames:
-                rows = frame.to_dict("records")
-                batches = [rows[i : i + size] for i in range(0, len(rows), size)]
-                out = [row for part in pool.map(lambda b: ask_batch(model, call, b, log), batches) for row in part]
-                yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+        context = TaskContext.get()
+        log = AnswerLog(folder, str(context.partitionId() if context else 0))
+        try:
+            with ThreadPoolExecutor(threads) as pool:
+                for frame in frames:
+                    rows = frame.to_dict("records")
+                    batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+                    out = [row for part in pool.map(lambda b: ask_batch(model, call, b, log), batches) for row in part]
+                    yield pd.DataFrame(out, columns=names).astype(object).where(lambda d: d.notna(), None)
+        finally:
+            log.close()
 
     # a fixed number of tasks; adaptive execution leaves it alone
     placed = requests.repartition(tasks, "id").sortWithinPartitions("id")
