@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from glossweave.session import materialise
 SHARDS, SALTS = 2, 64
 #: Bytes of text worked on at a time; a longer text is cut after a break or blank.
 PIECE = 1 << 20
+LONG_WORD = 64
 NEVER = 1 << 30
 UNKNOWN = "und"
 
@@ -48,21 +50,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed(strings: list[str]) -> np.ndarray:
-    from pandas.util import hash_array
-
-    return hash_array(np.array(strings, dtype=object), categorize=False) if len(strings) else np.zeros(0, np.uint64)
+def hashed(strings: pa.Array | list[str]) -> np.ndarray:
+    """Made of the bytes, eight at a time for all strings at once; a string of more than LONG_WORD bytes by itself."""
+    data, offsets = buffers(pa.array(strings, pa.large_string()) if isinstance(strings, list) else strings)
+    sizes = np.diff(offsets)
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = _mixed(sizes + 1)
+    for k in range(0, min(sizes.max(initial=0), LONG_WORD), 8):
+        here = np.flatnonzero((sizes > k) & (sizes <= LONG_WORD))
+        missing = np.maximum(8 - (sizes[here] - k), 0).astype(np.uint64) * np.uint64(8)
+        eight = eights[offsets[here] + k].astype(np.uint64)
+        out[here] = chained(out[here], (eight << missing) >> missing)
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(data[offsets[i]:offsets[i + 1]], digest_size=8).digest(), "little")
+    return out
 
 
 def chained(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return _mixed(first * np.uint64(0x9E3779B97F4A7C15) + then)
 
 
-def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
+def phrase_hashes(langs: pa.Array | list[str], phrases: pa.Array | list[str]) -> np.ndarray:
     """Of (language, space-joined phrase) rows."""
-    parts = [p.split(" ") for p in phrases]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = hashed([w for p in parts for w in p])
+    parts = pc.split_pattern(pa.array(phrases, pa.large_string()) if isinstance(phrases, list) else phrases, " ")
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = hashed(parts.flatten())
     out, at = hashed(langs), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
     for k in range(sizes.max(initial=0)):
         here = sizes > k
@@ -157,7 +169,12 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unique, first, number
 
 
-COUNTS = "k int, cohort int, lang string, phrase string, n long"
+# a phrase is grouped by one string, in which the language follows it after a tab (words hold none), and brings one number with
+# its cohort, its length and, in the last bit, whether it was told to the scans
+COUNTS = "key string, n long, mark long"
+LENGTH_BITS = 31
+COHORT, LENGTH, TOLD = f"shiftright(mark, {LENGTH_BITS + 1})", f"(shiftright(mark, 1) & {(1 << LENGTH_BITS) - 1})", "(mark & 1) = 1"
+NAMED = ["substring(key, instr(key, '\t') + 1) AS lang", "substring_index(key, '\t', 1) AS phrase"]
 
 
 def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: list[dict[int, np.ndarray]]) -> DataFrame:
@@ -167,7 +184,8 @@ def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: li
     A phrase is of the cohort of the step in which it is counted first.
     """
     sent = shard.sparkSession.sparkContext.broadcast(filters)
-    schema = pa.schema([("k", pa.int32()), ("cohort", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("mark", pa.int64())])
+    blank, tab = pa.scalar(" ", pa.large_string()), pa.scalar("\t", pa.large_string())
 
     def active(cohort: np.ndarray) -> np.ndarray:
         return (cohort <= step) & (cohort > step - shards)
@@ -176,7 +194,7 @@ def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: li
         known = sent.value
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
-            names = langs.dictionary.to_pylist()
+            names = langs.dictionary.cast(pa.large_string())
             lang_of, lang_hash = langs.indices.to_numpy(zero_copy_only=False), hashed(names)
             for data, offsets, rows, old in _cut(batch, most):
                 words, row, runs = _words(data, offsets)
@@ -189,17 +207,17 @@ def count_shard(shard: DataFrame, step: int, shards: int, most: int, filters: li
                 unique, _, at = _distinct(code)
                 places = np.arange(len(code))  # where a phrase of the length in hand starts
                 lang, ids = unique // size, (unique % size)[:, None]
-                word_hash = hashed(coded.dictionary.to_pylist())
+                word_hash = hashed(coded.dictionary)
                 h = chained(lang_hash[lang], word_hash[ids[:, 0]])
                 cohort = np.ones(len(unique), np.int64)
                 for k in range(1, most + 1):
                     n = np.bincount(at[fresh[places + k - 1]], minlength=len(lang))
                     told = np.flatnonzero(active(cohort) & (n > 0))
                     if len(told):
-                        phrase = pc.binary_join_element_wise(*[coded.dictionary.take(pa.array(ids[told, j])) for j in range(k)], pa.scalar(" ", pa.large_string()))
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(told), k, np.int32)), pa.array(cohort[told].astype(np.int32)),
-                            langs.dictionary.take(pa.array(lang[told])).cast(pa.string()), phrase.cast(pa.string()), pa.array(n[told])], schema=schema)
+                        phrase = pc.binary_join_element_wise(*[coded.dictionary.take(pa.array(ids[told, j])) for j in range(k)], blank)
+                        keys = pc.binary_join_element_wise(phrase, names.take(pa.array(lang[told])), tab)
+                        mark = (cohort[told] << LENGTH_BITS + 1) + (k << 1)
+                        yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(n[told]), pa.array(mark)], schema=schema)
                     if k == most:
                         break
                     # the step from which a phrase lets longer ones start: not before it is counted itself
@@ -233,7 +251,7 @@ def filter_of(phrases: DataFrame) -> np.ndarray | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, word, mask = block_and_bits(phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist()), blocks)
+            block, word, mask = block_and_bits(phrase_hashes(batch.column(0), batch.column(1)), blocks)
             rows, at = np.unique(block, return_inverse=True)
             words = np.zeros((len(rows), BLOCK_WORDS), np.uint64)
             np.bitwise_or.at(words, (np.repeat(at, PROBES), word.reshape(-1)), mask.reshape(-1))
@@ -261,18 +279,16 @@ def count_phrases(docs: DataFrame, most: int = 3, least: int = 10, shards: int =
     while any(step < c + shards - 1 for cs in cohorts for c in cs):
         step += 1
         shard = source.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
-        counts = count_shard(shard, step, shards, most, filters).withColumn("reached", F.lit(None).cast("int"))
+        counts = count_shard(shard, step, shards, most, filters)
         if carried is not None:
             counts = counts.unionByName(carried)
-        # length and cohort follow from the phrase
-        counts = counts.groupBy("lang", "phrase").agg(
-            F.max("k").alias("k"), F.max("cohort").alias("cohort"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
-        counts = counts.filter((F.col("cohort") > step - shards + 1) | (F.col("k") == 1) | (F.col("n") >= least))
-        reached = F.coalesce("reached", F.when((F.col("n") >= least) & (F.col("k") < most), F.lit(step)))
-        counts = materialise(counts.withColumn("reached", reached), f"phrases-{step}")
-        done.append(counts.filter(F.col("cohort") == step - shards + 1))
-        carried = counts.filter(F.col("cohort") > step - shards + 1)
-        crossed = materialise(counts.filter((F.col("k") < most) & (F.col("reached") == step)).select("k", "lang", "phrase"), "phrases-new")
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+        counts = counts.filter(f"{COHORT} > {step - shards + 1} OR {LENGTH} = 1 OR n >= {least}")
+        counts = counts.withColumn("new", F.expr(f"n >= {least} AND {LENGTH} < {most} AND NOT {TOLD}"))
+        counts = materialise(counts.withColumn("mark", F.expr("mark + CAST(new AS LONG)")), f"phrases-{step}")
+        done.append(counts.filter(f"{COHORT} = {step - shards + 1}"))
+        carried = counts.filter(f"{COHORT} > {step - shards + 1}").select("key", "n", "mark")
+        crossed = materialise(counts.filter("new").selectExpr(f"{LENGTH} AS k", *NAMED), "phrases-new")
         for k in range(1, most):
             new = filter_of(crossed.filter(F.col("k") == k))
             if new is not None:
@@ -281,7 +297,7 @@ def count_phrases(docs: DataFrame, most: int = 3, least: int = 10, shards: int =
             news = set(filters[k - 1])
             late = {c for c in cohorts[k - 1] if any(s < c for s in news) and c <= step}
             cohorts[k] |= {s + 1 for s in news | late}
-    return reduce(DataFrame.unionByName, done).select("k", "lang", "phrase", "n")
+    return reduce(DataFrame.unionByName, done).selectExpr(f"CAST({LENGTH} AS INT) AS k", *NAMED, "n")
 
 
 # --- scores

@@ -124,3 +124,44 @@ def test_first_hits_equal_the_plain_filter():
     want = [min([s for s, w in filters.items() if may_hold(w, h[i:i + 1])[0]], default=phrases.NEVER) for i in range(len(h))]
     assert got.tolist() == want
     assert set(got[:500]) <= {1, 2} and (got[1000:] == phrases.NEVER).mean() > 0.8
+
+
+def test_hashes_follow_from_the_bytes_alone():
+    words = ["", "a", "a\0", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "Über", "漢字", "x" * 63, "x" * 64, "x" * 65, "x" * 66, "y" * 5000] + [f"w{i}" for i in range(5000)]
+    h = phrases.hashed(words)
+    assert len(set(h.tolist())) == len(words)
+    mixed = list(range(len(words)))
+    random.Random(1).shuffle(mixed)
+    assert np.array_equal(phrases.hashed(pa.array([words[i] for i in mixed])), h[mixed])
+    assert np.array_equal(phrases.hashed(pa.array(words, pa.large_string())[3:40]), h[3:40])
+    assert len(phrases.hashed([])) == len(phrases.hashed(pa.array([], pa.string()))) == len(phrases.phrase_hashes([], [])) == 0
+
+
+def test_words_are_hashed_without_python_strings(monkeypatch):
+    """Scans hash each piece's vocabulary anew: through Python strings that was more than half of their time."""
+    import pandas.util
+
+    def never(*_, **__):
+        raise AssertionError("strings are hashed one by one")
+
+    monkeypatch.setattr(pandas.util, "hash_array", never)
+    words = pa.array(["a", "b", "a", "longer word"], pa.large_string())
+    assert len(set(phrases.hashed(words).tolist())) == 3
+
+
+def test_counts_are_grouped_by_one_string(spark):
+    shard = spark.createDataFrame([("en", "A b. a  B"), ("e\tn", "a b")], "lang string, text string")
+    counted = phrases.count_shard(shard, 1, 2, 3, [{}, {}, {}])
+    assert counted.dtypes == [("key", "string"), ("n", "bigint"), ("mark", "bigint")]
+    got = Counter()
+    for r in counted.selectExpr(f"{phrases.COHORT} AS cohort", f"{phrases.LENGTH} AS k", f"{phrases.TOLD} AS told", *phrases.NAMED, "n").collect():
+        assert (r.cohort, r.k, r.told) == (1, 1, False)
+        got[r.lang, r.phrase] += r.n
+    assert got == {("en", "a"): 2, ("en", "b"): 2, ("e\tn", "a"): 1, ("e\tn", "b"): 1}
+
+
+def test_names_of_languages_may_hold_blanks(spark):
+    langs = ["", " ", "\t", "en\t", "en", "en a", "a\ten", None]
+    rows = [(i, "a b a, b a b a", langs[i % len(langs)]) for i in range(40)]
+    got = phrases.collocations(spark.createDataFrame(rows, DOC), most=3, least=4, share=50, top=25, shards=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 4, 50, 25)
