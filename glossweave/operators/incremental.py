@@ -12,6 +12,23 @@ def filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
+def per_language(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """``left.join(right, ["lang", on], how)``, dealt out by ``on`` alone.
+
+    The rows of one key (or text) in all languages stay next to each other, and as they hold the same text, a shuffle or a written
+    table packs them to little more than one of them. Dealt out by language as well, each would be moved whole. Every language
+    of a key meets every language of it, so the work in memory grows with the square of the languages of a run.
+    """
+    r = right.withColumnRenamed("lang", "_lang").withColumnRenamed(on, "_on")
+    # as an equality, the language would take part in the dealing out
+    same = F.startswith("lang", "_lang") & F.startswith("_lang", "lang")
+    j = left.join(r, (F.col(on) == F.col("_on")) & same, how)
+    if how == "full_outer":
+        j = j.withColumns({"lang": F.coalesce("lang", "_lang"), on: F.coalesce(on, "_on")})
+    j = j.drop("_lang", "_on")
+    return j.select("lang", on, *[c for c in j.columns if c not in ("lang", on)])
+
+
 def corpus(existing: DataFrame, scanned: DataFrame) -> DataFrame:
     """Source bundle after a scan: the scan overrides, nothing is deleted."""
     j = existing.select("key", F.col("text").alias("old")).join(scanned.select("key", F.col("text").alias("new")), "key", "full_outer")
@@ -27,8 +44,8 @@ def decide(units: DataFrame, target: DataFrame, state: DataFrame, forced: bool =
 
     An unknown state row means neither stale nor human-edited.
     """
-    j = units.join(target.select("lang", "key", F.col("value").alias("current")), ["lang", "key"], "left")
-    j = j.join(state.select("lang", "key", "source_hash", "translation_hash"), ["lang", "key"], "left")
+    j = per_language(units, target.select("lang", "key", F.col("value").alias("current")), "key")
+    j = per_language(j, state.select("lang", "key", "source_hash", "translation_hash"), "key")
     human = filled("current") & filled("translation_hash") & (
         F.col("translation_hash") != short_hash(F.col("current"), fixed.STATE_HASH_CHARS)
     )
@@ -54,7 +71,7 @@ def learn(decided: DataFrame, approved: DataFrame) -> DataFrame:
 def reuse(decided: DataFrame, approved: DataFrame) -> DataFrame:
     """Needed rows answered from approved wordings: REUSED, the others SEND."""
     a = approved.select("lang", F.col("source_text").alias("text"), "wording")
-    j = decided.join(a, ["lang", "text"], "left")
+    j = per_language(decided, a, "text")
     action = F.when(F.col("state") != "NEED", F.col("state")).when(F.col("wording").isNotNull(), "REUSED").otherwise("SEND")
     return j.withColumn("action", action)
 
@@ -108,12 +125,16 @@ def new_state(final: DataFrame, old: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     rest = [c for c in old.columns if c not in on]
     a, b = old.select(*on, F.struct(*rest).alias("_o")), new.select(*on, F.struct(*rest).alias("_n"))
-    return a.join(b, on, "full_outer").select(*on, F.coalesce("_n", "_o").alias("_v")).select(*on, "_v.*")
+    return _met(a, b, on).select(*on, F.coalesce("_n", "_o").alias("_v")).select(*on, "_v.*")
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    return per_language(a, b, on[1], "full_outer") if len(on) == 2 and on[0] == "lang" else a.join(b, on, "full_outer")
 
 
 def merge(existing: DataFrame, incoming: DataFrame, on: list[str]) -> DataFrame:
     """Bundle merge: never deletes; status says what happened to each entry."""
-    j = existing.select(*on, F.col("value").alias("old")).join(incoming.select(*on, F.col("value").alias("new")), on, "full_outer")
+    j = _met(existing.select(*on, F.col("value").alias("old")), incoming.select(*on, F.col("value").alias("new")), on)
     status = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "kept")
         .when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")

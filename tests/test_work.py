@@ -1,8 +1,11 @@
 """What queries do per row: no step is done more often than its result is asked for."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from glossweave import session
 from glossweave.operators import incremental as inc, markup, provider as pv
 from glossweave.plans import bundle_plans, code_plans, load_catalog
 
@@ -57,3 +60,59 @@ def test_new_values_of_a_merge_are_made_once(spark, data, fmt, monkeypatch):
     monkeypatch.setattr(bundle_plans, "materialise", lambda df, label: written.append(label) or real(df, label))
     assert load_catalog()[f"bundle_merge_{fmt}"].run(spark, data).count()
     assert "told" in written
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("how", ["left", "full_outer"])
+def test_rows_of_a_key_are_dealt_out_by_the_key_alone(spark, shuffled_joins, how):
+    left = [("de", "a", 1), ("de-AT", "a", 2), ("fr", "a", 3), ("fr", "a", 4), ("de", None, 5), (None, "a", 6), ("de", "b", 7)]
+    right = [("de", "a", 10), ("de-AT", "a", 20), ("fr", "a", 30), ("fr", "a", 31), ("de", None, 50), (None, "a", 60), ("es", "c", 70)]
+    a, b = spark.createDataFrame(left, "lang string, key string, x int"), spark.createDataFrame(right, "lang string, key string, y int")
+    got = inc.per_language(a, b, "key", how)
+    assert got.columns == ["lang", "key", "x", "y"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, a.join(b, ["lang", "key"], how).collect()))
+    dealt = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in dealt and "hashpartitioning(lang" not in dealt
+
+
+def test_one_text_in_all_languages_is_moved_by_key_and_by_text(spark, shuffled_joins):
+    units = spark.createDataFrame([("de", "k", "Save"), ("fr", "k", "Save")], "lang string, key string, text string")
+    target = spark.createDataFrame([("de", "k", "Sichern")], "lang string, key string, value string")
+    state = spark.createDataFrame([("de", "k", "0", "0")], "lang string, key string, source_hash string, translation_hash string")
+    old = spark.createDataFrame([("fr", "Save", "Enregistrer", 1)], "lang string, source_text string, wording string, ord long")
+    decided = inc.decide(units, target, state)
+    actions = inc.reuse(decided, inc.learn(decided, old))
+    assert {(r.lang, r.action, r.wording) for r in actions.collect()} == {("de", "HUMAN", "Sichern"), ("fr", "REUSED", "Enregistrer")}
+    dealt = decided._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in dealt and "hashpartitioning(lang" not in dealt
+
+
+def test_shuffles_go_when_their_table_is_written(spark):
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before, setting = files(), spark.conf.get(session._FREE)
+    out = session.materialise(spark.range(5000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "test", packed=True)
+    assert files() <= before and spark.conf.get(session._FREE) == setting
+    assert sorted((r["k"], r["count"]) for r in out.collect()) == [(0, 715), (1, 715)] + [(k, 714) for k in range(2, 7)]
+    with pytest.raises(ZeroDivisionError), session.shuffles_freed(spark):
+        1 / 0
+    assert spark.conf.get(session._FREE) == setting
+
+
+def test_scratch_tables_alone_are_discarded(spark, tmp_path):
+    out = session.materialise(spark.range(3), "test")
+    other = spark.range(3)
+    other.write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        session.discard(spark, spark.read.parquet(str(tmp_path / "t")))
+    folder = out.inputFiles()[0].rpartition("/")[0].replace("file:", "")
+    assert os.path.isdir(folder) and os.path.isdir(tmp_path / "t")
+    session.discard(spark, out)
+    assert not os.path.exists(folder) and os.path.isdir(tmp_path / "t")
