@@ -8,6 +8,7 @@ from .. import fixed
 from ..functions.text import same_placeholders, short_hash
 from . import provider as pv
 from .dedupe import first_occurrence
+from .incremental import per_language
 
 
 def verdict_cache_key(text="text", fingerprint=""):
@@ -39,12 +40,31 @@ def split_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return candidates.join(verdicts.select("text", "label", "reason", "proposed_key"), "text")
 
 
-def translate(units: DataFrame, cache: DataFrame | None, model: pv.Provider, forced: bool = False, size: int = fixed.BATCH_SIZE, concurrency: int | None = None):
+def questions(units: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """(lang, text, context) of units: each text once a language, with its lowest context.
+
+    ``languages``: those of the run. Their rows are gathered by text alone, a text moves once for all of them; rows in other
+    languages are gathered by language and text.
+    """
+    low = F.min("context").alias("context")
+    if not languages:
+        return units.groupBy("lang", "text").agg(low)
+    listed = F.coalesce(F.col("lang").isin(languages), F.lit(False))
+    own = [F.col("lang") == x for x in languages]
+    per_text = units.filter(listed).groupBy("text").agg(*[x for i, c in enumerate(own) for x in (
+        F.max(F.when(c, True)).alias(f"_there{i}"), F.min(F.when(c, F.col("context"))).alias(f"_context{i}"))])
+    cells = F.array(*[F.struct(F.lit(x).alias("lang"), F.col(f"_there{i}").alias("_there"), F.col(f"_context{i}").alias("context")) for i, x in enumerate(languages)])
+    out = per_text.select("text", F.inline(cells)).filter("_there").select("lang", "text", "context")
+    return out.unionByName(units.filter(~listed).groupBy("lang", "text").agg(low))
+
+
+def translate(units: DataFrame, cache: DataFrame | None, model: pv.Provider, forced: bool = False, size: int = fixed.BATCH_SIZE, concurrency: int | None = None, languages: list[str] | None = None):
     """units(lang, key, text, context) -> (lang, key, text, translation, status).
 
-    One question per (language, text); the answer fans out to every key. Forced runs do not read the cache.
+    One question per (language, text); the answer fans out to every key. Forced runs do not read the cache. Answers have their text
+    with them, so they meet the units by text, and questions are not moved again for them. ``languages``: see :func:`questions`.
     """
-    asked = units.groupBy("lang", "text").agg(F.min("context").alias("context"))
+    asked = questions(units, languages)
     asked = asked.withColumn("id", short_hash(F.concat(F.col("lang"), F.lit("\u0000"), F.col("text")), fixed.CACHE_HASH_CHARS))
     use_cache = cache is not None and not forced
     pending = asked.join(cache.select("id").distinct(), "id", "left_anti") if use_cache else asked
@@ -60,13 +80,15 @@ def translate(units: DataFrame, cache: DataFrame | None, model: pv.Provider, for
                 m.usage = used
         return out
 
-    answers = pv.ask(pending.select("id", "text", "context", "lang"), call, size, concurrency, model)
-    given = answers.select("id", "translation", "error")
+    answers = pv.ask(pending.select("id", "text", "context", "lang"), call, size, concurrency, model, carry=("lang", "text"))
+    given = answers.select("id", "lang", "text", "translation", "error")
     if use_cache:
-        given = given.unionByName(cache.select("id", "translation", F.lit(None).cast("string").alias("error")))
-    per_text = asked.join(given, "id", "left").withColumn("status", _status()).select("lang", "text", "translation", "status", "id")
-    fresh = per_text.filter("status = 'ok'").select("id", "translation")
-    return units.join(per_text.drop("id"), ["lang", "text"]), fresh, answers
+        known = asked.select("id", "lang", "text").join(cache.select("id", "translation"), "id")
+        given = given.unionByName(known.withColumn("error", F.lit(None).cast("string")))
+    fresh = given.withColumn("status", _status()).filter("status = 'ok'").select("id", "translation")
+    named = units.filter("lang IS NOT NULL AND text IS NOT NULL")
+    out = per_language(named, given.drop("id"), "text").withColumn("status", _status()).drop("error")
+    return out, fresh, answers.drop("lang", "text")
 
 
 def _status():

@@ -1,11 +1,13 @@
 """The provider seam: usage, prompt inputs, and batches that are asked once."""
 
+import os
 import sys
 import threading
 import time
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from glossweave.operators import classify as cl, incremental as inc, provider as pv
 
@@ -108,3 +110,40 @@ def test_prompt_inputs_reach_the_provider(spark, wrap):
     model = wrap(Recording()).told(pv.Prompt("en", "shop", ("Cart",), examples))
     notes = {r.note for r in cl.translate(units, None, model)[2].collect()}
     assert notes == {f"shop/Cart/{examples['de']}", "shop/Cart/(('A b', 'C d'),)"}
+
+
+class Named(pv.RuleProvider):
+    def translate(self, batch, lang):
+        return [a for a in super().translate(batch, lang) if "silent" not in a["translation"]]
+
+
+def test_answers_meet_units_by_their_text(spark):
+    rows = [("de", "a", "Save", "z"), ("de", "b", "Save", "y"), ("fr", "a", "Save", "x"), ("fr", "c", "silent", None), ("it", "d", "Open", "w"), ("de", None, "Go", "v"),
+            (None, "e", "Save", "u"), ("de", "f", None, "t")]
+    units = spark.createDataFrame(rows, "lang string, key string, text string, context string")
+    grouped = lambda df: sorted(map(str, df.select("lang", "text", "context").collect()))
+    assert grouped(cl.questions(units, ["de", "fr"])) == grouped(cl.questions(units))
+    whole = units.filter("lang IS NOT NULL AND text IS NOT NULL")
+    for languages in (None, ["de", "fr"]):
+        out, fresh, answers = cl.translate(whole, None, Named(), languages=languages)
+        assert out.columns == ["lang", "text", "key", "context", "translation", "status"]
+        assert sorted((r.lang, str(r.key), r.text, r.translation, r.status) for r in out.collect()) == sorted([
+            ("de", "a", "Save", "[de] Save", "ok"), ("de", "b", "Save", "[de] Save", "ok"), ("fr", "a", "Save", "[fr] Save", "ok"),
+            ("fr", "c", "silent", None, "unanswered"), ("it", "d", "Open", "[it] Open", "ok"), ("de", "None", "Go", "[de] Go", "ok")])
+        assert fresh.count() == 4 and "text" not in answers.columns
+        again, words, asked = cl.translate(whole, fresh, Named(), languages=languages)
+        spoken = lambda df: sorted(map(str, df.filter("text <> 'silent'").collect()))
+        assert spoken(again) == spoken(out)
+        assert [r.error for r in asked.collect()] == ["no answer"] and sorted(map(str, words.collect())) == sorted(map(str, fresh.collect()))
+
+
+def test_the_log_goes_when_answers_are_written(spark, tmp_path, monkeypatch):
+    folder = f"{pv.scratch_path(spark, 'answer-log')}"
+    monkeypatch.setattr(pv, "scratch_path", lambda session, label: folder)
+    seen, real = [], pv.materialise
+    monkeypatch.setattr(pv, "materialise", lambda *a, **b: (real(*a, **b), seen.append([os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(folder) for f in fs]))[0])
+    text = "the same words again and again " * 20
+    requests = spark.createDataFrame([(str(i), text, "c", "de") for i in range(60)], "id string, text string, context string, lang string")
+    out = pv.ask(requests, lambda m, b: m.translate(b, "de"), model=pv.RuleProvider(), carry=("lang", "text"))
+    assert out.filter(F.concat(F.lit("[de] "), "text") == F.col("translation")).count() == 60
+    assert 0 < sum(seen[0]) < 60 * len(text) / 4 and not os.path.exists(folder)
