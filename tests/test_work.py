@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossweave import session
-from glossweave.operators import incremental as inc, markup, provider as pv
+from glossweave.operators import incremental as inc, markup, ordering, provider as pv
 from glossweave.plans import bundle_plans, code_plans, load_catalog
+from glossweave.sources import bundles
 
 
 def plan(df):
@@ -116,3 +117,34 @@ def test_scratch_tables_alone_are_discarded(spark, tmp_path):
     assert os.path.isdir(folder) and os.path.isdir(tmp_path / "t")
     session.discard(spark, out)
     assert not os.path.exists(folder) and os.path.isdir(tmp_path / "t")
+
+
+def test_bundles_without_a_file_move_their_entries_once(spark, shuffled_joins):
+    none = spark.createDataFrame([], "path string, text string")
+    incoming = spark.createDataFrame([("L/a", "k1", "One", None), ("L/a", "k2", "Two", "doc 1"), ("L/b", "k1", "One", None)], "path string, key string, value string, comment string")
+    for fmt in ("resx", "android", "strings", "i18next", "arb"):
+        lines = bundles.merge_lines(none, incoming, fmt)
+        entries = lines.filter("status = 'added'")
+        assert sorted((r.path, r.status) for r in entries.collect()) == [("L/a", "added"), ("L/a", "added"), ("L/b", "added")]
+        moved = lines.filter("section = 1")._jdf.queryExecution().optimizedPlan().toString()
+        assert "value#" in moved and "FullOuter" not in moved
+
+
+def test_new_entries_beside_files_and_without_any_are_the_same(spark):
+    files = spark.createDataFrame([("L/a", '"k1" = "Old";\n/* note */\n\n"k3" = "Three";\n'), ("L/blank", " ")], "path string, text string")
+    rows = [("L/a", "k1", "One", None), ("L/a", "k2", "Two", "doc 1"), ("L/blank", "k1", "One", None), ("L/b", "k1", "One", "c"), ("L/b", None, "No", None), (None, "k9", "x", None)]
+    incoming = spark.createDataFrame(rows, "path string, key string, value string, comment string")
+    there = bundles.merge_lines(files, incoming, "strings").collect()
+    assert sorted(str(r.status) for r in there if r.status) == ["added"] * 5 + ["kept", "updated"]
+    alone = bundles.merge_lines(files.limit(0), incoming.filter("path = 'L/b'"), "strings").collect()
+    assert sorted(map(str, alone)) == sorted(str(r) for r in there if r.path == "L/b")
+
+
+def test_the_input_of_an_order_goes_when_it_is_numbered(spark, monkeypatch):
+    gone, real = [], ordering.discard
+    monkeypatch.setattr(ordering, "discard", lambda s, *w: (gone.extend(w), real(s, *w)))
+    ranked = ordering.with_group_rank(spark.createDataFrame([("a", 3), ("b", 1), ("a", 2)], "g string, o int"), "g", ["o"])
+    assert sorted((r["g"], r["o"], r["rank"]) for r in ranked.collect()) == [("a", 2, 1), ("a", 3, 2), ("b", 1, 1)]
+    assert len(gone) == 1 and "rank-input" in gone[0].inputFiles()[0]
+    given = session.materialise(spark.createDataFrame([("a", 3)], "g string, o int"), "given")
+    assert ordering.with_group_rank(given, "g", ["o"], written=True).count() == 1 and len(gone) == 1 and given.count() == 1
