@@ -42,13 +42,13 @@ def _readings(key: str) -> Column:
 
 def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """requests(text, base, ord) with unique text and ord; existing(key). Returns (text, base, key)."""
-    ranked = materialise(with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "k", "requests"), "ranked")
+    ranked = materialise(with_group_rank(requests.select("text", "base", "ord"), "base", ["ord"], "k", "requests"), "ranked", packed=True)
     bases = ranked.select("base").distinct()
     reserved = materialise(existing.select(F.inline(_readings("key"))).join(bases, "base", "left_semi").distinct(), "reserved")
     start = ranked.withColumn("gap", F.lit(0).cast("long"))
     if not reserved.isEmpty():
         start = _pass_over(start, _blockers(reserved, None, start))
-    placed = materialise(_with_key(start), "keys")
+    placed = materialise(_with_key(start), "keys", packed=True)
     clash = _losers(placed, reserved)
     if clash.isEmpty():
         return placed.select("text", "base", "key")
@@ -56,7 +56,7 @@ def allocate(requests: DataFrame, existing: DataFrame) -> DataFrame:
     open_stems = placed.join(clash, "text", "left_semi").select(stem(F.col("base")).alias("_stem")).distinct()
     with_stem = placed.withColumn("_stem", stem(F.col("base")))
     done = with_stem.join(open_stems, "_stem", "left_anti").select("text", "base", "key")
-    moving = materialise(with_stem.join(open_stems, "_stem", "left_semi").drop("_stem"), "moving")
+    moving = materialise(with_stem.join(open_stems, "_stem", "left_semi").drop("_stem"), "moving", packed=True)
     return done.unionByName(_settle(moving, reserved).select("text", "base", "key"))
 
 
@@ -116,4 +116,4 @@ def _settle(keyed: DataFrame, reserved: DataFrame) -> DataFrame:
         moved = keyed.join(lost, "text", "left").withColumn("gap", F.col("gap") + F.coalesce("_lost", F.lit(0))).drop("_lost", "number", "key")
         moved = _pass_over(moved, _blockers(reserved, keyed, keyed))
         moved = running(moved, "base", "gap", "_lead").withColumn("gap", F.col("_lead")).drop("_lead")
-        keyed = materialise(_with_key(moved), "round")
+        keyed = materialise(_with_key(moved), "round", packed=True)

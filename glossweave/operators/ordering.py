@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 
 def ranged(df: DataFrame, order: list, label: str, written: bool = False) -> DataFrame:
@@ -16,11 +16,14 @@ def ranged(df: DataFrame, order: list, label: str, written: bool = False) -> Dat
     Written once, so both passes over it (counting, numbering) see the same places even if an executor is
     lost in between. Range partitioning by a unique order keeps partitions even, whatever one key holds.
     """
-    source = df if written else materialise(df, label + "-input")
+    source = df if written else materialise(df, label + "-input", packed=True)
     out = source.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out.withColumn("_part", F.spark_partition_id())
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return materialise(out.withColumn("_row", row), label)
+    out = materialise(out.withColumn("_row", row), label, packed=True)
+    if not written:
+        discard(df.sparkSession, source)
+    return out
 
 
 def with_global_index(df: DataFrame, order: list, name: str = "id", label: str = "index", written: bool = False) -> DataFrame:
