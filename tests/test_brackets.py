@@ -84,3 +84,20 @@ def test_context_and_member():
     assert found[0]["context"].strip() == 'var total = Make(1,\n   "For all users", 2);' and found[0]["member"] == "Make"
     found = read("swift", "a" * 100 + '; b.title = "My title"' + "c" * 100)
     assert len(found[0]["context"]) == 70 + 10 + 70 and found[0]["member"] == "b.title"
+
+
+def test_gaps_that_recur_are_looked_at_once():
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def search(self, gap):
+            self.calls += 1
+            return self.pattern.search(gap)
+
+    reader = DIALECTS["dart"].compiled()
+    reader.scope = scope = Counted(reader.scope)
+    one = 'Widget w(BuildContext context) { return const B(a ? b : c, label: Text("Save all")); }\nfinal t = Text("Open $it", "Open it");\n'
+    found = [(h["line"], h["inner"], h["reason"]) for h in reader.read(one * 200)]
+    assert found[:2] == [(1, "Save all", "const scope"), (2, "Open it", "no build context in scope")] and len(found) == 400
+    assert scope.calls < 40
