@@ -153,7 +153,7 @@ class AnswerLog:
             return json.loads(zlib.decompress(base64.b64decode(f.read(length))))
 
     def write(self, batch: list[dict], rows: list[dict]) -> None:
-        line = self.name(batch).encode() + base64.b64encode(zlib.compress(json.dumps(rows).encode(), 1)) + b"\n"
+        line = self.name(batch).encode() + base64.b64encode(zlib.compress(json.dumps(rows).encode())) + b"\n"
         with self.lock:
             if self.out is None or self.lines >= self.ROLL:
                 self.close()
@@ -199,10 +199,9 @@ def ask_batch(model: Provider | None, call: Callable, batch: list[dict], log: An
 def ask(requests: DataFrame, call: Callable, size: int = fixed.BATCH_SIZE, concurrency: int | None = None, model: Provider | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per request id that was answered, or with ``error`` when its batch failed.
 
-    ``requests`` has (id, text, context[, lang]). ``call(model, batch)`` asks, or ``call(batch)`` without a model. Texts and ids are
-    in order within a task, so a retried task makes the same batches and takes finished ones from the log; the result is written
-    before use, and the log goes then. A text's requests in all languages stand together, so what is moved and written of them packs
-    well. ``carry`` names string columns of the requests that answers have as well. Open requests are ``concurrency`` at most: tasks times threads of each, so few cores do not lower it.
+    ``requests`` has (id, text, context[, lang]). ``call(model, batch)`` asks, or ``call(batch)`` without a model. Ids are in
+    order within a task, so a retried task makes the same batches and takes finished ones from the log; the result is written
+    before use, and the log goes then. ``carry`` names string columns of the requests that answers have as well. Open requests are ``concurrency`` at most: tasks times threads of each, so few cores do not lower it.
     """
     session = requests.sparkSession
     wanted = concurrency or session.sparkContext.defaultParallelism
@@ -228,7 +227,7 @@ def ask(requests: DataFrame, call: Callable, size: int = fixed.BATCH_SIZE, concu
             log.close()
 
     # a fixed number of tasks; adaptive execution leaves it alone
-    placed = requests.repartition(tasks, "text").sortWithinPartitions("text", "id")
+    placed = requests.repartition(tasks, "id").sortWithinPartitions("id")
     answers = materialise(placed.mapInPandas(run, ", ".join([ANSWER, *[f"{c} string" for c in carry]])), "answers", packed=True)
     discard(session, folder)
     return answers
